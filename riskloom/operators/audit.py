@@ -53,7 +53,7 @@ MISMATCHES = ("binary_encoding_mismatch", "numeric_vs_binned_or_text_numeric", "
 
 
 def long_cells(df: DataFrame, features: Sequence[str], row_key: str | None = None) -> DataFrame:
-    """(feature, is_numeric, dtype, raw, signature, row): one row per cell, missing cells included."""
+    """(feature, is_numeric, dtype, raw, row): one row per cell, missing cells included."""
     keep = [F.col(row_key).alias("row")] if row_key else []
     entries = []
     for f in features:
@@ -66,18 +66,24 @@ def long_cells(df: DataFrame, features: Sequence[str], row_key: str | None = Non
                 F.lit(numeric).alias("is_numeric"),
                 F.lit(dtype_name(kind)).alias("dtype"),
                 value.cast("string").alias("raw"),
-                signature(value, numeric).alias("signature"),
             )
         )
     return df.select(*keep, F.inline(F.array(*entries)))
 
 
 def tokens(cells: DataFrame, row_key: bool = False) -> DataFrame:
-    """Distinct cell texts per feature with their row counts (and first row)."""
+    """Distinct cell texts per feature with their row counts (and first row).
+
+    The comparable text of a cell is made after the aggregate, once per distinct value.
+    """
     extra = [F.min("row").alias("first_row")] if row_key else []
-    return cells.groupBy("feature", "is_numeric", "dtype", "raw", "signature").agg(
-        F.count(F.lit(1)).alias("row_count"), *extra
-    )
+    distinct = cells.groupBy("feature", "is_numeric", "dtype", "raw").agg(F.count(F.lit(1)).alias("row_count"), *extra)
+    return distinct.withColumn("signature", cell_signature())
+
+
+def cell_signature() -> Column:
+    raw = F.col("raw")
+    return F.when(F.col("is_numeric"), signature(raw.try_cast("double"), True)).otherwise(signature(raw, False))
 
 
 def _all(condition: Column) -> Column:
@@ -515,10 +521,11 @@ def value_key(raw: Column, numeric: Column, signature_text: Column) -> Column:
 def direction_counts(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, target, value, rows) of the two-valued features, one pass."""
     cells = long_cells(df.withColumn("_t", F.col(target)), features, "_t")
-    value = value_key(F.col("raw"), F.col("is_numeric"), F.col("signature"))
-    return cells.groupBy("feature", F.col("row").alias("target"), value.alias("value")).agg(
+    counts = cells.groupBy("feature", "is_numeric", F.col("row").alias("target"), "raw").agg(
         F.count(F.lit(1)).alias("row_count")
     )
+    value = value_key(F.col("raw"), F.col("is_numeric"), cell_signature())
+    return counts.groupBy("feature", "target", value.alias("value")).agg(F.sum("row_count").alias("row_count"))
 
 
 def direction_audit(

@@ -229,9 +229,8 @@ def signatures(spark, folder):
             F.col("l_tax") / 100000,
         )
     )
-    return final(
-        items.select(value.alias("v")).groupBy(X.number_text(F.col("v")).alias("signature")).agg(F.count(F.lit(1)).alias("row_count"))
-    )
+    counts = items.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return final(counts.groupBy(X.number_text(F.col("v")).alias("signature")).agg(F.sum("n").alias("row_count")))
 
 
 SIGNATURES_SQL = """
