@@ -72,35 +72,45 @@ def long_cells(df: DataFrame, features: Sequence[str], row_key: str | None = Non
 
 
 def tokens(cells: DataFrame, row_key: bool = False) -> DataFrame:
-    """Distinct cell texts per feature with their row counts (and first row).
-
-    The comparable text of a cell is made after the aggregate, once per distinct value.
-    """
+    """Distinct cell texts per feature with their row counts (and first row)."""
     extra = [F.min("row").alias("first_row")] if row_key else []
-    distinct = cells.groupBy("feature", "is_numeric", "dtype", "raw").agg(F.count(F.lit(1)).alias("row_count"), *extra)
-    return distinct.withColumn("signature", cell_signature())
+    return cells.groupBy("feature", "is_numeric", "dtype", "raw").agg(F.count(F.lit(1)).alias("row_count"), *extra)
 
 
 def cell_signature() -> Column:
+    """Comparable text of a cell, made once per distinct value."""
     raw = F.col("raw")
     return F.when(F.col("is_numeric"), signature(raw.try_cast("double"), True)).otherwise(signature(raw, False))
 
 
-def _all(condition: Column) -> Column:
-    return F.bool_and(condition)
+def sides(a_tokens: DataFrame, b_tokens: DataFrame) -> DataFrame:
+    """Token tables of two sources as one, so that both are audited in the same pass."""
+    return a_tokens.withColumn("side", F.lit("a")).unionByName(b_tokens.withColumn("side", F.lit("b")))
 
 
-def coarse_types(distinct: DataFrame) -> DataFrame:
-    """Coarse representation type, warnings and counts per feature.
+def by_side(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per feature with `<column>_a` and `<column>_b`; features of one side only are dropped."""
+    wide = table.groupBy("feature").agg(
+        F.count_distinct("side").alias("_sides"),
+        *[F.max_by(c, F.when(F.col("side") == s, F.lit(1))).alias(f"{c}_{s}") for c in columns for s in "ab"],
+    )
+    return wide.filter("_sides = 2").drop("_sides")
 
-    `distinct` comes from `tokens`; signatures are collapsed first because two
-    numbers may share their six-digit text.
-    """
-    per_signature = distinct.groupBy("feature", "is_numeric", "dtype", "signature").agg(
+
+_all = F.bool_and
+
+
+def signatures(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct comparable texts; two numbers may share their six-digit text."""
+    return distinct.groupBy(*keys, "is_numeric", "dtype", cell_signature().alias("signature")).agg(
         F.sum("row_count").alias("row_count")
     )
+
+
+def coarse_types(per_signature: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Coarse representation type, warnings and counts per feature, from `signatures`."""
     text = F.col("signature")
-    flags = per_signature.groupBy("feature", "is_numeric", "dtype").agg(
+    flags = per_signature.groupBy(*keys, "is_numeric", "dtype").agg(
         F.coalesce(F.sum(F.when(text.isNotNull(), F.col("row_count"))), F.lit(0)).alias("non_null_count"),
         F.coalesce(F.sum(F.when(text.isNull(), F.col("row_count"))), F.lit(0)).alias("missing_count"),
         F.count(text).alias("unique_count"),
@@ -123,7 +133,7 @@ def coarse_types(distinct: DataFrame) -> DataFrame:
     kind = kind.when(F.col("numbers"), "numeric_text_continuous").otherwise("categorical_text")
     warned = ~F.col("is_numeric") & F.coalesce(F.col("dates"), F.lit(False))
     return flags.select(
-        "feature",
+        *keys,
         "dtype",
         "non_null_count",
         "missing_count",
@@ -133,21 +143,27 @@ def coarse_types(distinct: DataFrame) -> DataFrame:
     )
 
 
-def strict_types(distinct: DataFrame) -> DataFrame:
-    """Strict representation type per feature, decided on normalised tokens."""
-    per_token = (
-        distinct.select("feature", "is_numeric", "dtype", token(F.col("raw")).alias("token"), "signature")
-        .groupBy("feature", "is_numeric", "dtype", "token")
-        .agg(F.min("signature").alias("signature"))
+def normalised(distinct: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Distinct normalised tokens with their first row; a feature without values keeps one missing token."""
+    return distinct.groupBy(*keys, "is_numeric", "dtype", token(F.col("raw")).alias("token")).agg(
+        F.min("first_row").alias("first_row"),
+        _all(F.col("raw").try_cast("double").isin(0.0, 1.0)).alias("zero_one_number"),
     )
+
+
+def strict_types(tokens_: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Strict representation type per feature and its spreadsheet-damaged tokens, from `normalised`.
+
+    The damaged tokens match `dd-xxx`, so even a hostile column has a bounded list.
+    """
     text = F.col("token")
-    flags = per_token.groupBy("feature", "is_numeric", "dtype").agg(
+    flags = tokens_.groupBy(*keys, "is_numeric", "dtype").agg(
         F.count(text).alias("n"),
-        F.bool_or(strict_spreadsheet_date(text)).alias("dates"),
-        _all(interval(text).isNotNull()).alias("intervals"),
+        F.collect_list(F.when(strict_spreadsheet_date(text), F.struct("first_row", "token"))).alias("dates"),
+        _all(interval(text).isNotNull() | text.isNull()).alias("intervals"),
         _all(looks_numeric(text)).alias("numbers"),
         _all(text.isin("0", "1")).alias("zero_one"),
-        _all(F.col("signature").isin("0", "1")).alias("zero_one_number"),
+        _all("zero_one_number").alias("zero_one_number"),
         *[_all(within(text, words)).alias(name) for name, words in BINARY_VOCABULARIES.items()],
     )
     low = F.col("n") <= LOW_CARDINALITY_LIMIT
@@ -160,7 +176,7 @@ def strict_types(distinct: DataFrame) -> DataFrame:
         .when(numeric & F.col("zero_one_number"), "binary_numeric")
         .when(numeric & low, "ordinal_numeric")
         .when(numeric, "continuous_numeric")
-        .when(F.col("dates"), "excel_like_corrupted_token")
+        .when(F.size("dates") > 0, "excel_like_corrupted_token")
         .when(F.col("intervals"), "interval_text")
         .when(vocabulary, "binary_text")
         .when(F.col("numbers") & F.col("zero_one"), "binary_numeric")
@@ -168,7 +184,19 @@ def strict_types(distinct: DataFrame) -> DataFrame:
         .when(F.col("numbers"), "continuous_numeric")
         .otherwise("categorical_text")
     )
-    return flags.select("feature", "dtype", kind.alias("representation"))
+    damaged = F.transform(F.array_sort("dates"), lambda d: d["token"])
+    return flags.select(*keys, "dtype", kind.alias("representation"), damaged.alias("excel_like_tokens"))
+
+
+def examples(tokens_: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """First-seen tokens and first-seen interval tokens per feature, at most `limit` of each."""
+    kinds = F.array_compact(F.array(F.lit("all"), F.when(interval(F.col("token")).isNotNull(), "interval")))
+    tagged = tokens_.filter("token is not null").select(*keys, "token", "first_row", F.explode(kinds).alias("kind"))
+    found = first_values(tagged, [*keys, "kind"], F.col("first_row"), "token", limit)
+    return found.groupBy(*keys).agg(
+        F.max_by("values", F.when(F.col("kind") == "all", F.lit(1))).alias("unique_examples"),
+        F.max_by("values", F.when(F.col("kind") == "interval", F.lit(1))).alias("interval_examples"),
+    )
 
 
 def consistency(a: Column, b: Column) -> Column:
@@ -219,17 +247,14 @@ def value_audit(
 ) -> DataFrame:
     """Audit of every shared feature of two sources: counts, types, status, plan and review reasons."""
 
-    def side(distinct: DataFrame, suffix: str) -> DataFrame:
-        types = coarse_types(distinct)
-        signatures = distinct.filter("signature is not null").select("feature", "signature").distinct()
-        samples = first_values(signatures, ["feature"], F.col("signature"), "signature", sample)
-        joined = types.join(samples, "feature", "left")
-        joined = joined.withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
-        return joined.select(
-            "feature", *[F.col(c).alias(f"{c}_{suffix}") for c in joined.columns if c != "feature"]
-        )
-
-    both = side(a_tokens, "a").join(side(b_tokens, "b"), "feature")
+    keys = ["side", "feature"]
+    texts = signatures(sides(a_tokens, b_tokens), keys)
+    samples = first_values(
+        texts.filter("signature is not null").select(*keys, "signature"), keys, F.col("signature"), "signature", sample
+    )
+    joined = coarse_types(texts, keys).join(samples, keys, "left")
+    joined = joined.withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
+    both = by_side(joined, [c for c in joined.columns if c not in keys])
     rep_a, rep_b = F.col("representation_a"), F.col("representation_b")
     status = consistency(rep_a, rep_b)
     action = consistency_action(status)
@@ -278,34 +303,16 @@ def representation_audit(
 ) -> DataFrame:
     """Strict audit with first-seen examples; both token tables carry `first_row`."""
 
-    def normalised(distinct: DataFrame) -> DataFrame:
-        return (
-            distinct.filter("raw is not null")
-            .groupBy("feature", token(F.col("raw")).alias("token"))
-            .agg(F.min("first_row").alias("first_row"))
-        )
-
-    def examples(distinct: DataFrame, name: str, limit: int | None = sample) -> DataFrame:
-        found = first_values(distinct, ["feature"], F.col("first_row"), "token", limit)
-        return found.select("feature", F.col("values").alias(name))
-
-    a, b = normalised(a_tokens), normalised(b_tokens)
-    types_a, types_b = strict_types(a_tokens), strict_types(b_tokens)
-    text = F.col("token")
-    dates = examples(b.filter(strict_spreadsheet_date(text)), "excel_like_tokens_b", None)
-    intervals = examples(b.filter(interval(text).isNotNull()), "interval_examples_b")
-    joined = types_a.select("feature", F.col("dtype").alias("dtype_style_a"), F.col("representation").alias("representation_type_a"))
-    joined = joined.join(
-        types_b.select(
-            "feature", F.col("dtype").alias("dtype_style_b"), F.col("representation").alias("representation_type_b")
-        ),
-        "feature",
-    )
-    for part in (examples(a, "unique_examples_a"), examples(b, "unique_examples_b"), dates, intervals):
-        joined = joined.join(part, "feature", "left")
+    keys = ["side", "feature"]
+    tokens_ = normalised(sides(a_tokens, b_tokens), keys)
+    found = strict_types(tokens_, keys).join(examples(tokens_, keys, sample), keys, "left")
     empty = F.array().cast("array<string>")
+    found = found.withColumns({c: F.coalesce(F.col(c), empty) for c in ("unique_examples", "interval_examples")})
+    wide = by_side(found, ["dtype", "representation", "unique_examples", "excel_like_tokens", "interval_examples"])
+    filled = wide.withColumnsRenamed(
+        {f"{old}_{s}": f"{new}_{s}" for old, new in (("dtype", "dtype_style"), ("representation", "representation_type")) for s in "ab"}
+    )
     lists = ("unique_examples_a", "unique_examples_b", "excel_like_tokens_b", "interval_examples_b")
-    filled = joined.withColumns({c: F.coalesce(F.col(c), empty) for c in lists})
     feature = F.col("feature")
     notes = reasons(
         (F.size("excel_like_tokens_b") > 0, "excel_like_tokens_detected"),
@@ -420,7 +427,7 @@ def bin_codes(distinct: DataFrame) -> DataFrame:
         .agg(F.sum("row_count").alias("row_count"))
         .withColumn("bounds", interval(F.col("token")))
     )
-    place = Window.partitionBy("feature").orderBy("bounds.lower", "bounds.upper")
+    place = Window.partitionBy("feature").orderBy(F.asc_nulls_last("bounds.lower"), F.asc_nulls_last("bounds.upper"))
     return parsed.select(
         "feature",
         "token",
@@ -543,47 +550,39 @@ def direction_audit(
     get value lists, so each collected list is small whatever the row count.
     """
 
-    def side(df: DataFrame, suffix: str) -> DataFrame:
-        distinct = tokens(long_cells(df, features, row_key), row_key=True)
-        types = strict_types(distinct)
-        normal = (
-            distinct.filter("raw is not null")
-            .groupBy("feature", token(F.col("raw")).alias("token"))
-            .agg(F.min("first_row").alias("first_row"))
-        )
-        values = first_values(normal, ["feature"], F.col("first_row"), "token", LOW_CARDINALITY_LIMIT)
-        counts = direction_counts(df, features, target)
-        few = counts.groupBy("feature").agg(F.count_distinct("value").alias("n")).filter(
-            F.col("n") <= LOW_CARDINALITY_LIMIT + 1
-        )
-        counts = counts.join(few.select("feature"), "feature", "left_semi")
-        totals = (
-            counts.groupBy("feature", "value")
-            .agg(F.sum("row_count").alias("row_count"))
-            .groupBy("feature")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "row_count")))).alias("counts"))
-        )
-        inner = counts.groupBy("feature", "target").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "row_count")))).alias("m")
-        )
-        nested = inner.groupBy("feature").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col("target").cast("string"), F.col("m")))).alias("breakdown")
-        )
-        return (
-            types.join(values, "feature", "left")
-            .join(totals, "feature", "left")
-            .join(nested, "feature", "left")
-            .select(
-                "feature",
-                F.col("representation").alias(f"representation_type_{suffix}"),
-                F.col("dtype").alias(f"dtype_{suffix}"),
-                F.col("values").alias(f"unique_values_{suffix}"),
-                F.col("counts").alias(f"value_counts_{suffix}"),
-                F.col("breakdown").alias(f"target_breakdown_{suffix}"),
-            )
-        )
-
-    both = side(a, "a").join(side(b, "b"), "feature")
+    keys = ["side", "feature"]
+
+    def tagged(make) -> DataFrame:
+        return make(a).withColumn("side", F.lit("a")).unionByName(make(b).withColumn("side", F.lit("b")))
+
+    tokens_ = normalised(tagged(lambda df: tokens(long_cells(df, features, row_key), row_key=True)), keys)
+    values = first_values(
+        tokens_.filter("token is not null"), keys, F.col("first_row"), "token", LOW_CARDINALITY_LIMIT
+    ).withColumnRenamed("values", "unique_values")
+    counts = tagged(lambda df: direction_counts(df, features, target))
+    few = counts.groupBy(*keys).agg(F.count_distinct("value").alias("n")).filter(F.col("n") <= LOW_CARDINALITY_LIMIT + 1)
+    entry = F.struct("value", "row_count")
+    per_class = (
+        counts.join(few.select(*keys), keys, "left_semi")
+        .groupBy(*keys, "target")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
+    )
+    nested = per_class.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("target").cast("string"), F.col("m")))).alias("target_breakdown")
+    )
+    totals = (
+        counts.join(few.select(*keys), keys, "left_semi")
+        .groupBy(*keys, "value")
+        .agg(F.sum("row_count").alias("row_count"))
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("value_counts"))
+    )
+    joined = strict_types(tokens_, keys).withColumnRenamed("representation", "representation_type")
+    for part in (values, totals, nested):
+        joined = joined.join(part, keys, "left")
+    both = by_side(
+        joined, ["representation_type", "dtype", "unique_values", "value_counts", "target_breakdown"]
+    )
     feature = F.col("feature")
     return both.select(
         feature.alias("feature_name"),
