@@ -277,32 +277,35 @@ class Points(NamedTuple):
     sign: int = 1
 
 
+class Word(NamedTuple):
+    feature: str
+    word: str
+    weight: float
+
+
+# The order is the order of the additions.
 CLINICAL_BASE, RESEARCH_BASE = 0.2, 0.18
-CLINICAL_WORDS = (
-    ("dm", "yes", 0.12),
-    ("htn", "yes", 0.11),
-    ("cvd", "yes", 0.08),
-    ("proteinuria_flag", "yes", 0.1),
-)
-CLINICAL_POINTS = (
+CLINICAL_SCORECARD = (
     Points("age", 1.0, 400.0, 0.0, None, 0.12),
+    Word("dm", "yes", 0.12),
+    Word("htn", "yes", 0.11),
+    Word("cvd", "yes", 0.08),
+    Word("proteinuria_flag", "yes", 0.1),
     Points("scr", 1.0, 10.0, 0.0, None, 0.15),
     Points("egfr", 1.0, 250.0, 45.0, 0.0, None, -1),
     Points("uacr", 1.0, 1200.0, 0.0, None, 0.14),
     Points("hba1c", 1.0, 40.0, 0.0, None, 0.09),
     Points("sbp", 1.0, 300.0, 120.0, 0.0, 0.08),
 )
-RESEARCH_WORDS = (
-    ("htn", "yes", 0.11),
-    ("dm", "yes", 0.11),
-    ("cad", "yes", 0.05),
-    ("pe", "yes", 0.07),
-    ("ane", "yes", 0.08),
-    ("appet", "poor", 0.05),
-    ("pc", "abnormal", 0.05),
-    ("rbc", "abnormal", 0.05),
-)
-RESEARCH_POINTS = (
+RESEARCH_SCORECARD = (
+    Word("htn", "yes", 0.11),
+    Word("dm", "yes", 0.11),
+    Word("cad", "yes", 0.05),
+    Word("pe", "yes", 0.07),
+    Word("ane", "yes", 0.08),
+    Word("appet", "poor", 0.05),
+    Word("pc", "abnormal", 0.05),
+    Word("rbc", "abnormal", 0.05),
     Points("al", 0.05),
     Points("su", 0.03),
     Points("sc", 1.0, 16.0, 0.0, None, 0.16),

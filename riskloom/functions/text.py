@@ -53,56 +53,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _halves(v: Column) -> Column:
-    """A double as a sum of two doubles with half the digits each."""
-    wide = v * F.lit(134217729.0)
-    high = wide - (wide - v)
-    return F.struct(high.alias("high"), (v - high).alias("low"))
-
-
-def _product_error(a: Column, b: Column, product: Column) -> Column:
-    """Exact error of a rounded product of two doubles (a * b - product)."""
-    return let(
-        F.struct(_halves(a).alias("a"), _halves(b).alias("b")),
-        lambda s: (
-            (s["a"]["high"] * s["b"]["high"] - product) + s["a"]["high"] * s["b"]["low"] + s["a"]["low"] * s["b"]["high"]
-        )
-        + s["a"]["low"] * s["b"]["low"],
-    )
-
-
-def _decimal_place(x: Column) -> Column:
-    """Exponent of the leading decimal digit."""
-    ten = F.lit(10.0)
-    return let(
-        F.floor(F.log10(x)).cast("int"),
-        lambda g: g + F.when(x >= F.pow(ten, g + 1), 1).when(x < F.pow(ten, g), -1).otherwise(0),
-    )
+def exact_round(value: Column, digits: int, half_up: bool = False) -> Column:
+    """Round on the exact binary value, as printing with a fixed number of digits does.
 
-
-def _six_digits(x: Column, place: Column) -> Column:
-    """The value scaled to six digits before the point, rounded half to even on its exact binary value.
-
-    Scaling may round onto a half; the error of the scaling then tells the true side.
+    The built-in `round` sees the shortest decimal text of a double, which may
+    sit on a half where the double itself does not; number formatting does not.
     """
-    factor = F.pow(F.lit(10.0), F.abs(place - 5))
-    grows = place <= 5
-
-    def rounded(s: Column) -> Column:
-        scaled, f = s["scaled"], s["factor"]
-        base = F.floor(scaled).cast("double")
-        back = scaled * f
-        beyond = F.when(grows, _product_error(x, f, scaled)).otherwise((x - back) - _product_error(scaled, f, back))
-        up = F.when(beyond > 0, base + 1).when(beyond < 0, base).otherwise(F.rint(scaled))
-        return F.when(scaled - base == 0.5, up).otherwise(F.rint(scaled))
+    printed = F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+    if not half_up:
+        return printed
+    steps = value * F.lit(float(2 ** (digits + 1)))
+    return F.when(steps == F.floor(steps), F.round(value, digits)).otherwise(printed)
 
-    scaled = F.when(grows, x * factor).otherwise(x / factor)
-    return let(F.struct(scaled.alias("scaled"), factor.alias("factor")), rounded)
 
-
-def _digit_text(rounded: Column, place: Column) -> Column:
-    carried = rounded >= 1000000
-    digits = F.when(carried, F.lit("100000")).otherwise(rounded.cast("long").cast("string"))
+def general_number(value: Column) -> Column:
+    """Six significant digits, as C's %g prints them."""
+    scientific = F.call_function("format_number", F.abs(value), F.lit("0.00000E0"))
+    parts = F.struct(
+        F.replace(F.substring_index(scientific, "E", 1), F.lit("."), F.lit("")).alias("digits"),
+        F.substring_index(scientific, "E", -1).cast("int").alias("exponent"),
+    )
 
     def trimmed(text: Column) -> Column:
         return F.regexp_replace(text, r"\.?0*$", "")
@@ -111,27 +81,15 @@ def _digit_text(rounded: Column, place: Column) -> Column:
         d, e = s["digits"], s["exponent"]
         whole = F.concat(F.substring(d, F.lit(1), e + 1), F.lit("."), F.substring(d, e + 2, F.lit(6)))
         small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
-        scientific = F.concat(
+        wide = F.concat(
             trimmed(F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, 2, 5))),
             F.lit("e"),
             F.when(e < 0, "-").otherwise("+"),
             F.lpad(F.abs(e).cast("string"), 2, "0"),
         )
-        return (
-            F.when((e >= 0) & (e < 6), trimmed(whole)).when((e >= -4) & (e < 0), trimmed(small)).otherwise(scientific)
-        )
-
-    exponent = place + F.when(carried, 1).otherwise(0)
-    return let(F.struct(digits.alias("digits"), exponent.alias("exponent")), spelled)
-
-
-def general_number(value: Column) -> Column:
-    """Six significant digits, as C's %g prints them."""
-
-    def text(p: Column) -> Column:
-        return let(_six_digits(F.abs(value), p), lambda r: _digit_text(r, p))
+        return F.when((e >= 0) & (e < 6), trimmed(whole)).when((e >= -4) & (e < 0), trimmed(small)).otherwise(wide)
 
-    return F.concat(F.when(value < 0, "-").otherwise(""), let(_decimal_place(F.abs(value)), text))
+    return F.concat(F.when(value < 0, "-").otherwise(""), let(parts, spelled))
 
 
 def number_text(value: Column) -> Column:

@@ -18,10 +18,9 @@ from riskloom.fixed import (
     CLINICAL_FALLBACK,
     CLINICAL_FLAGS,
     CLINICAL_NOTE,
-    CLINICAL_POINTS,
     CLINICAL_RANGES,
     CLINICAL_TERMS,
-    CLINICAL_WORDS,
+    CLINICAL_SCORECARD,
     CONTRIBUTION_LIMIT,
     DEFAULT_MESSAGE,
     DEFAULT_RESPONSE_NOTE,
@@ -37,17 +36,17 @@ from riskloom.fixed import (
     RESEARCH_FALLBACK,
     RESEARCH_FLAGS,
     RESEARCH_NOTE,
-    RESEARCH_POINTS,
     RESEARCH_TERMS,
-    RESEARCH_WORDS,
+    RESEARCH_SCORECARD,
     SCORECARD_BOUNDS,
     SCORECARD_DIGITS,
     TRANSLATION_NOTES,
     Flag,
     Points,
     Term,
+    Word,
 )
-from riskloom.functions.text import number, reasons, strip, yes_no
+from riskloom.functions.text import exact_round, let, number, reasons, strip, yes_no
 
 Field = Callable[[str], Column]
 ITEM = "array<struct<feature:string,message:string,contribution:double>>"
@@ -67,11 +66,12 @@ def map_fields(inputs: str | Column) -> Field:
 
 def clip(value: Column, low: float | None, high: float | None) -> Column:
     """Limit a value; a missing value stays missing."""
+    limited = value
     if low is not None:
-        value = F.when(value < low, F.lit(low)).otherwise(value)
+        limited = F.greatest(limited, F.lit(low))
     if high is not None:
-        value = F.when(value > high, F.lit(high)).otherwise(value)
-    return value
+        limited = F.least(limited, F.lit(high))
+    return F.when(value.isNotNull(), limited)
 
 
 def probability(value: Column) -> Column:
@@ -104,20 +104,30 @@ def contributions(field: Field, terms: Sequence[Term], flags: Sequence[Flag], fa
         entries.append((place, flag.feature, flag.message, F.lit(flag.weight), said))
 
     def item(place: int, feature: str, message: str, value: Column) -> Column:
-        shown = F.round(value, 4)
         return F.struct(
-            (-F.abs(shown)).alias("order"),
             F.lit(place).alias("place"),
             F.lit(feature).alias("feature"),
             F.lit(message).alias("message"),
-            shown.alias("contribution"),
+            value.alias("contribution"),
         )
 
     found = F.array_compact(F.array(*[F.when(keep, item(p, f, m, v)) for p, f, m, v, keep in entries]))
     default = F.array(item(0, fallback.feature, fallback.message, F.lit(fallback.weight)))
-    ranked = F.slice(F.array_sort(F.when(F.size(found) > 0, found).otherwise(default)), 1, CONTRIBUTION_LIMIT)
+
+    def ranked(i: Column) -> Column:
+        shown = exact_round(i["contribution"], 4)
+        return F.struct(
+            (-F.abs(shown)).alias("order"),
+            i["place"].alias("place"),
+            i["feature"].alias("feature"),
+            i["message"].alias("message"),
+            shown.alias("contribution"),
+        )
+
+    either = let(found, lambda items: F.when(F.size(items) > 0, items).otherwise(default))
+    best = F.slice(F.array_sort(F.transform(either, ranked)), 1, CONTRIBUTION_LIMIT)
     return F.transform(
-        ranked,
+        best,
         lambda i: F.struct(
             i["feature"].alias("feature"), i["message"].alias("message"), i["contribution"].alias("contribution")
         ),
@@ -132,26 +142,28 @@ def clinical_contributions(field: Field) -> Column:
     return contributions(field, CLINICAL_TERMS, CLINICAL_FLAGS, CLINICAL_FALLBACK)
 
 
-def scorecard(
-    field: Field, base: float, words: Sequence[tuple[str, str, float]], points: Sequence[Points]
-) -> Column:
+def scorecard(field: Field, base: float, items: Sequence[Points | Word]) -> Column:
     """Additive score, rounded and limited; a missing input adds nothing."""
     total = F.lit(base)
-    for feature, word, weight in words:
-        said = F.coalesce(field(feature).cast("string") == word, F.lit(False))
-        total = total + F.when(said, F.lit(weight)).otherwise(F.lit(0.0))
-    for p in points:
-        value = (number(field(p.feature)) - p.centre) * p.factor / p.divisor
-        total = total + F.coalesce(clip(value, p.low, p.high) * p.sign, F.lit(0.0))
-    return clip(F.round(total, SCORECARD_DIGITS), *SCORECARD_BOUNDS)
+    for item in items:
+        if isinstance(item, Word):
+            said = F.coalesce(field(item.feature).cast("string") == item.word, F.lit(False))
+            total = total + F.when(said, F.lit(item.weight)).otherwise(F.lit(0.0))
+        else:
+            value = (number(field(item.feature)) - item.centre) * item.factor / item.divisor
+            total = total + F.coalesce(clip(value, item.low, item.high) * item.sign, F.lit(0.0))
+    low, high = SCORECARD_BOUNDS
+    return let(
+        total, lambda t: F.least(F.greatest(exact_round(t, SCORECARD_DIGITS, half_up=True), F.lit(low)), F.lit(high))
+    )
 
 
 def clinical_score(field: Field) -> Column:
-    return scorecard(field, CLINICAL_BASE, CLINICAL_WORDS, CLINICAL_POINTS)
+    return scorecard(field, CLINICAL_BASE, CLINICAL_SCORECARD)
 
 
 def research_score(field: Field) -> Column:
-    return scorecard(field, RESEARCH_BASE, RESEARCH_WORDS, RESEARCH_POINTS)
+    return scorecard(field, RESEARCH_BASE, RESEARCH_SCORECARD)
 
 
 def threshold_messages(field: Field, rules: Sequence[tuple], limit: int = MESSAGE_LIMIT) -> Column:
@@ -279,22 +291,23 @@ def stamped(df: DataFrame, version: str, route: str, notes: Column) -> DataFrame
     )
 
 
-def research_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:
+def response(
+    df: DataFrame, score: Column, explanation: Column, notes: Column, version: str, route: str, keep: Sequence[str]
+) -> DataFrame:
+    """Score, label, explanation and stamps of every row, as one chain of projections."""
     scored = df.select(
         *keep,
-        probability(score).alias("risk_score"),
-        band(probability(score)).alias("prediction_label"),
-        research_contributions(field).alias("explanation"),
-    )
-    return stamped(scored, version, "research", F.lit(RESEARCH_NOTE))
+        score.cast("double").alias("_score"),
+        explanation.alias("explanation"),
+        notes.alias("_note"),
+    ).withColumn("risk_score", probability(F.col("_score")))
+    labelled = scored.select(*keep, "risk_score", band(F.col("risk_score")).alias("prediction_label"), "explanation", "_note")
+    return stamped(labelled, version, route, F.col("_note")).drop("_note")
+
+
+def research_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:
+    return response(df, score, research_contributions(field), F.lit(RESEARCH_NOTE), version, "research", keep)
 
 
 def clinical_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:
-    scored = df.select(
-        *keep,
-        probability(score).alias("risk_score"),
-        band(probability(score)).alias("prediction_label"),
-        clinical_contributions(field).alias("explanation"),
-        clinical_note(field).alias("_note"),
-    )
-    return stamped(scored, version, "clinical", F.col("_note")).drop("_note")
+    return response(df, score, clinical_contributions(field), clinical_note(field), version, "clinical", keep)

@@ -41,7 +41,7 @@ def parse_requests(df: DataFrame, body: str, is_base64: str | None = None) -> Da
     mode = F.lower(strip(F.coalesce(F.try_element_at("_body", F.lit("mode")), F.lit("none"))))
     parsed = staged.withColumns(
         {
-            "mode": F.when(mode_given, mode).otherwise("research"),
+            "mode": F.when(mode_given, mode).when(F.col("_body").isNotNull(), "research"),
             "inputs": F.from_json(chosen, "map<string,string>"),
             "context": F.from_json(
                 F.try_element_at("_body", F.lit("context")),
