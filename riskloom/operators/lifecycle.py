@@ -33,36 +33,66 @@ def event_row(event_type: Column, model: Column, actor: Column, reason: Column,
     ]
 
 
-def is_activation(event_type: Column = None) -> Column:
+def is_activation(event_type: Column | None = None) -> Column:
     return (F.col("event_type") if event_type is None else event_type).isin(*ACTIVATIONS)
 
 
-def model_state(events: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
-    """Status of every model after the log, with the active model of its registry.
+def model_facts(events: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
+    """What the log says about each model: its last event, approval and activation.
 
-    One aggregate per model and one per registry; equal times are ordered by the
-    tie-break column, so replaying a log twice changes nothing.
+    All columns are maxima or counts, so facts of two parts of a log can be merged.
     """
     place = F.struct(TIME, TIE)
-    keys = [*registry, "model_id"]
-    last = events.groupBy(*keys).agg(
-        F.max_by("event_type", place).alias("last_event"),
-        F.max(TIME).alias("last_time"),
+
+    def newest(condition: Column | None = None) -> Column:
+        return F.max(place if condition is None else F.when(condition, place))
+
+    return events.groupBy(*registry, "model_id").agg(
+        F.max(F.struct(TIME, TIE, "event_type")).alias("last"),
+        newest(F.col("event_type") == "approved").alias("approval"),
+        newest(is_activation()).alias("activation"),
         F.count(F.lit(1)).alias("event_count"),
-        F.max_by(TIME, F.when(F.col("event_type") == "approved", place)).alias("approved_time"),
-        F.max_by(TIME, F.when(is_activation(), place)).alias("promoted_time"),
     )
-    active = active_models(events, registry)
+
+
+def merge_facts(one: DataFrame, other: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
+    return (
+        one.unionByName(other)
+        .groupBy(*registry, "model_id")
+        .agg(*[F.max(c).alias(c) for c in ("last", "approval", "activation")], F.sum("event_count").alias("event_count"))
+    )
+
+
+def state_of(facts: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
+    """Status of every model from its facts, with the active model of its registry."""
+    active = facts.groupBy(*registry).agg(F.max_by("model_id", "activation").alias("active_model_id"))
     if registry:
-        joined = last.join(active, list(registry), "left")
+        joined = facts.join(active, list(registry))
     else:
-        joined = last.withColumn("active_model_id", active.select("active_model_id").scalar())
-    status = status_of(F.col("last_event"), F.col("model_id") == F.col("active_model_id"))
-    return joined.withColumn("status", status).withColumn(
-        "approved_time", F.coalesce("approved_time", F.when(F.col("promoted_time").isNotNull(), F.col("promoted_time")))
+        joined = facts.withColumn("active_model_id", active.select("active_model_id").scalar())
+    last_event = F.col("last.event_type")
+    return joined.select(
+        *registry,
+        "model_id",
+        last_event.alias("last_event"),
+        F.col(f"last.{TIME}").alias("last_time"),
+        "event_count",
+        F.coalesce(f"approval.{TIME}", f"activation.{TIME}").alias("approved_time"),
+        F.col(f"activation.{TIME}").alias("promoted_time"),
+        "active_model_id",
+        status_of(last_event, F.col("model_id") == F.col("active_model_id")).alias("status"),
     )
 
 
+def model_state(events: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
+    """Status of every model after the log.
+
+    Equal times are ordered by the tie-break column, so replaying a log in any
+    order gives the same state.
+    """
+    return state_of(model_facts(events, registry), registry)
+
+
 def active_models(events: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
     """Model of the last activation, per registry."""
     chosen = F.when(is_activation(), F.struct(TIME, TIE))

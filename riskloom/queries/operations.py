@@ -156,31 +156,32 @@ FROM events WHERE event_type = 'signup' ORDER BY epoch_ms(ts) DESC, 1 LIMIT 5"""
 
 
 def lifecycle_events(spark: SparkSession, folder: str, registries: int = 1) -> DataFrame:
-    """Events as a life-cycle log: signup registers, view approves, purchase promotes, error rolls back, click retires (rarely)."""
+    return as_lifecycle(events(spark, folder), registries)
+
+
+def as_lifecycle(log: DataFrame, registries: int) -> DataFrame:
+    """Events as a life-cycle log: signup registers, view approves, purchase promotes, error rolls back, a click approves or, when slow, retires."""
     kind = (
         F.when(F.col("event_type") == "signup", "registered")
         .when(F.col("event_type") == "view", "approved")
         .when(F.col("event_type") == "purchase", "promoted")
         .when(F.col("event_type") == "error", "rolled_back")
-        .when(F.col("event_id") % 7 == 0, "retired")
+        .when(F.col("value") > 200, "retired")
+        .otherwise("approved")
     )
-    return (
-        events(spark, folder)
-        .select(
-            (F.col("user_id") % registries).alias("registry"),
-            F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"),
-            kind.alias("event_type"),
-            F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000).cast("long").alias("event_time"),
-            "event_id",
-        )
-        .filter("event_type is not null")
+    return log.select(
+        (F.col("user_id") % registries).alias("registry"),
+        F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"),
+        kind.alias("event_type"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000).cast("long").alias("event_time"),
+        "event_id",
     )
 
 
 def lifecycle_sql(registries: int) -> str:
     return f"""
-e AS (SELECT user_id % {registries} AS registry, 'm' || user_id AS model_id, CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'approved' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rolled_back' ELSE 'retired' END AS event_type,
-        epoch_us(ts) // 60000000 AS event_time, event_id FROM events WHERE event_type <> 'click' OR event_id % 7 = 0),
+e AS (SELECT user_id % {registries} AS registry, 'm' || user_id AS model_id, CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'approved' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rolled_back' ELSE CASE WHEN value > 200 THEN 'retired' ELSE 'approved' END END AS event_type,
+        epoch_us(ts) // 60000000 AS event_time, event_id FROM events),
 act AS (SELECT registry, arg_max(model_id, (event_time, event_id)) AS active_model_id FROM e WHERE event_type IN ('promoted', 'rolled_back') GROUP BY 1),
 last AS (SELECT registry, model_id, arg_max(event_type, (event_time, event_id)) AS last_event, max(event_time) AS last_time, count(*) AS event_count FROM e GROUP BY 1, 2),
 state AS (SELECT last.*, active_model_id, CASE WHEN last_event = 'registered' THEN 'candidate' WHEN last_event = 'approved' THEN 'approved' WHEN last_event = 'retired' THEN 'retired'

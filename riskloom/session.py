@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,19 +46,29 @@ def order_buckets(spark: SparkSession) -> int:
     return max(16, min(4 * shuffle_partitions(spark), 65536))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the reliable folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in `spark.checkpoint.dir`.
 
-    `spark.checkpoint.dir` is read from the session. Only a local session that
-    names none gets a temporary folder.
+    Only a local session that names none gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder is None and context.getCheckpointDir() is None:
+    folder = folder or context.getCheckpointDir()
+    if folder is None:
         if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a shared folder before running iterative operators.")
-        folder = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
-    if folder is not None and context.getCheckpointDir() is None:
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder first.")
+        folder = tempfile.mkdtemp(prefix="riskloom-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    return folder
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the files of one run."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the reliable shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

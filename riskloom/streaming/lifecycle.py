@@ -4,31 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.lifecycle import TIE, TIME, model_state
+from riskloom.operators.lifecycle import TIME, merge_facts, model_facts, state_of
 
 
-def registry_sink(log_path: str, state_path: str, registry: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """Batch writer: store the new events, then the registry state of the whole log.
+def registry_sink(path: str, registry: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """Batch writer: merge the facts of new events into the facts of the batch before.
 
-    Events are kept once per id, so a repeated batch or a repeated event changes
-    nothing. The state is written as a version per batch.
+    A batch reads the version of its predecessor and overwrites its own, so a
+    repeated batch changes nothing, and its work depends on the number of
+    models and not on the length of the log.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.parquet(log_path).drop("batch")
-        once = log.groupBy(*registry, TIE).agg(
-            *[F.min(c).alias(c) for c in log.columns if c not in (*registry, TIE)]
-        )
-        model_state(once, registry).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        facts = model_facts(batch, registry)
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
+            facts = merge_facts(before, facts, registry)
+        facts.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
+def read_registry(spark: SparkSession, path: str, registry: Sequence[str] = ()) -> DataFrame:
+    """Newest registry state."""
+    versions = spark.read.parquet(path)
+    newest = versions.filter(F.col("version") == versions.agg(F.max("version")).scalar())
+    return state_of(newest.drop("version"), registry)
+
+
 def start_registry(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     return (
         events.writeStream.foreachBatch(sink)
