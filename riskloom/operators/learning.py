@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -207,11 +208,28 @@ def fit_preparation(train: DataFrame, spec: ModelSpec, numeric: Sequence[str], t
     return PipelineModel([*prepared.stages, last])
 
 
+def fit_all(
+    train: DataFrame, specs: Sequence[ModelSpec], numeric: Sequence[str], text: Sequence[str]
+) -> dict[str, PipelineModel]:
+    """Models that take raw columns; the target column is `target_true`.
+
+    Specs with the same preparation share it and its prepared table, which is
+    kept while their classifiers iterate over it.
+    """
+    models, groups = {}, {}
+    for spec in specs:
+        groups.setdefault((spec.imputer, spec.scaling, spec.selection), []).append(spec)
+    for members in groups.values():
+        preparation = fit_preparation(train, members[0], numeric, text)
+        prepared = preparation.transform(train).select(TRUTH, VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
+        for spec in members:
+            models[spec.name] = PipelineModel([*preparation.stages, spec.classifier().fit(prepared)])
+        prepared.unpersist()
+    return models
+
+
 def fit(train: DataFrame, spec: ModelSpec, numeric: Sequence[str], text: Sequence[str]) -> PipelineModel:
-    """One model that takes raw columns; the target column is `target_true`."""
-    preparation = fit_preparation(train, spec, numeric, text)
-    classifier = spec.classifier().fit(preparation.transform(train))
-    return PipelineModel([*preparation.stages, classifier])
+    return fit_all(train, [spec], numeric, text)[spec.name]
 
 
 def positive_probability():
@@ -231,14 +249,21 @@ def predict(model: PipelineModel, df: DataFrame, row_key: str, name: str, keep:
 
 
 def cross_validate(
-    df: DataFrame, spec: ModelSpec, numeric: Sequence[str], text: Sequence[str], row_key: str, folds: int
+    df: DataFrame, specs: Sequence[ModelSpec], numeric: Sequence[str], text: Sequence[str], row_key: str, folds: int
 ) -> DataFrame:
-    """Out-of-fold predictions of one spec as one table; `df` has a `fold` column."""
-    out = None
+    """Out-of-fold predictions of all specs as one table; `df` has a `fold` column."""
+    parts = []
     for k in range(folds):
-        model = fit(df.filter(F.col("fold") != k), spec, numeric, text)
-        part = predict(model, df.filter(F.col("fold") == k), row_key, spec.name, ["fold"])
-        out = part if out is None else out.unionByName(part)
+        models = fit_all(df.filter(F.col("fold") != k), specs, numeric, text)
+        held_out = df.filter(F.col("fold") == k)
+        parts += [predict(models[s.name], held_out, row_key, s.name, ["fold"]) for s in specs]
+    return union_all(parts)
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -252,16 +277,12 @@ def run_baselines(
     folds: int,
 ) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
     """CV summary, held-out predictions and refitted models of all specs."""
-    out_of_fold = held_out = None
-    models = {}
-    for order, spec in enumerate(specs):
-        part = cross_validate(train, spec, numeric, text, row_key, folds).withColumn("model_order", F.lit(order))
-        models[spec.name] = fit(train, spec, numeric, text)
-        scored = predict(models[spec.name], test, row_key, spec.name)
-        out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-        held_out = scored if held_out is None else held_out.unionByName(scored)
-    per_fold = metric_table(out_of_fold, [MODEL, "model_order", "fold"])
-    return fold_summary(per_fold, [MODEL, "model_order"]), held_out, models
+    models = fit_all(train, specs, numeric, text)
+    held_out = union_all([predict(models[s.name], test, row_key, s.name) for s in specs])
+    per_fold = metric_table(cross_validate(train, specs, numeric, text, row_key, folds), [MODEL, "fold"])
+    order = F.array_position(F.array(*[F.lit(s.name) for s in specs]), F.col(MODEL)).cast("int")
+    summary = fold_summary(per_fold, [MODEL]).withColumn("model_order", order)
+    return summary, held_out, models
 
 
 def select_best(cv: DataFrame, held_out_metrics: DataFrame) -> DataFrame:
@@ -316,14 +337,15 @@ def search(
     for spec in specs:
         if result.trials and time.monotonic() - started > space.time_budget:
             break
-        scored = cross_validate(train, spec, numeric, text, row_key, folds)
+        scored = cross_validate(train, [spec], numeric, text, row_key, folds)
         mean = auroc(scored, ["fold"]).agg(F.avg("auroc")).first()[0]
         result.trials.append((spec.name, mean if mean is not None else 0.0))
     passed = [t for t in result.trials if t[1] >= space.score_threshold]
     chosen = sorted(passed, key=lambda t: -t[1])[: space.ensemble_size]
     total = sum(score for _, score in chosen)
     by_name = {s.name: s for s in specs}
-    result.members = [(score / total, fit(train, by_name[name], numeric, text)) for name, score in chosen]
+    fitted = fit_all(train, [by_name[name] for name, _ in chosen], numeric, text) if chosen else {}
+    result.members = [(score / total if total else 1.0 / len(chosen), fitted[name]) for name, score in chosen]
     return result
 
 

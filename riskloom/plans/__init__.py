@@ -1,0 +1 @@
+"""Whole workflows as chains of operators."""
