@@ -19,7 +19,7 @@ from riskloom.fixed import (
     YES_WORDS,
 )
 
-NUMERIC_TEXT = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+NOT_IN_NUMBERS = r"[^-+.0-9eE\s]"
 
 
 def strip(value: Column) -> Column:
@@ -32,14 +32,18 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
-def looks_numeric(value: Column) -> Column:
-    return value.rlike(NUMERIC_TEXT)
-
-
 def number(value: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes missing."""
+    """Text to double; anything that is not a plain decimal number becomes missing.
+
+    The cast trims white space but would also take `5f`, `nan` and `Infinity`.
+    """
     text = value.cast("string")
-    return F.when(looks_numeric(text), strip(text).try_cast("double"))
+    return F.when(~text.rlike(NOT_IN_NUMBERS), text.try_cast("double"))
+
+
+def looks_numeric(value: Column) -> Column:
+    """Whether a filled text is a plain number; missing stays missing."""
+    return F.when(value.isNotNull(), number(value).isNotNull())
 
 
 def normalized_name(value: Column) -> Column:

@@ -16,7 +16,7 @@ from riskloom.fixed import (
     MISSING_MARK,
     TARGET_LIKE_NAMES,
 )
-from riskloom.operators.metrics import SCORE, TRUTH, score_cells
+from riskloom.operators.metrics import SCORE, TRUTH, score_cells, whole
 from riskloom.operators.profile import CATEGORICAL, NUMERIC, feature_lists, type_plan
 from riskloom.operators.ranking import range_cuts, running_totals
 
@@ -34,7 +34,7 @@ def numeric_signal(df: DataFrame, features: Sequence[str], target: str, split: s
     ordered = running_totals(score_cells(cells, groups, label=None), groups, SCORE, ["pos", "neg"], cuts)
     wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2))
     sums = ordered.groupBy(*groups).agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count(F.lit(1)).alias("levels"), wins.alias("wins")
+        whole("pos").alias("p"), whole("neg").alias("n"), F.count(F.lit(1)).alias("levels"), wins.alias("wins")
     )
     observed = F.col("p") + F.col("n")
     area = F.try_divide(F.col("wins"), F.col("p").cast("double") * F.col("n").cast("double"))

@@ -24,6 +24,15 @@ def ratio(part: Column, whole: Column, otherwise: Column | None = None) -> Colum
     return value if otherwise is None else F.coalesce(value, otherwise)
 
 
+def whole(count: str) -> Column:
+    """Group total of a count after `running_totals`.
+
+    It equals the sum over the rows. Asking the range totals as well makes both
+    branches of that plan need the same columns, so they share one shuffle.
+    """
+    return F.greatest(F.sum(count), F.max(f"total_{count}"))
+
+
 def score_cells(
     predictions: DataFrame, groups: Sequence[str], weight: str | None = None, label: str | None = LABEL
 ) -> DataFrame:
@@ -64,7 +73,7 @@ def metric_table(
     """The eight metrics, one row per group."""
     cuts = range_cuts(predictions, SCORE) if cuts is None else cuts
     cells = score_cells(predictions, groups, weight)
-    ordered = running_totals(cells, groups, SCORE, ["pos", "neg"], cuts)
+    ordered = running_totals(cells, groups, SCORE, ["pos", "neg", "tp", "fp"], cuts)
 
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     all_pos, all_neg = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
@@ -73,10 +82,7 @@ def metric_table(
     score = F.col(SCORE)
 
     sums = ordered.groupBy(*groups).agg(
-        F.sum("pos").alias("n_positive"),
-        F.sum("neg").alias("n_negative"),
-        F.sum("tp").alias("tp"),
-        F.sum("fp").alias("fp"),
+        *[whole(c).alias(n) for c, n in (("pos", "n_positive"), ("neg", "n_negative"), ("tp", "tp"), ("fp", "fp"))],
         F.sum(pos * (F.col("before_neg") + neg / 2)).alias("_wins"),
         F.sum(F.when(pos > 0, F.try_divide(pos, all_pos) * F.try_divide(pos_from, rows_from))).alias("auprc"),
         F.sum(pos * (score - 1) * (score - 1) + neg * score * score).alias("_squares"),
@@ -103,8 +109,8 @@ def auroc(predictions: DataFrame, groups: Sequence[str], cuts: Sequence[float] |
     ordered = running_totals(cells, groups, SCORE, ["pos", "neg"], cuts)
     wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2))
     return ordered.groupBy(*groups).agg(
-        F.sum("pos").alias("n_positive"),
-        F.sum("neg").alias("n_negative"),
+        whole("pos").alias("n_positive"),
+        whole("neg").alias("n_negative"),
         F.count(F.lit(1)).alias("distinct_scores"),
         ratio(wins, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auroc"),
     )

@@ -41,7 +41,7 @@ def with_range(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
     column = "_order_value"
     staged = df.withColumn(column, F.col(order).cast("double"))
     staged = Bucketizer(splits=splits, inputCol=column, outputCol=BUCKET, handleInvalid="keep").transform(staged)
-    return staged.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(column)
+    return staged.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(0))).drop(column)
 
 
 def running_totals(

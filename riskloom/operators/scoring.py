@@ -279,30 +279,38 @@ def normalized_response(body: Column) -> list[Column]:
     ]
 
 
-def stamped(df: DataFrame, version: str, route: str, notes: Column) -> DataFrame:
+def stamped(df: DataFrame, version: str, route: Column) -> DataFrame:
     """Model version, route and UTC stamp of every scored row."""
     return df.withColumns(
         {
-            "model_version": F.lit(f"{version}::{route}"),
-            "serving_route": F.lit(f"/predict/{route}" if route else "/predict"),
+            "model_version": F.concat(F.lit(f"{version}::"), route),
+            "serving_route": F.concat(F.lit("/predict/"), route),
             "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-            "notes": notes,
         }
     )
 
 
 def response(
-    df: DataFrame, score: Column, explanation: Column, notes: Column, version: str, route: str, keep: Sequence[str]
+    df: DataFrame,
+    score: Column,
+    explanation: Column,
+    notes: Column,
+    version: str,
+    route: str | Column,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Score, label, explanation and stamps of every row, as one chain of projections."""
     scored = df.select(
         *keep,
         score.cast("double").alias("_score"),
         explanation.alias("explanation"),
-        notes.alias("_note"),
+        notes.alias("notes"),
+        (F.lit(route) if isinstance(route, str) else route).alias("_route"),
     ).withColumn("risk_score", probability(F.col("_score")))
-    labelled = scored.select(*keep, "risk_score", band(F.col("risk_score")).alias("prediction_label"), "explanation", "_note")
-    return stamped(labelled, version, route, F.col("_note")).drop("_note")
+    labelled = scored.withColumn("prediction_label", band(F.col("risk_score")))
+    return stamped(labelled, version, F.col("_route")).select(
+        *keep, "risk_score", "prediction_label", "model_version", "serving_route", "timestamp", "notes", "explanation"
+    )
 
 
 def research_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:

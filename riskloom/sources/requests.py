@@ -25,40 +25,52 @@ def parse_requests(df: DataFrame, body: str, is_base64: str | None = None) -> Da
     `rejection` is missing for a usable request.
     """
     text = decoded(F.col(body), F.col(is_base64) if is_base64 else None)
-    staged = df.withColumn("_text", F.coalesce(F.nullif(text, F.lit("")), F.lit("{}"))).withColumn(
-        "_body", F.from_json("_text", "map<string,string>")
-    )
+    whole = F.from_json(F.coalesce(F.nullif(text, F.lit("")), F.lit("{}")), "map<string,string>")
+    staged = df.select("*", once(whole.alias("_body")))
 
     def is_object(value: Column) -> Column:
         return F.coalesce(value.startswith("{"), F.lit(False))
 
-    others = F.filter(
-        F.map_entries("_body"), lambda e: ~e["key"].isin(*RESERVED) & is_object(e["value"])
-    )
+    others = F.filter(F.map_entries("_body"), lambda e: ~e["key"].isin(*RESERVED) & is_object(e["value"]))
     named = F.try_element_at("_body", F.lit("inputs"))
     chosen = F.when(is_object(named), named).otherwise(F.get(others, F.lit(0))["value"])
-    mode_given = F.map_contains_key("_body", "mode")
     mode = F.lower(strip(F.coalesce(F.try_element_at("_body", F.lit("mode")), F.lit("none"))))
-    parsed = staged.withColumns(
-        {
-            "mode": F.when(mode_given, mode).when(F.col("_body").isNotNull(), "research"),
-            "inputs": F.from_json(chosen, "map<string,string>"),
-            "context": F.from_json(
-                F.try_element_at("_body", F.lit("context")),
-                "struct<case_id:string,patient_name:string,clinical_note:string>",
-            ),
-        }
+    context = "struct<case_id:string,patient_name:string,clinical_note:string>"
+    parsed = staged.select(
+        *df.columns,
+        once(
+            F.when(F.map_contains_key("_body", "mode"), mode)
+            .when(F.col("_body").isNotNull(), "research")
+            .alias("mode"),
+            F.from_json(chosen, "map<string,string>").alias("inputs"),
+            F.from_json(F.try_element_at("_body", F.lit("context")), context).alias("context"),
+            F.col("_body").isNull().alias("_broken"),
+        ),
     )
     rejection = (
-        F.when(F.col("_body").isNull(), "invalid_json")
+        F.when(F.col("_broken"), "invalid_json")
         .when(F.col("inputs").isNull(), "missing_inputs")
         .when(~F.col("mode").isin(*MODES), "unsupported_mode")
     )
-    return parsed.withColumn("rejection", rejection).drop("_text", "_body")
+    return parsed.withColumn("rejection", rejection).drop("_broken")
+
+
+def once(*columns: Column) -> Column:
+    """Columns that later filters and projections use as they are.
+
+    A filter on a plain projection is pushed below it and would parse the body
+    again for each use of a parsed value.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
+def usable(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("rejection").isNull())
 
 
 def routed(parsed: DataFrame, mode: str) -> DataFrame:
-    return parsed.filter(F.col("rejection").isNull() & (F.col("mode") == mode))
+    """Requests of one route."""
+    return usable(parsed).filter(F.col("mode") == mode)
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:

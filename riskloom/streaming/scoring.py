@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.fixed import RESEARCH_NOTE
 from riskloom.operators.scoring import (
     Field,
-    clinical_response,
+    clinical_contributions,
+    clinical_note,
     map_fields,
-    research_response,
+    research_contributions,
     research_score,
+    response,
     translated,
 )
-from riskloom.sources.requests import parse_requests, quarantined, routed
+from riskloom.sources.requests import parse_requests, quarantined, usable
 
 Score = Callable[[Field], Column]
 
@@ -30,13 +33,21 @@ def score_requests(
 ) -> DataFrame:
     """Responses of both routes. Stateless, so it runs on a stream or a table.
 
-    The clinical route scores the translated research view of its inputs.
+    Each request is read and parsed once; its mode picks the branch. The
+    clinical route scores the translated research view of its inputs.
     """
-    parsed = parse_requests(requests, body, is_base64)
+    parsed = usable(parse_requests(requests, body, is_base64))
     field = map_fields("inputs")
-    research = research_response(routed(parsed, "research"), score(field), field, version, keys)
-    clinical = clinical_response(routed(parsed, "clinical"), score(translated(field)), field, version, keys)
-    return research.unionByName(clinical)
+    clinical = F.col("mode") == "clinical"
+    return response(
+        parsed,
+        F.when(clinical, score(translated(field))).otherwise(score(field)),
+        F.when(clinical, clinical_contributions(field)).otherwise(research_contributions(field)),
+        F.when(clinical, clinical_note(field)).otherwise(RESEARCH_NOTE),
+        version,
+        F.col("mode"),
+        keys,
+    )
 
 
 def rejected_requests(requests: DataFrame, body: str, keys: list[str], is_base64: str | None = None) -> DataFrame:
