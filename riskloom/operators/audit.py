@@ -448,7 +448,7 @@ def apply_repairs(df: DataFrame, row_key: str, features: Sequence[str], codes: D
     neither shuffled nor joined.
     """
     listed = codes.filter(F.col("feature").isin(*features)).select("feature", "token", "code")
-    limit = 20000
+    limit = 2000
     pairs = listed.limit(limit + 1).collect()
     if len(pairs) > limit:
         return apply_repairs_by_join(df, row_key, features, listed)

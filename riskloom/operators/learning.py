@@ -40,6 +40,8 @@ INDEXED, ENCODED, RAW, VECTOR = "_index", "_onehot", "_raw", "features"
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of all columns in one ordered pass; one number per column reaches the driver."""
+    if not columns:
+        return {}
     cells = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "column", "value")
     rows = exact_quantiles(cells, ["column"], "value", {"median": 0.5}).collect()
     return {r["column"]: r["median"] for r in rows}
@@ -47,6 +49,8 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent text of every column, the smallest one on a tie."""
+    if not columns:
+        return {}
     cells = df.select(*[F.col(c).cast("string") for c in columns]).unpivot([], list(columns), "column", "value")
     counts = cells.filter("value is not null").groupBy("column", "value").agg((-F.count(F.lit(1))).alias("n"))
     best = counts.groupBy("column").agg(F.min(F.struct("n", "value"))["value"].alias("value"))

@@ -122,8 +122,12 @@ def with_history(events: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
 
 
 def violation(previous_status: Column, previous_active: Column, model: Column, event_type: Column) -> Column:
-    """Why an event should have been refused; missing when it was allowed."""
-    current = F.coalesce(model == previous_active, F.lit(False)) & (previous_status == "active")
+    """Why an event should have been refused; missing when it was allowed.
+
+    The log is taken at its word: an event that should have been refused still
+    counts for the events after it.
+    """
+    current = F.coalesce(model == previous_active, F.lit(False))
     return (
         F.when((event_type == "approved") & (previous_status == "retired"), "retired_cannot_be_approved")
         .when((event_type == "approved") & (previous_status == "active"), "active_is_already_approved")

@@ -158,7 +158,15 @@ def profile(df: DataFrame, target: str) -> DataFrame:
 def profile_document(df: DataFrame, target: str, dataset_id: str, dataset_name: str) -> DataFrame:
     """The profile as one JSON text; its size depends on the columns and classes only."""
     entries = profile(df, target).groupBy("section", "item").agg(
-        F.map_from_entries(F.collect_list(F.struct("measure", "value"))).alias("measures")
+        F.array_sort(F.collect_list(F.struct("measure", "value"))).alias("measures")
+    )
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct("section", "item", "measures"))),
+        lambda e: F.struct(
+            e["section"].alias("section"),
+            e["item"].alias("item"),
+            F.map_from_entries(e["measures"]).alias("measures"),
+        ),
     )
     schema = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(dtype_name(f.dataType)))])
     return entries.agg(
@@ -168,7 +176,7 @@ def profile_document(df: DataFrame, target: str, dataset_id: str, dataset_name:
                 F.lit(dataset_name).alias("dataset_name"),
                 F.lit(target).alias("target_column"),
                 schema.alias("dtypes"),
-                F.array_sort(F.collect_list(F.struct("section", "item", "measures"))).alias("entries"),
+                ordered.alias("entries"),
             )
         ).alias("document")
     )

@@ -210,9 +210,9 @@ def transition_audit(spark, folder):
 
 AUDIT_SQL = f"""WITH {lifecycle_sql(1)},
 v AS (SELECT *, CASE WHEN event_type = 'approved' AND previous_status = 'retired' THEN 'retired_cannot_be_approved' WHEN event_type = 'approved' AND previous_status = 'active' THEN 'active_is_already_approved'
-  WHEN event_type = 'promoted' AND coalesce(previous_status NOT IN ('approved', 'active'), true) THEN 'only_approved_can_be_promoted' WHEN event_type = 'promoted' AND previous_status = 'active' AND model_id = previous_active THEN 'already_active'
+  WHEN event_type = 'promoted' AND coalesce(previous_status NOT IN ('approved', 'active'), true) THEN 'only_approved_can_be_promoted' WHEN event_type = 'promoted' AND model_id = previous_active THEN 'already_active'
   WHEN event_type = 'rolled_back' AND previous_active IS NULL THEN 'no_active_model_to_roll_back_from' WHEN event_type = 'rolled_back' AND coalesce(previous_status NOT IN ('approved', 'active'), true) THEN 'rollback_target_not_approved'
-  WHEN event_type = 'rolled_back' AND previous_status = 'active' AND model_id = previous_active THEN 'rollback_target_is_current' END AS violation FROM prev)
+  WHEN event_type = 'rolled_back' AND model_id = previous_active THEN 'rollback_target_is_current' END AS violation FROM prev)
 SELECT event_id, model_id, event_type, previous_status, previous_active, violation FROM v WHERE violation IS NOT NULL"""
 
 
