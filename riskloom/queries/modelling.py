@@ -83,7 +83,7 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    data = model_table(spark, folder)
+    data = model_table(spark, folder).persist()
     return data.filter("split = 'train'").drop("split"), data.filter("split = 'test'").drop("split")
 
 
@@ -105,16 +105,15 @@ def best_baseline(spark, folder):
 
 
 def searched(spark, folder):
-    """Search over scaling and selection, weighted ensemble, responses on the held-out part."""
+    """Search over imputers, best pipeline as an ensemble of one, bands of the held-out part."""
     train, test = _parts(spark, folder)
     train = split.stratified_folds(train, "doc_id", "target_true", 2).persist()
     space = learning.SearchSpace(
-        classifiers={"logistic": learning.logistic_regression},
-        imputers=("ice",),
-        scaling=("nop", "standard"),
+        classifiers={"forest": learning.random_forest(5)},
+        imputers=("median", "ice"),
+        scaling=("standard",),
         selection=("cleanup",),
         score_threshold=0.0,
-        ensemble_size=2,
     )
     result = learning.search(train, space, NUMERIC, TEXT, "doc_id", 2)
     scored = learning.predict_ensemble(result.members, test, "doc_id", "ensemble")
