@@ -41,8 +41,8 @@ g AS (SELECT host, good, bad, m FROM h JOIN dm USING (domain)),
 hr AS (SELECT sum((good + bad) * (good / (good + bad) - m) ^ 2 - m * (1 - m)) AS e, sum((good + bad - 1) * m * (1 - m)) AS c FROM g WHERE good + bad > 0),
 hw AS (SELECT coalesce(least(greatest(CASE WHEN c IS NULL OR c <= 0 THEN 10 WHEN e / c <= 0 THEN 1000 ELSE c / e - 1 END, 1), 1000), 10) AS w FROM hr),
 ab AS (SELECT host, good + w * m AS a, bad + w * (1 - m) AS b FROM g, hw),
-r AS (SELECT host, a / (a + b) AS mean, a / (a + b) - sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
-SELECT page_id, p.host, p.path, rule, coalesce(said, CASE WHEN bound >= 0.4 THEN 'allow' ELSE 'block' END) AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound
+r AS (SELECT host, a / (a + b) AS mean, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
+SELECT page_id, p.host, p.path, rule, coalesce(said, CASE WHEN bound >= 0.8 THEN 'allow' ELSE 'block' END) AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound
 FROM p JOIN r USING (host) LEFT JOIN hits ON hits.host = p.host AND hits.path = p.path"""
 
 

@@ -49,8 +49,8 @@ class Shrinkage:
 
     strength: float = 10.0
     most: float = 1000.0
-    z: float = 1.0
-    threshold: float = 0.4
+    z: float = 1.64
+    threshold: float = 0.8
 
 
 def host_of(url: Column) -> Column:
