@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import url_reputation
+from riskloom.llm import license_scan, rule_forest, secret_scan, url_reputation
 from riskloom.llm.common import table
 
 
@@ -46,5 +46,30 @@ SELECT page_id, p.host, p.path, rule, coalesce(said, CASE WHEN bound >= 0.8 THEN
 FROM p JOIN r USING (host) LEFT JOIN hits ON hits.host = p.host AND hits.path = p.path"""
 
 
-QUERIES = {"op8_url_reputation": op8_url_reputation}
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents")).drop("places")
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = secret_scan.train(secret_scan.samples(documents))
+    found = secret_scan.scan(documents.select("doc_id", "text"), model)
+    counts = [secret_scan.number_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in secret_scan.PATTERNS]
+    digest = F.sha2(secret_scan.listing(F.col("base_spans")), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
+
+
+def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
+    judged = rule_forest.judge(table(spark, folder, "documents"), labels)
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*base, F.round("score", 6).alias("score"))
+
+
+QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_url_reputation": op8_url_reputation,
+    "op10_rule_forest": op10_rule_forest,
+}
 ORACLE = {"op8_url_reputation": OP8_SQL}

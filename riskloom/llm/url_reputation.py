@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ascii_lower
+from riskloom.llm.common import ascii_lower, stored
 
 #: Suffixes of two labels below which domains are registered.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
@@ -108,7 +108,8 @@ def prior_weight(setting: Shrinkage) -> Column:
 def shrunk(groups: DataFrame, setting: Shrinkage) -> DataFrame:
     """Adds the posterior's a, b and mean. Groups without an outcome don't tell the weight."""
     known = groups.where(F.col("good") + F.col("bad") > 0)
-    weight = F.coalesce(known.agg(prior_weight(setting).alias("weight")).scalar(), F.lit(setting.strength))
+    weight = known.agg(prior_weight(setting).alias("weight")).first()[0]
+    weight = F.lit(setting.strength if weight is None else weight)
     a = F.col("good") + weight * F.col("parent_mean")
     b = F.col("bad") + weight * (1 - F.col("parent_mean"))
     return groups.withColumns({"a": a, "b": b}).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
@@ -125,16 +126,17 @@ def reputation(outcomes: DataFrame, setting: Shrinkage = Shrinkage()) -> DataFra
     count; a host with none of its pages labelled gets what its domain says.
     """
     good = F.col("good").cast("double")
-    hosts = (
+    hosts = stored(
         outcomes.groupBy("host")
         .agg(F.coalesce(F.sum(good), F.lit(0.0)).alias("good"), F.count(good).cast("double").alias("n"))
         .select("host", "good", (F.col("n") - F.col("good")).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}),
+        "hosts",
     )
     counts = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
     pages = F.col("good") + F.col("bad")
-    overall = hosts.agg(((F.sum("good") + 1) / (F.sum(pages) + 2)).alias("share")).scalar()
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*counts).withColumn("parent_mean", overall), setting)
+    overall = hosts.agg(((F.sum("good") + 1) / (F.sum(pages) + 2)).alias("share")).first()[0]
+    suffixes = shrunk(hosts.groupBy("suffix").agg(*counts).withColumn("parent_mean", F.lit(overall).cast("double")), setting)
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
     domains = shrunk(domains.join(parents(suffixes, "suffix"), "suffix"), setting)
     hosts = shrunk(hosts.join(parents(domains, "domain"), "domain"), setting)
