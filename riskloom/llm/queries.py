@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import license_scan, rule_forest, secret_scan, url_reputation
+from riskloom.llm import bpe_automaton, cutting_stock, license_scan, rule_forest, secret_scan, url_reputation
 from riskloom.llm.common import table
 
 
@@ -59,6 +60,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
+def op7_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_automaton.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting_stock.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
     judged = rule_forest.judge(table(spark, folder, "documents"), labels)
@@ -69,7 +78,9 @@ def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op7_bpe_automaton": op7_bpe_automaton,
     "op8_url_reputation": op8_url_reputation,
+    "op9_cutting_stock": op9_cutting_stock,
     "op10_rule_forest": op10_rule_forest,
 }
 ORACLE = {"op8_url_reputation": OP8_SQL}
