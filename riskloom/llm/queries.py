@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe_automaton, cutting_stock, license_scan, rule_forest, secret_scan, url_reputation
+from riskloom.llm import bpe_automaton, cutting_stock, license_scan, rule_forest, secret_scan, tensored_minhash, url_reputation, voronoi_knn
 from riskloom.llm.common import table
 
 
@@ -47,6 +47,21 @@ SELECT page_id, p.host, p.path, rule, coalesce(said, CASE WHEN bound >= 0.8 THEN
 FROM p JOIN r USING (host) LEFT JOIN hits ON hits.host = p.host AND hits.path = p.path"""
 
 
+def op1_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = voronoi_knn.whole_vectors(table(spark, folder, "embeddings"))
+    return voronoi_knn.search(vectors.withColumn("is_query", F.col("vec_id") % 20 == 0))
+
+
+OP1_SQL = """
+WITH w AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+q AS (SELECT vec_id AS query_id, unnest(v) AS a, unnest(range(len(v))) AS i FROM w WHERE vec_id % 20 = 0),
+d AS (SELECT vec_id, unnest(v) AS b, unnest(range(len(v))) AS i FROM w),
+s AS (SELECT query_id, vec_id, sum(a * b)::BIGINT AS score FROM q JOIN d USING (i) WHERE query_id <> vec_id GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents")).drop("places")
 
@@ -60,6 +75,21 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
+def op6_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return tensored_minhash.near_duplicates(table(spark, folder, "documents"), tensored_minhash.MinHashSetting(words=2))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN [t[1]] ELSE list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+hits AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT u, v FROM hits WHERE 100 * k >= 80 * (n + m - k)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(u, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.v, r.c FROM reach r JOIN both_ways b ON b.u = r.u)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept FROM s JOIN reach ON u = doc_id GROUP BY s.doc_id, len(s)"""
+
+
 def op7_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -76,11 +106,13 @@ def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op6_tensored_minhash": op6_tensored_minhash,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_url_reputation": op8_url_reputation,
     "op9_cutting_stock": op9_cutting_stock,
     "op10_rule_forest": op10_rule_forest,
 }
-ORACLE = {"op8_url_reputation": OP8_SQL}
+ORACLE = {"op1_voronoi_knn": OP1_SQL, "op6_tensored_minhash": OP6_SQL, "op8_url_reputation": OP8_SQL}
