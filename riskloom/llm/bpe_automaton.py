@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Sequence
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import batches
 
-END = "</w>"
+END = -2
 ROOT = -1
 
 
@@ -40,7 +39,8 @@ def byte_letters() -> dict[int, str]:
 class Automaton:
     """The deterministic automaton of a vocabulary (token -> id) and its merges, in order."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: Sequence[tuple[str, str]]) -> None:
+    def __init__(self, vocabulary: dict[str, int], merges: Sequence[tuple[str, str]], end: str = "") -> None:
+        """end: what the vocabulary writes behind the last byte of a word."""
         self.labels = {i: token for token, i in vocabulary.items()}
         made = [vocabulary[u + v] for u, v in merges]
         self.born: dict[int, int] = dict.fromkeys(vocabulary.values(), -1)  # the merge that made a token
@@ -54,7 +54,20 @@ class Automaton:
             self._gadget(k, vocabulary[u], vocabulary[v], w)
         self.memo = {}
         self.ids = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
+        self.trie = self._trie(end)
+
+    def _trie(self, end: str) -> dict:
+        """Tokens by their bytes: -1 leads to the id of a token that may stand inside a word, END to one that ends it."""
+        codes, root = {letter: b for b, letter in byte_letters().items()}, {}
+        for token, number in self.ids.items():
+            last = bool(end) and token.endswith(end)
+            node = root
+            for letter in token[: len(token) - len(end)] if last else token:
+                node = node.setdefault(codes[letter], {})
+            node[END if last else -1] = number
+            if not end:
+                node[END] = number
+        return root
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         if w in self.parts:
@@ -102,60 +115,85 @@ class Automaton:
             known = self.memo[key] = self._arc(self.state(label), token)
         return known
 
-    def path(self, word: str) -> list[int]:
-        """Labels of the path that spells `word`, given in byte letters with END behind the last.
+    def _longest_last(self, data: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the vocabulary's tokens at `at`; those that end the word have its length and one as end."""
+        found, node, size = [], self.trie, len(data)
+        for stop in range(at, size):
+            node = node.get(data[stop])
+            if node is None:
+                return found
+            if stop + 1 < size and -1 in node:
+                found.append((stop + 1, node[-1]))
+        if END in node:
+            found.append((size, node[END]))
+        return found
+
+    def path(self, data: bytes) -> list[int]:
+        """Labels of the path that spells the bytes of one word.
 
         Longest arcs are tried first; a place from which the rest can't be spelled is not entered twice.
         """
-        size = len(word) - len(END) if word.endswith(END) else len(word)
-        ids, labels, places, closed = self.ids, [ROOT], [0], set()
-        length = min(self.longest, len(word))
-        while places[-1] < size:
-            at = places[-1]
-            found = None
-            while length > 0:
-                stop = at + length
-                if stop == size < len(word):  # a last letter without its END is no symbol of the word
-                    length -= 1
-                    continue
-                if stop not in closed:
-                    found = ids.get(word[at:stop] if stop < size else word[at:])
-                    if found is not None and self.follows(labels[-1], found):
-                        break
-                    found = None
-                length -= 1
-            if found is None:
-                if len(places) == 1:
-                    raise ValueError(f"The vocabulary can't spell {word!r}.")
+        size, labels, closed = len(data), [], set()
+        trail: list[tuple[int, list[tuple[int, int]]]] = []
+        at, before, ahead = 0, ROOT, self._longest_last(data, 0)
+        memo, follows = self.memo, self.follows
+        while True:
+            while ahead:
+                stop, token = ahead.pop()
+                if stop not in closed and (memo.get((before, token)) or follows(before, token)):
+                    break
+            else:
+                if not trail:
+                    raise ValueError(f"The vocabulary can't spell {data!r}.")
                 closed.add(at)
-                places.pop()
+                at, ahead = trail.pop()
                 labels.pop()
-                length = at - places[-1] - 1
+                before = labels[-1] if labels else ROOT
                 continue
-            places.append(stop if stop < size else size)
-            labels.append(found)
-            length = min(self.longest, len(word) - places[-1])
-        return labels[1:]
+            trail.append((at, ahead))
+            labels.append(token)
+            if stop == size:
+                return labels
+            at, before, ahead = stop, token, self._longest_last(data, stop)
 
 
-#: Numbers that are no decimal digits, and separators that are no white space: the fast patterns take them for others.
-ODD = re.compile(
-    "[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("Nl", "No")) + "\x1c-\x1f]"
-)
 CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def letter_class(wanted) -> str:
+    """A class of all signs up to U+FFFF that are `wanted`, as ranges."""
+    codes = [c for c in range(0x10000) if wanted(chr(c))]
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends)) + "]"
+
+
+LETTER = letter_class(str.isalpha)
+ODD_NUMBER = re.compile(letter_class(lambda c: unicodedata.category(c) in ("Nl", "No")))
+
+
+def odd(text: str) -> bool:
+    """Whether `text` may hold what the fast patterns take for something else.
+
+    These are numbers that are no decimal digits, separators that are no white space, and signs beyond U+FFFF.
+    """
+    if any(map(text.__contains__, SEPARATORS)):
+        return True
+    return not text.isascii() and (len(text.encode("utf-16-le")) > 2 * len(text) or ODD_NUMBER.search(text) is not None)
 
 
 class WordSplitter:
     """NFC, lower case letter by letter, then runs of letters, single digits and runs of other signs; no white space."""
 
-    fast = re.compile(rf"{CLITICS}|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    fast = re.compile(rf"{LETTER}++|\d|{CLITICS}|(?:[^\s\w]|_)++")
     exact = regex.compile(rf"{CLITICS}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
 
     def __call__(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # else lower() would look at its neighbours
         text = text.lower()
-        return (self.exact if ODD.search(text) else self.fast).findall(text)
+        return (self.exact if odd(text) else self.fast).findall(text)
 
 
 class Codec:
@@ -163,7 +201,6 @@ class Codec:
 
     def __init__(self, automaton: Automaton, special: dict[str, int]) -> None:
         self.automaton, self.special, self.split = automaton, special, WordSplitter()
-        self.letters = [byte_letters()[b] for b in range(256)]
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.names = automaton.labels | {i: token for token, i in special.items()}
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -175,11 +212,11 @@ class Codec:
             content = json.load(file)
         model = content["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        return cls(Automaton(model["vocab"], merges), {t["content"]: t["id"] for t in content["added_tokens"]})
+        automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        return cls(automaton, {t["content"]: t["id"] for t in content["added_tokens"]})
 
     def word(self, word: str) -> list[int]:
-        letters = self.letters
-        return self.automaton.path("".join([letters[b] for b in word.encode()]) + END)
+        return self.automaton.path(word.encode())
 
     def _pieces(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut else [text]

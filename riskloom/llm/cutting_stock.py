@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm.bpe_automaton import CLITICS, ODD
+from riskloom.llm.bpe_automaton import CLITICS, LETTER, byte_letters, odd
 from riskloom.llm.common import batches, stored
 from riskloom.session import shuffle_partitions
 
@@ -54,7 +55,7 @@ class ByteBpe:
     Texts are split into words here, and a word is encoded once: most words come again and again.
     """
 
-    fast = re.compile(rf"{CLITICS}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    fast = re.compile(rf" ?{LETTER}++| ?\d++|{CLITICS}| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
     exact = regex.compile(
         rf"{CLITICS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
     )
@@ -65,6 +66,7 @@ class ByteBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
         self.model = None
+        self.letters = [byte_letters()[b] for b in range(256)]
 
     def __getstate__(self):
         return self.content
@@ -77,9 +79,13 @@ class ByteBpe:
             self.model = Tokenizer.from_str(self.content)
         if len(self.words) + len(words) > 1_000_000:  # a memo, not a result
             self.words = {}
-        listed = list(words)
-        for word, made in zip(listed, self.model.encode_batch_fast(listed, add_special_tokens=False)):
-            self.words[word] = np.asarray(made.ids, "<u4").tobytes()
+        letters, encode = self.letters, self.model.model.tokenize
+        for word in words:
+            if word in self.special:
+                ids = [self.special[word]]
+            else:
+                ids = [token.id for token in encode("".join([letters[b] for b in word.encode()]))]
+            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
@@ -90,7 +96,7 @@ class ByteBpe:
                 if piece in self.special:
                     words.append(piece)
                 else:
-                    words += (self.exact if ODD.search(piece) else self.fast).findall(piece)
+                    words += (self.exact if odd(piece) else self.fast).findall(piece)
             split.append(words)
         known = self.words
         new = {w for words in split for w in words if w not in known}

@@ -54,7 +54,7 @@ def test_small_automaton_accepts_only_what_merges_make():
         return parts
 
     words = [format(n, "b").replace("0", "a").replace("1", "b") for n in range(1, 4096)]
-    assert all([made.labels[i] for i in made.path(w)] == plain(w) for w in words)
+    assert all([made.labels[i] for i in made.path(w.encode())] == plain(w) for w in words)
 
 
 def test_queries_over_tables(spark, library):
