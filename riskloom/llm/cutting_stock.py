@@ -49,6 +49,18 @@ class PackSetting:
 # --- Token ids ---------------------------------------------------------------------------------------------------------
 
 
+class Words(dict):
+    """Ids of words as bytes, filled as words come."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        self[word] = made = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+
 class ByteBpe:
     """Ids of whole texts by a byte-level vocabulary of the tokenizers library, as little-endian 32-bit numbers.
 
@@ -64,9 +76,8 @@ class ByteBpe:
         self.content = content
         self.special = {t["content"]: t["id"] for t in json.loads(content)["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.model = None
         self.letters = [byte_letters()[b] for b in range(256)]
+        self.words, self.model = Words(self._ids), None
 
     def __getstate__(self):
         return self.content
@@ -74,39 +85,25 @@ class ByteBpe:
     def __setstate__(self, content: str) -> None:
         self.__init__(content)
 
-    def _new(self, words: set[str]) -> None:
+    def _ids(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
         if self.model is None:
-            self.model = Tokenizer.from_str(self.content)
-        if len(self.words) + len(words) > 1_000_000:  # a memo, not a result
-            self.words = {}
-        letters, encode = self.letters, self.model.model.tokenize
-        for word in words:
-            if word in self.special:
-                ids = [self.special[word]]
+            self.model = Tokenizer.from_str(self.content).model
+        letters = self.letters
+        return [token.id for token in self.model.tokenize("".join([letters[b] for b in word.encode()]))]
+
+    def encode(self, text: str | None) -> bytes:
+        words: list[str] = []
+        for piece in self.cut.split(text or "") if self.cut else [text or ""]:
+            if piece in self.special:
+                words.append(piece)
             else:
-                ids = [token.id for token in encode("".join([letters[b] for b in word.encode()]))]
-            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            pieces = self.cut.split(text or "") if self.cut else [text or ""]
-            words: list[str] = []
-            for piece in pieces:
-                if piece in self.special:
-                    words.append(piece)
-                else:
-                    words += (self.exact if odd(piece) else self.fast).findall(piece)
-            split.append(words)
+                words += (self.exact if odd(piece) else self.fast).findall(piece)
+        if len(self.words) > 1_000_000:  # a memo, not a result
+            self.words.clear()
         known = self.words
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self._new(new)
-            known = self.words
-            if any(w not in known for words in split for w in words):  # the memo began anew
-                self._new({w for words in split for w in words if w not in known})
-                known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        return b"".join([known[w] for w in words])
 
 
 def tokens(documents: DataFrame, path: str, setting: PackSetting = PackSetting()) -> DataFrame:
@@ -120,8 +117,8 @@ def tokens(documents: DataFrame, path: str, setting: PackSetting = PackSetting()
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         rows = []
-        for data in shared.value.encode(batch.column(1).to_pylist()):
-            data += b"\0\0\0\0"
+        for text in batch.column(1).to_pylist():
+            data = shared.value.encode(text) + b"\0\0\0\0"
             n = len(data) // 4
             whole = n - n % size
             full = [crc32(data[4 * at : 4 * (at + size)]) for at in range(0, whole, size)]

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe_automaton, cutting_stock, license_scan, rule_forest, secret_scan, tensored_minhash, url_reputation, voronoi_knn
+from riskloom.llm import (
+    bpe_automaton,
+    cotraining,
+    cutting_stock,
+    license_scan,
+    rule_forest,
+    secret_scan,
+    tensored_minhash,
+    toxicity_chain,
+    url_reputation,
+    voronoi_knn,
+)
 from riskloom.llm.common import table
 
 
@@ -62,6 +73,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
 
 
+def op2_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    setting = toxicity_chain.ChainSetting()
+    chain = toxicity_chain.train(toxicity_chain.categories_of(labels, documents, setting), setting=setting)
+    scored = toxicity_chain.score(documents, chain)
+    rounded = {f"p_{c}": F.round(f"p_{c}", 6) for c in chain.categories}
+    return scored.withColumns({**rounded, "kept": ~F.col("toxic")})
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents")).drop("places")
 
@@ -75,6 +95,13 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
+def op5_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
+    model = cotraining.train(documents, labels)
+    return cotraining.score(documents, model).withColumn("quality", F.round("quality", 6))
+
+
 def op6_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return tensored_minhash.near_duplicates(table(spark, folder, "documents"), tensored_minhash.MinHashSetting(words=2))
 
@@ -107,8 +134,10 @@ def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op5_cotraining": op5_cotraining,
     "op6_tensored_minhash": op6_tensored_minhash,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_url_reputation": op8_url_reputation,
