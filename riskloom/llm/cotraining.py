@@ -26,7 +26,8 @@ METADATA = ("lang", "source", "n_chars")
 
 @dataclass(frozen=True)
 class CoTrainingSetting:
-    """labelled, unlabelled: bounds of the samples; features: most features of one view; rounds: of exchange;
+    """labelled, unlabelled: bounds of the samples; features: most features of one view; least: chi-square that a
+    content feature must have; rounds: of exchange;
     sure: least probability of a pseudo-label; share: most pseudo-labels of a class in one round, of its labelled rows;
     cost: how many rejected bad rows a rejected good one outweighs.
     """
@@ -34,6 +35,7 @@ class CoTrainingSetting:
     labelled: int = 6000
     unlabelled: int = 4000
     features: int = 3000
+    least: float = 15.0
     rounds: int = 3
     sure: float = 0.97
     share: float = 0.2
@@ -60,6 +62,7 @@ def content(text: str | None) -> tuple[set[str], set[str]]:
     shape.add(bucket("digits", sum(map(str.isdigit, words)) / n))
     shape.add(bucket("single", sum(len(w) == 1 for w in words) / n))
     shape.add(bucket("distinct", len(set(words)) / n))
+    shape.add(bucket("again", 1 - len(set(zip(words, words[1:], words[2:]))) / max(n - 2, 1)))
     shape.add(bucket("lines", 1 - len(set(lines)) / max(len(lines), 1)))
     shape.add(bucket("length", sum(map(len, words)) / n))
     shape.add(bucket("words", len(words)))
@@ -161,7 +164,7 @@ def train(documents: DataFrame, labels: DataFrame, metadata: Sequence[str] = MET
     marked = sample.where("good IS NOT NULL").withColumn("bad", 1 - F.col("good"))
     sums = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     chosen = []
-    for columns, extract, least in ((["text"], content_features, 15.0), (list(metadata), metadata_features, 0.0)):
+    for columns, extract, least in ((["text"], content_features, setting.least), (list(metadata), metadata_features, 0.0)):
         counts = linear.feature_counts(marked, columns, extract, ["bad"])
         chosen.append(linear.telling(counts, "bad", sums["n"], sums["bad"], setting.features, least))
     model = Model(*chosen)

@@ -28,9 +28,7 @@ class MinHashSetting:
 
     collections, hashes: collections of so many minhashes each; steps: collections i and i + step (in a ring) share a
     table. At a similarity of 0.8 a pair shares no table with a probability of about 0.0002, at 0.85 of about 0.00001.
-    alike: of all minhashes, how many of a hundred must agree before a pair of different components is compared in full
-    (at 0.8, fewer agree in less than one of a million pairs). stars: rounds of stars; block: rows of a bucket that are
-    compared at once with as many others.
+    stars: rounds of stars; block: rows of a bucket that are compared at once with as many others.
     """
 
     words: int = 5
@@ -38,7 +36,6 @@ class MinHashSetting:
     collections: int = 30
     hashes: int = 3
     steps: tuple[int, ...] = (1, 4)
-    alike: int = 56
     stars: int = 3
     block: int = 128
     seed: int = 11
@@ -104,7 +101,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, setting: MinHashSetting) -> DataFrame:
-    """doc_id, n_shingles, key of the set, halves of table keys, and 16 bits of each minhash."""
+    """doc_id, n_shingles, key of the set, and halves of table keys."""
     shingler = Shingler(setting)
 
     def sign(batch: pa.RecordBatch) -> pa.Table:
@@ -112,22 +109,20 @@ def signatures(documents: DataFrame, setting: MinHashSetting) -> DataFrame:
         for text in batch.column(1).to_pylist():
             shingles = shingler.shingles(text)
             if not len(shingles):
-                rows.append((0, None, None, None))
+                rows.append((0, None, None))
                 continue
             key = blake2b(shingles.tobytes(), digest_size=16).digest()
             if key not in seen:
-                minhashes = shingler.minhashes(shingles)
-                sketch = (minhashes >> np.uint64(40)).astype("<u2")
-                seen[key] = (len(shingles), key, shingler.halves(minhashes).tobytes(), sketch.tobytes())
+                seen[key] = (len(shingles), key, shingler.halves(shingler.minhashes(shingles)).tobytes())
             rows.append(seen[key])
-        n, keys, halves, sketches = zip(*rows)
+        n, keys, halves = zip(*rows)
         return pa.table(
             {"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()),
-             "halves": pa.array(halves, pa.binary()), "sketch": pa.array(sketches, pa.binary())}
+             "halves": pa.array(halves, pa.binary())}
         )
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return batches(source, sign, "doc_id long, n_shingles long, set_key binary, halves binary, sketch binary")
+    return batches(source, sign, "doc_id long, n_shingles long, set_key binary, halves binary")
 
 
 def table_keys(nodes: DataFrame, setting: MinHashSetting) -> DataFrame:
@@ -169,18 +164,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, setting: MinHashSetting) -> Da
     return batches(both.select("u", "v", "a", "b"), compare, "u long, v long")
 
 
-def crossing(rows: DataFrame, sketches: DataFrame, setting: MinHashSetting) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components whose minhashes agree often enough.
+def codes(texts: DataFrame, setting: MinHashSetting) -> DataFrame:
+    """node and its shingles as sorted 32-bit codes."""
+    shingler = Shingler(setting)
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        made = [np.unique((shingler.shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.table({"node": batch.column(0), "codes": pa.array(made, pa.binary())})
+
+    return batches(texts.select("node", "text"), run, "node long, codes binary")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections. Only what stands in two sets or more needs a column."""
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = np.bincount(place, minlength=len(every)) > 1
+    column = np.cumsum(shared) - 1
+    out, width = np.zeros((len(sets), len(sets)), np.float32), int(shared.sum())
+    use = shared[place]
+    row, column = row[use], column[place[use]]
+    for at in range(0, width, 8192):
+        inside = (column >= at) & (column < at + 8192)
+        part = np.zeros((len(sets), min(8192, width - at)), np.float32)
+        part[row[inside], column[inside] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def crossing(rows: DataFrame, codes: DataFrame, setting: MinHashSetting) -> DataFrame:
+    """Pairs (u, v) of one bucket and different components that are similar enough, to be confirmed.
 
     `rows` has key, node and component. In each bucket the component with most rows is cut into blocks, and so are the
-    other rows; others meet all blocks of that component and of each other, while it never meets itself.
+    other rows; others meet all blocks of that component and of each other, while it never meets itself. Codes of 32
+    bits may let two shingles look like one, so pairs down to one percent below the limit are kept; where a node is surely
+    linked with a component, one link is enough.
     """
     size = setting.block
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("key", F.col("main.component").alias("main"), F.col("main.n").alias("most"), "all")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-    dealt = rows.join(main, "key").join(sketches, "node").withColumns(
+    dealt = rows.join(main, "key").join(codes, "node").withColumns(
         {"large": blocks(F.col("most")), "small": blocks(F.col("all") - F.col("most")), "is_main": F.col("component") == F.col("main")}
     )
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -195,19 +220,26 @@ def crossing(rows: DataFrame, sketches: DataFrame, setting: MinHashSetting) -> D
             spread(F.col("small"), lambda x: place("other", F.least(x, own), F.greatest(x, own))),
         )
     )
-    dealt = dealt.select("key", "node", "component", "sketch", F.explode(meets).alias("at")).select("key", "at.*", "node", "component", "sketch")
-    needed = -(-setting.alike * setting.collections * setting.hashes // 100)
+    dealt = dealt.select("key", "node", "component", "codes", F.explode(meets).alias("at")).select("key", "at.*", "node", "component", "codes")
 
     def compare(group: pa.Table) -> pa.Table:
         node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
+        sets = [np.frombuffer(x, "<u4") for x in group.column("codes").to_pylist()]
+        n, same = np.array([len(x) for x in sets]), overlaps(sets)
+        alike = 100 * same / np.maximum(n[:, None] + n[None, :] - same, 1)
+        alike[component[:, None] == component[None, :]] = 0
         u, v = [], []
-        for k in range(len(node)):
-            agree = (sketch[k + 1 :] == sketch[k]).sum(1)
-            hit = k + 1 + np.flatnonzero((agree >= needed) & (component[k + 1 :] != component[k]))
-            u.append(np.full(len(hit), node[k]))
-            v.append(node[hit])
-        u, v = np.concatenate(u), np.concatenate(v)
+        for k in np.flatnonzero(alike.max(1) >= setting.percent - 1):
+            met: set[int] = set()
+            for j in np.argsort(-alike[k], kind="stable"):
+                if alike[k, j] < setting.percent - 1:
+                    break
+                if component[j] not in met:
+                    u.append(node[k])
+                    v.append(node[j])
+                if alike[k, j] >= setting.percent + 1:
+                    met.add(component[j])
+        u, v = np.array(u, np.int64), np.array(v, np.int64)
         return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
 
     return dealt.groupBy("key", "side", "i", "j").applyInArrow(compare, "u long, v long").distinct()
@@ -223,7 +255,7 @@ def near_duplicates(documents: DataFrame, setting: MinHashSetting = MinHashSetti
     signed = stored(signatures(documents, setting), "signatures")
     valid = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = stored(
-        valid.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")),
+        valid.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")),
         "sets",
     )
     keys = table_keys(sets, setting)
@@ -232,7 +264,6 @@ def near_duplicates(documents: DataFrame, setting: MinHashSetting = MinHashSetti
     nodes = rows.select("node").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(nodes, "node", "left_semi"), "texts")
-    sketches = sets.select("node", "sketch")
 
     labels = None  # node, component: rows only for nodes with a link
     for turn in range(setting.stars + 1):
@@ -243,7 +274,7 @@ def near_duplicates(documents: DataFrame, setting: MinHashSetting = MinHashSetti
         if turn < setting.stars:
             pairs = _stars(placed, turn)
         else:
-            pairs = crossing(placed, sketches, setting)
+            pairs = crossing(placed, codes(texts, setting), setting)
         links = stored(confirmed(stored(pairs, "pairs"), texts, setting), "links")
         labels = _joined(labels, links)
     found = sets.select("set_key", "node")
