@@ -6,6 +6,8 @@ executor recomputes exactly the rows it had.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def uniform(*parts: Column | str | int) -> Column:
     return hash32(*parts) / F.lit(HASH_SPACE)
 
 
+def hash60(*parts: Column | str | int) -> Column:
+    """Integer in [0, 2^60)."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("long")
+
+
+def prefix_length(rows: int, each: int = 1000) -> int:
+    """Hex digits of a digest whose prefixes part `rows` rows into groups of about `each`."""
+    return max(1, min(15, math.ceil(math.log(max(rows, 1) / each, 16)) if rows > each else 1))
+
+
 def draw(size: Column, *parts: Column | str | int) -> Column:
-    """Integer in 1..size."""
-    return F.lit(1) + hash32(*parts) % size
+    """Integer in 1..size, for sizes far below 2^60."""
+    return F.lit(1) + hash60(*parts) % size

@@ -34,6 +34,7 @@ from riskloom.functions.text import (
     within,
 )
 from riskloom.operators.profile import dtype_name, first_values, is_numeric, missing_cell
+from riskloom.session import shuffle_partitions
 
 BINARY_TYPES = (
     "binary_numeric",
@@ -441,37 +442,24 @@ def bin_codes(distinct: DataFrame) -> DataFrame:
 
 
 def apply_repairs(df: DataFrame, row_key: str, features: Sequence[str], codes: DataFrame) -> DataFrame:
-    """Replace the tokens of the chosen features by their bin code.
+    """Replace the tokens of the chosen features by their bin code, one keyed join per feature.
 
-    One lookup array per feature is folded into the projection: the number of
-    observed bins of a feature is checked to be small, and the table itself is
-    neither shuffled nor joined.
+    A token without a code raises, however many bins there are. Few bins may hold most rows, and all rows without a value
+    share one key, so both sides are spread over salts.
     """
     listed = codes.filter(F.col("feature").isin(*features)).select("feature", "token", "code")
-    limit = 2000
-    pairs = listed.limit(limit + 1).collect()
-    if len(pairs) > limit:
-        return apply_repairs_by_join(df, row_key, features, listed)
-    unparsed = sorted({(r["feature"], r["token"]) for r in pairs if r["code"] is None})
+    unparsed = listed.filter("code IS NULL").orderBy("feature", "token").limit(10).collect()
     if unparsed:
-        raise ValueError(f"Unexpected interval tokens during repair: {unparsed[:10]}")
-    maps = {
-        f: F.create_map(*[x for r in pairs if r["feature"] == f for x in (F.lit(r["token"]), F.lit(r["code"]))])
-        for f in features
-        if any(r["feature"] == f for r in pairs)
-    }
-    return df.select(
-        *[F.try_element_at(maps[c], token(F.col(c))).alias(c) if c in maps else F.col(c) for c in df.columns]
-    )
-
-
-def apply_repairs_by_join(df: DataFrame, row_key: str, features: Sequence[str], codes: DataFrame) -> DataFrame:
-    """The same repair for features with very many bins: one keyed join per feature."""
-    out = df
+        raise ValueError(f"Unexpected interval tokens during repair: {[(r['feature'], r['token']) for r in unparsed]}")
+    salts = shuffle_partitions(df.sparkSession)
+    out = df.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
+    spread = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     for f in features:
-        lookup = codes.filter(F.col("feature") == f).select(F.col("token").alias("_token"), F.col("code").alias("_code"))
-        out = out.withColumn("_token", token(F.col(f))).join(lookup, "_token", "left")
-        out = out.withColumn(f, F.col("_code")).drop("_token", "_code")
+        lookup = spread.filter(F.col("feature") == f).select(F.col("token").alias("_token"), "_salt", F.col("code").alias("_code"))
+        out = out.withColumn("_token", token(F.col(f))).join(lookup, ["_token", "_salt"], "left")
+        unknown = F.raise_error(F.concat(F.lit(f"Unexpected interval token of {f}: "), F.col("_token"))).cast("int")
+        code = F.when(F.col("_token").isNotNull(), F.coalesce(F.col("_code").cast("int"), unknown))
+        out = out.withColumn(f, code).drop("_token", "_code")
     return out.select(*df.columns)
 
 
@@ -535,6 +523,12 @@ def direction_counts(df: DataFrame, features: Sequence[str], target: str) -> Dat
     return counts.groupBy("feature", "target", value.alias("value")).agg(F.sum("row_count").alias("row_count"))
 
 
+def direction_long(a: DataFrame, b: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """(side, feature, target, value, row_count) of both sides; any number of values."""
+    one = direction_counts(a, features, target).withColumn("side", F.lit("a"))
+    return one.unionByName(direction_counts(b, features, target).withColumn("side", F.lit("b")))
+
+
 def direction_audit(
     a: DataFrame,
     b: DataFrame,
@@ -546,8 +540,7 @@ def direction_audit(
 ) -> DataFrame:
     """Types, values, counts and per-class counts of two-valued features; every row asks for review.
 
-    Only features whose value list stays within `LOW_CARDINALITY_LIMIT` values
-    get value lists, so each collected list is small whatever the row count.
+    All values are listed. For features with very many values `direction_long` gives the same counts as rows.
     """
 
     keys = ["side", "feature"]
@@ -556,23 +549,20 @@ def direction_audit(
         return make(a).withColumn("side", F.lit("a")).unionByName(make(b).withColumn("side", F.lit("b")))
 
     tokens_ = normalised(tagged(lambda df: tokens(long_cells(df, features, row_key), row_key=True)), keys)
-    values = first_values(
-        tokens_.filter("token is not null"), keys, F.col("first_row"), "token", LOW_CARDINALITY_LIMIT
-    ).withColumnRenamed("values", "unique_values")
-    counts = tagged(lambda df: direction_counts(df, features, target))
-    few = counts.groupBy(*keys).agg(F.count_distinct("value").alias("n")).filter(F.col("n") <= LOW_CARDINALITY_LIMIT + 1)
+    seen = tokens_.filter("token is not null").groupBy(*keys, "token").agg(F.min("first_row").alias("first_row"))
+    seen = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first_row", "token"))).alias("seen"))
+    values = seen.select(*keys, F.transform("seen", lambda s: s["token"]).alias("unique_values"))
+    counts = direction_long(a, b, features, target)
     entry = F.struct("value", "row_count")
     per_class = (
-        counts.join(few.select(*keys), keys, "left_semi")
-        .groupBy(*keys, "target")
+        counts.groupBy(*keys, "target")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     )
     nested = per_class.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("target").cast("string"), F.col("m")))).alias("target_breakdown")
     )
     totals = (
-        counts.join(few.select(*keys), keys, "left_semi")
-        .groupBy(*keys, "value")
+        counts.groupBy(*keys, "value")
         .agg(F.sum("row_count").alias("row_count"))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("value_counts"))

@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.fixed import CONFIDENCE, METRICS, REPLICATES, SEED, SIGNIFICANCE
-from riskloom.functions.hashing import digest, draw
+from riskloom.functions.hashing import digest, draw, prefix_length
 from riskloom.functions.stats import exact_mcnemar, normal_two_sided
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, metric_table, score_cells
 from riskloom.operators.ranking import range_cuts, running_totals, spread_lookup
 from riskloom.session import order_buckets
 
 MODEL, ROW = "model_name", "row_index"
-RANK_PREFIX = 3
 
 
 def class_ranks(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     """Number the rows of each class from 1, with the class size.
 
-    Digest prefixes cut each class into 4,096 small windows; their sizes are a
-    table of at most 4,096 rows per class.
+    Digest prefixes cut each class into small windows; how long they are follows
+    the number of rows, so a window does not grow with the data.
     """
-    hashed = rows.withColumn("_h", digest(seed, F.col(key))).withColumn("_p", F.substring("_h", 1, RANK_PREFIX))
+    length = prefix_length(rows.count())
+    hashed = rows.withColumn("_h", digest(seed, F.col(key))).withColumn("_p", F.substring("_h", 1, length))
     along = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select(
@@ -38,7 +38,7 @@ def class_ranks(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key))
     return (
         hashed.withColumn("_place", place)
-        .join(F.broadcast(offsets), [label, "_p"])
+        .join(offsets, [label, "_p"])
         .withColumn("class_rank", F.col("_place") + F.col("_before"))
         .drop("_h", "_p", "_place", "_before")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.contracts import require_empty, status_violations, unknown_active
+from riskloom.operators.keys import join_groups
 from riskloom.operators.ranking import range_cuts, running_last
 
 ACTIVATIONS = ("promoted", "rolled_back")
@@ -67,7 +68,7 @@ def state_of(facts: DataFrame, registry: Sequence[str] = ()) -> DataFrame:
     """Status of every model from its facts, with the active model of its registry."""
     active = facts.groupBy(*registry).agg(F.max_by("model_id", "activation").alias("active_model_id"))
     if registry:
-        joined = facts.join(active, list(registry))
+        joined = join_groups(facts, active, registry)
     else:
         joined = facts.withColumn("active_model_id", active.select("active_model_id").scalar())
     last_event = F.col("last.event_type")

@@ -36,7 +36,10 @@ def whole(count: str) -> Column:
 def score_cells(
     predictions: DataFrame, groups: Sequence[str], weight: str | None = None, label: str | None = LABEL
 ) -> DataFrame:
-    """Counts per (group, score): positives, negatives and the correct ones of each."""
+    """Counts per (group, score): positives, negatives and the correct ones of each.
+
+    A row without a score can't be ordered: the job fails with a message.
+    """
     unit = F.lit(1) if weight is None else F.col(weight)
 
     def tally(condition: Column) -> Column:
@@ -49,7 +52,8 @@ def score_cells(
             tally(positive & (F.col(label) == 1)).alias("tp"),
             tally(~positive & (F.col(label) == 1)).alias("fp"),
         ]
-    return predictions.groupBy(*groups, SCORE).agg(*parts)
+    missing = F.raise_error(F.lit("a prediction has no score")).cast(predictions.schema[SCORE].dataType)
+    return predictions.groupBy(*groups, F.coalesce(F.col(SCORE), missing).alias(SCORE)).agg(*parts)
 
 
 def threshold_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:

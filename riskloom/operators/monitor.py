@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.fixed import QUANTILES, Alarm
+from riskloom.operators.keys import join_groups
 from riskloom.operators.ranking import range_cuts, running_totals
 
 
@@ -69,7 +70,7 @@ def latency_summary(
     )
     names = {f"p{round(q * 100)}_ms": q for q in QUANTILES}
     places = exact_quantiles(base.filter("_good"), ["route"], "_ms", names)
-    joined = counts.join(places, "route", "left")
+    joined = join_groups(counts, places, ["route"], "left")
     return joined.select(
         "route",
         "n_total",
@@ -133,7 +134,7 @@ def window_metrics(
         F.max("_ms").alias("max_ms"),
     )
     places = exact_quantiles(base, keys, "_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    return sums.join(places, keys, "left")
+    return join_groups(sums, places, keys, "left")
 
 
 COMPARE = {
@@ -166,7 +167,8 @@ def alarm_states(
     seconds = seconds or alarm.period_seconds
     n = alarm.periods
     breach = F.coalesce(COMPARE[alarm.comparison](F.col(value), alarm.threshold), F.lit(False))
-    dense = calendar(metrics, seconds, groups).join(metrics.select(*groups, "period", value), [*groups, "period"], "left")
+    seen = metrics.select(*groups, "period", value)
+    dense = join_groups(calendar(metrics, seconds, groups), seen, [*groups, "period"], "left")
     dense = dense.withColumn("breaching", breach.cast("int"))
     block = 4096 * seconds
     own = F.floor(F.col("period") / block).cast("long")

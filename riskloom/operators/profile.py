@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from riskloom.operators.keys import join_groups
+
 NUMERIC, CATEGORICAL = "numeric", "categorical_or_binary_text"
 
 
@@ -82,7 +84,7 @@ def shares(counts: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Add the share of each count; the totals are aggregated, never windowed over one task."""
     totals = counts.groupBy(*within).agg(F.sum("row_count").alias("_total"))
     if within:
-        joined = counts.join(totals, list(within))
+        joined = join_groups(counts, totals, within)
         return joined.withColumn("ratio", F.col("row_count") / F.col("_total")).drop("_total")
     return counts.withColumn("ratio", F.col("row_count") / counts.agg(F.sum("row_count")).scalar())
 

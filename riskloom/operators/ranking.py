@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from riskloom.operators.keys import join_groups
 from riskloom.session import order_buckets
 
 BUCKET = "_range"
@@ -69,7 +70,7 @@ def running_totals(
         *[F.sum(f"_sum_{c}").over(whole).alias(f"total_{c}") for c in counts],
     )
     local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counts])
-    joined = local.join(offsets, keys)
+    joined = join_groups(local, offsets, keys)
     return joined.select(
         *df.columns,
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"before_{c}") for c in counts],
@@ -129,4 +130,4 @@ def running_last(
     ends = ranged.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("_end"))
     carried = ends.select(*keys, F.last("_end", ignorenulls=True).over(along).alias("_carried"))
     local = ranged.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-    return local.join(carried, keys).select(*df.columns, F.coalesce("_inside", "_carried").alias(name))
+    return join_groups(local, carried, keys).select(*df.columns, F.coalesce("_inside", "_carried").alias(name))

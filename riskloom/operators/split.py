@@ -10,65 +10,56 @@ look at the few rows that share the boundary prefix.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.fixed import FOLDS, SEED, TEST_SHARE
-from riskloom.functions.hashing import digest
-from riskloom.operators.contracts import ContractError, require_columns
+from riskloom.functions.hashing import digest, prefix_length
+from riskloom.operators.contracts import require_columns
+from riskloom.operators.keys import join_groups
 from riskloom.operators.profile import fingerprint, shares
 
-MAX_STRATA = 1000
-PREFIX = 4
+#: Strata up to which their thresholds are sent to all tasks; beyond, the table is joined by stratum.
+BROADCAST_STRATA = 10_000
 
 
-def stratum_sizes(df: DataFrame, stratum: str) -> dict[Any, int]:
-    """Row count per stratum; the number of strata is checked before it is collected."""
-    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ContractError(f"{stratum} has more than {MAX_STRATA} strata")
-    if any(r[0] is None for r in rows):
-        raise ContractError(f"{stratum} has missing values")
-    return {r[0]: r["n"] for r in rows}
+def stratum_sizes(df: DataFrame, stratum: str) -> DataFrame:
+    """(_s, n): row count per stratum; rows without a stratum are one of them."""
+    return df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def part_sizes(sizes: Mapping[Any, int], share: float) -> dict[Any, int]:
-    """Rows of each stratum that go to the test part; they add up to ceil(share * n)."""
-    wanted = math.ceil(share * sum(sizes.values()))
-    floors = {s: math.floor(share * n) for s, n in sizes.items()}
-    rest = sorted(sizes, key=lambda s: (floors[s] - share * sizes[s], str(s)))
-    for s in rest[: wanted - sum(floors.values())]:
-        floors[s] += 1
-    return floors
+def part_sizes(sizes: DataFrame, share: float, rows: int) -> DataFrame:
+    """(_s, position): rows of each stratum that go to the test part; they add up to ceil(share * rows).
 
+    Every stratum gives the whole part of its share, and those with the largest remainder one row more. They are ranked
+    in a table of one row per stratum.
+    """
+    part = F.lit(share) * F.col("n")
+    floors = sizes.select("_s", F.floor(part).alias("whole"), (F.floor(part) - part).alias("short"))
+    place = F.row_number().over(Window.orderBy("short", F.coalesce(F.col("_s").cast("string"), F.lit("")), "_s"))
+    extra = F.lit(math.ceil(share * rows)) - floors.agg(F.sum("whole")).scalar()
+    return floors.select("_s", (F.col("whole") + (place <= extra).cast("int")).alias("position"))
 
-def digest_cuts(
-    df: DataFrame, key: str, stratum: str, positions: Mapping[Any, Sequence[int]], seed: int
-) -> DataFrame:
-    """(stratum, cuts): the digest and key of the rows at the given places of each stratum."""
-    spark = df.sparkSession
-    rows = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_k"), digest(seed, F.col(key)).alias("_h"))
-    rows = rows.withColumn("_p", F.substring("_h", 1, PREFIX))
-    kind = rows.schema["_s"].dataType.simpleString()
-    wanted = F.broadcast(
-        spark.createDataFrame(
-            [(s, i, int(p)) for s, ps in positions.items() for i, p in enumerate(ps) if p > 0] or [(None, 0, 0)],
-            f"_s {kind}, _cut int, _position long",
-        )
-    )
+
+def digest_cuts(df: DataFrame, key: str, stratum: str, positions: DataFrame, seed: int, rows: int) -> DataFrame:
+    """(stratum, cuts): the digest and key of the rows at the given places (_s, _cut, position) of each stratum.
+
+    Prefixes of digests, as long as the number of rows asks for, part the rows into small groups.
+    """
+    hashed = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_k"), digest(seed, F.col(key)).alias("_h"))
+    hashed = hashed.withColumn("_p", F.substring("_h", 1, prefix_length(rows)))
     along = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = rows.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    histogram = hashed.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"))
     histogram = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
-    boundary = histogram.join(wanted, "_s").filter(
-        (F.col("_before") < F.col("_position")) & (F.col("_position") <= F.col("_before") + F.col("_n"))
+    boundary = join_groups(histogram, positions.where("position > 0"), ["_s"]).filter(
+        (F.col("_before") < F.col("position")) & (F.col("position") <= F.col("_before") + F.col("_n"))
     )
-    boundary = F.broadcast(boundary.select("_s", "_p", "_cut", (F.col("_position") - F.col("_before")).alias("_place")))
+    boundary = boundary.select("_s", "_p", "_cut", (F.col("position") - F.col("_before")).alias("_place"))
     inside = Window.partitionBy("_s", "_cut").orderBy("_h", "_k")
-    exact = rows.join(boundary, ["_s", "_p"]).withColumn("_rank", F.row_number().over(inside))
+    exact = join_groups(hashed, boundary, ["_s", "_p"]).withColumn("_rank", F.row_number().over(inside))
     return (
         exact.filter(F.col("_rank") == F.col("_place"))
         .groupBy(F.col("_s").alias(stratum))
@@ -76,29 +67,36 @@ def digest_cuts(
     )
 
 
-def _placed(df: DataFrame, key: str, stratum: str, cuts: DataFrame, seed: int) -> DataFrame:
-    joined = df.join(F.broadcast(cuts), stratum, "left")
+def _placed(df: DataFrame, key: str, stratum: str, cuts: DataFrame, seed: int, strata: int) -> DataFrame:
+    joined = join_groups(df, F.broadcast(cuts) if strata <= BROADCAST_STRATA else cuts, [stratum], "left")
     me = F.struct(digest(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
     return joined.withColumn("_me", me)
 
 
+def _measured(df: DataFrame, stratum: str) -> tuple[DataFrame, int, int]:
+    """Sizes of the strata, number of rows and of strata."""
+    sizes = stratum_sizes(df, stratum)
+    row = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("strata")).first()
+    return sizes, row["rows"], row["strata"]
+
+
 def stratified_split(
     df: DataFrame, key: str, stratum: str, share: float = TEST_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Add `split` = train / test with exact sizes in every stratum."""
-    sizes = part_sizes(stratum_sizes(df, stratum), share)
-    cuts = digest_cuts(df, key, stratum, {s: [n] for s, n in sizes.items()}, seed)
-    placed = _placed(df, key, stratum, cuts, seed)
+    sizes, rows, strata = _measured(df, stratum)
+    places = part_sizes(sizes, share, rows).withColumn("_cut", F.lit(0))
+    placed = _placed(df, key, stratum, digest_cuts(df, key, stratum, places, seed, rows), seed, strata)
     in_test = F.coalesce(F.exists("_cuts", lambda c: F.col("_me") <= c), F.lit(False))
     return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Add `fold` in 0..folds-1; the sizes of two folds differ by at most one row per stratum."""
-    sizes = stratum_sizes(df, stratum)
-    places = {s: [math.ceil(i * n / folds) for i in range(1, folds)] for s, n in sizes.items()}
-    cuts = digest_cuts(df, key, stratum, places, seed)
-    placed = _placed(df, key, stratum, cuts, seed)
+    sizes, rows, strata = _measured(df, stratum)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(folds - 1)), lambda i: F.ceil(i * F.col("n") / folds)) if folds > 1 else F.array().cast("array<long>")
+    places = sizes.select("_s", F.posexplode(ends).alias("_cut", "position"))
+    placed = _placed(df, key, stratum, digest_cuts(df, key, stratum, places, seed, rows), seed, strata)
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_me")))
     return placed.withColumn("fold", F.greatest(below, F.lit(0)).cast("int")).select(*df.columns, "fold")
 

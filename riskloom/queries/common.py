@@ -49,5 +49,12 @@ def text(value: str) -> str:
 HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
+HASH_LONG = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+
+def sql_hash_long(*parts: str) -> str:
+    return HASH_LONG.format(" || '|' || ".join(parts))
+
+
 def sql_hash(*parts: str) -> str:
     return HASH.format(" || '|' || ".join(parts))

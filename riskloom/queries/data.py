@@ -106,6 +106,18 @@ SELECT lang, quality::BIGINT AS target, count(*) AS row_count,
 FROM ({LABELLED}) WHERE quality IS NOT NULL GROUP BY 1, 2"""
 
 
+def null_group(spark, folder):
+    """Documents without a language are a group of their own."""
+    docs = labelled_documents(spark, folder).withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    return final(profile.class_distribution(docs, "quality", ["lang"]))
+
+
+NULL_GROUP_SQL = f"""
+SELECT nullif(lang, 'de') AS lang, quality::BIGINT AS target, count(*) AS row_count,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY nullif(lang, 'de')), 6) AS ratio
+FROM ({LABELLED}) WHERE quality IS NOT NULL GROUP BY 1, 2"""
+
+
 def breakdown(spark, folder):
     return final(profile.target_breakdown(labelled_documents(spark, folder), "toxic", "lang"))
 
@@ -256,6 +268,7 @@ SELECT lang, quality::BIGINT AS quality, count(*) AS row_count, sum(n_chars)::BI
 FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2"""
 
 QUERIES = {
+    "profile_null_group": null_group,
     "profile_missingness": missingness,
     "profile_type_plan": type_plan,
     "profile_distribution": distribution,
@@ -275,6 +288,7 @@ QUERIES = {
     "source_features_and_targets": joined_dataset,
 }
 ORACLE = {
+    "profile_null_group": NULL_GROUP_SQL,
     "profile_missingness": MISSINGNESS_SQL,
     "profile_type_plan": TYPE_PLAN_SQL,
     "profile_distribution": DISTRIBUTION_SQL,

@@ -10,7 +10,7 @@ from riskloom.functions.hashing import uniform
 from riskloom.operators import inference, leakage, metrics, ranking, split
 from riskloom.operators.contracts import prediction_misalignment
 from riskloom.operators.monitor import exact_quantiles
-from riskloom.queries.common import final, sql_hash, table, text
+from riskloom.queries.common import final, sql_hash, sql_hash_long, table, text
 from riskloom.sources.tables import union_tables
 
 MODELS = ("coin", "price", "blend")
@@ -82,6 +82,16 @@ def metric_table(spark, folder):
     return final(metrics.metric_table(predictions(spark, folder), ["model_name"]))
 
 
+def metrics_null_model(spark, folder):
+    """A model without a name is a model like any other."""
+    unnamed = predictions(spark, folder).withColumn("model_name", F.when(F.col("model_name") != "coin", F.col("model_name")))
+    return final(metrics.metric_table(unnamed, ["model_name"]))
+
+
+METRICS_NULL_SQL = f"""WITH {PREDICTIONS}, unnamed AS (SELECT * REPLACE (nullif(model_name, 'coin') AS model_name) FROM pred)
+{metric_sql('unnamed', 'model_name')}"""
+
+
 # --- Splits ---------------------------------------------------------------------
 
 
@@ -110,6 +120,22 @@ def split_rows(spark, folder):
 SPLIT_SQL = f"WITH {ORDER_SPLIT} SELECT o_orderkey AS row_index, split, target::BIGINT AS target FROM parts"
 
 
+def split_many_strata(spark, folder):
+    """A stratum for every customer, and one for the orders of every seventh, which have none."""
+    stratum = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey"))
+    rows = table(spark, folder, "orders").select("o_orderkey", stratum.alias("stratum"))
+    return final(split.stratified_split(rows, "o_orderkey", "stratum"))
+
+
+MANY_STRATA_SQL = """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS stratum FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || o_orderkey), o_orderkey) AS place FROM o),
+sizes AS (SELECT stratum AS s, count(*) AS n, floor(0.2::DOUBLE * count(*)) AS lower FROM o GROUP BY 1),
+quota AS (SELECT s, lower + (row_number() OVER (ORDER BY lower - 0.2::DOUBLE * n, coalesce(s::VARCHAR, ''))
+            <= (SELECT ceil(0.2::DOUBLE * sum(n)) - sum(lower) FROM sizes))::INT AS take FROM sizes)
+SELECT o_orderkey, stratum, CASE WHEN place <= take THEN 'test' ELSE 'train' END AS split FROM ranked JOIN quota ON stratum IS NOT DISTINCT FROM s"""
+
+
 def folds(spark, folder):
     fold = split.stratified_folds(orders(spark, folder), "o_orderkey", "o_orderpriority")
     return final(fold.select("o_orderkey", "o_orderpriority", "fold"))
@@ -500,7 +526,7 @@ lpred AS (SELECT *, (risk_score >= 0.5::DOUBLE)::INT AS prediction_label FROM ls
 DRAWS = f"""{LABEL_PREDICTIONS},
 lranked AS (SELECT row_index, target_true, row_number() OVER (PARTITION BY target_true ORDER BY md5('42|' || row_index), row_index) AS place,
               count(*) OVER (PARTITION BY target_true) AS size FROM lbase),
-draws AS (SELECT target_true, b AS replicate, 1 + {sql_hash("'42'", "b", "target_true", "place")} % size AS place
+draws AS (SELECT target_true, b AS replicate, 1 + {sql_hash_long("'42'", "b", "target_true", "place")} % size AS place
           FROM lranked, generate_series(1, {REPLICATES}) g(b)),
 sample AS (SELECT d.replicate, r.row_index FROM draws d JOIN lranked r ON d.target_true = r.target_true AND d.place = r.place),
 resampled AS (SELECT replicate, p.* FROM sample s JOIN lpred p USING (row_index)),
@@ -604,6 +630,8 @@ def mcnemar_p(spark, folder):
 
 
 QUERIES = {
+    "split_many_strata": split_many_strata,
+    "metrics_null_model": metrics_null_model,
     "flagship_document_metrics": flagship,
     "split_stratified": split_rows,
     "split_folds": folds,
@@ -636,6 +664,8 @@ QUERIES = {
     "tests_p_values": test_p_values,
 }
 ORACLE = {
+    "split_many_strata": MANY_STRATA_SQL,
+    "metrics_null_model": METRICS_NULL_SQL,
     "flagship_document_metrics": FLAGSHIP_SQL,
     "split_stratified": SPLIT_SQL,
     "split_folds": FOLDS_SQL,

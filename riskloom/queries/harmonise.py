@@ -435,9 +435,9 @@ JOIN codes ON codes.feature = 'amount' AND codes.token = replace({B_COLUMNS['amo
 
 
 def repaired_by_join(spark, folder):
-    """The same repair for features with very many bins, as a keyed join."""
+    """How many cells got which code."""
     _, b = sources(spark, folder)
-    out = audit.apply_repairs_by_join(b, "p_partkey", ["amount"], _codes(spark, folder))
+    out = audit.apply_repairs(b, "p_partkey", ["amount"], _codes(spark, folder))
     return final(out.groupBy("amount").agg(F.count(F.lit(1)).alias("row_count")))
 
 
@@ -487,7 +487,19 @@ def direction_counts(spark, folder):
 DIRECTION_COUNTS_SQL = f"""WITH ca AS ({_cells_sql(A_COLUMNS)})
 SELECT feature, target::BIGINT AS target, coalesce(sig, '<NA>') AS value, count(*) AS row_count FROM ca WHERE feature IN ('flag', 'state', 'level') GROUP BY 1, 2, 3"""
 
+def direction_full(spark, folder):
+    """Counts by value and class of both sides, also of features with many values."""
+    a, b = sources(spark, folder)
+    return final(audit.direction_long(a, b, ["flag", "state", "level", "amount", "size"], "target"))
+
+
+DIRECTION_FULL_SQL = f"""WITH ca AS ({_cells_sql(A_COLUMNS)}), cb AS ({_cells_sql(B_COLUMNS)}),
+both_sides AS (SELECT 'a' AS side, * FROM ca UNION ALL SELECT 'b', * FROM cb)
+SELECT side, feature, target::BIGINT AS target, CASE WHEN raw IS NULL THEN '<NA>' WHEN dtype <> 'str' AND regexp_matches(sig, '^-?\\d+$') THEN sig ELSE trim(raw) END AS value, count(*) AS row_count
+FROM both_sides WHERE feature IN ('flag', 'state', 'level', 'amount', 'size') GROUP BY 1, 2, 3, 4"""
+
 QUERIES = {
+    "audit_direction_full": direction_full,
     "align_candidates": candidates,
     "align_dropped_columns": dropped,
     "align_mapping_violations": mapping_violations,
@@ -506,6 +518,7 @@ QUERIES = {
     "audit_direction_counts": direction_counts,
 }
 ORACLE = {
+    "audit_direction_full": DIRECTION_FULL_SQL,
     "align_candidates": CANDIDATES_SQL,
     "align_dropped_columns": DROPPED_SQL,
     "align_mapping_violations": MAPPING_SQL,

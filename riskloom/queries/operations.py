@@ -38,6 +38,22 @@ SELECT route, count(*) AS n_total, count(*) FILTER (good) AS n_success, count(*)
   round(min(ms) FILTER (good), 2) AS min_ms, round(max(ms) FILTER (good), 2) AS max_ms FROM s GROUP BY 1"""
 
 
+def null_route(spark, folder):
+    """Samples without a route are a route of their own."""
+    samples = events(spark, folder).select(
+        F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("route"), (F.col("user_id") % 4).cast("string"))).alias("route_name"),
+        F.col("value").alias("elapsed_ms"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
+        (F.col("event_type") != "signup").alias("ok"),
+    )
+    return final(monitor.latency_summary(samples))
+
+
+NULL_ROUTE_SQL = LATENCY_SQL.replace("'route' || (user_id % 4)", "CASE WHEN user_id % 4 <> 0 THEN 'route' || (user_id % 4) END").replace(
+    " WHERE event_id % 10 <> 0", ""
+)
+
+
 def access_statistics(spark, folder):
     log = events(spark, folder).select("event_type", (F.col("user_id") % 3).alias("status"), "value")
     return final(monitor.access_statistics(log, "event_type", "status", "value"))
@@ -199,6 +215,14 @@ def model_state(spark, folder):
     return final(lifecycle.model_state(lifecycle_events(spark, folder, 3), ["registry"]).select(*STATE_COLUMNS))
 
 
+def null_registry(spark, folder):
+    """Models of no registry have their own state."""
+    log = lifecycle_events(spark, folder, 3).withColumn("registry", F.when(F.col("registry") != 0, F.col("registry")))
+    return final(lifecycle.model_state(log, ["registry"]).select(*STATE_COLUMNS))
+
+
+NULL_REGISTRY_SQL = f"WITH {lifecycle_sql(3)} SELECT nullif(registry, 0) AS registry, {', '.join(STATE_COLUMNS[1:])} FROM state"
+
 MODEL_STATE_SQL = f"WITH {lifecycle_sql(3)} SELECT {', '.join(STATE_COLUMNS)} FROM state"
 
 
@@ -281,6 +305,8 @@ WITH e AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events)
 SELECT stamp || '::' || event_type || '::m' || user_id AS event_id, stamp AS "timestamp", event_type, 'm' || user_id AS model_id, 'operator' AS actor, 'from log' AS reason FROM e"""
 
 QUERIES = {
+    "lifecycle_null_registry": null_registry,
+    "monitor_null_route": null_route,
     "monitor_latency_summary": latency_summary,
     "monitor_access_statistics": access_statistics,
     "monitor_latest": latest_events,
@@ -299,6 +325,8 @@ QUERIES = {
     "lifecycle_event_rows": event_rows,
 }
 ORACLE = {
+    "lifecycle_null_registry": NULL_REGISTRY_SQL,
+    "monitor_null_route": NULL_ROUTE_SQL,
     "monitor_latency_summary": LATENCY_SQL,
     "monitor_access_statistics": ACCESS_SQL,
     "monitor_latest": LATEST_SQL,

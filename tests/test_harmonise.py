@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from riskloom.fixed import LABELS_SOURCE_A, LABELS_SOURCE_B
 from riskloom.operators import align, audit, clean, profile
@@ -80,12 +81,24 @@ def test_coercion_is_all_or_nothing(spark):
     assert [r["a"] for r in out.orderBy("a").collect()] == [1.0, 2.5]
 
 
-def test_join_repair_equals_projection_repair(spark):
-    _, b = sources(spark)
-    codes = audit.bin_codes(audit.tokens(audit.long_cells(b, ["pot"])))
-    one = audit.apply_repairs(b, "row", ["pot"], codes).select("row", "pot")
-    two = audit.apply_repairs_by_join(b, "row", ["pot"], codes).select("row", "pot")
-    assert sorted(one.collect()) == sorted(two.collect())
+@pytest.mark.parametrize("bins", [5, 2500])
+def test_a_bad_token_stops_the_repair_for_any_number_of_bins(spark, bins):
+    good = spark.createDataFrame([(i, f"{i} - {i + 1}") for i in range(bins)] + [(bins, None)], "row long, pot string")
+    codes = audit.bin_codes(audit.tokens(audit.long_cells(good, ["pot"])))
+    repaired = {r["row"]: r["pot"] for r in audit.apply_repairs(good, "row", ["pot"], codes).collect()}
+    assert repaired == {**{i: i for i in range(bins)}, bins: None}
+    bad = good.withColumn("pot", F.when(F.col("row") == 2, "odd").otherwise(F.col("pot")))
+    with pytest.raises(ValueError, match="odd"):
+        audit.apply_repairs(bad, "row", ["pot"], audit.bin_codes(audit.tokens(audit.long_cells(bad, ["pot"]))))
+    with pytest.raises(Exception, match="odd"):
+        audit.apply_repairs(bad, "row", ["pot"], codes).collect()
+
+
+def test_all_values_of_a_direction_audit(spark):
+    a = spark.createDataFrame([(i, str(i % 12), i % 2) for i in range(48)], "row long, x string, target int")
+    found = audit.direction_audit(a, a, ["x"], "target", "row").first()
+    assert len(found["unique_values_a"]) == 12 and found["value_counts_a"]["11"] == 4
+    assert found["target_breakdown_a"]["1"]["11"] == 4 and "11" not in found["target_breakdown_a"]["0"]
 
 
 def test_all_missing_column(spark):

@@ -1,10 +1,7 @@
 import math
 from collections import Counter
 
-import pytest
-
 from riskloom.operators import split
-from riskloom.operators.contracts import ContractError
 
 
 def table(spark, n=997):
@@ -37,10 +34,18 @@ def test_tiny_strata(spark):
     assert split.stratified_folds(df, "k", "y", 5).count() == 2
 
 
-def test_missing_stratum_is_refused(spark):
-    df = spark.createDataFrame([(1, None), (2, 1)], "k long, y int")
-    with pytest.raises(ContractError):
-        split.stratified_split(df, "k", "y")
+def test_rows_without_a_stratum_are_a_stratum(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(100)], "k long, y int")
+    tests = Counter(r["y"] for r in split.stratified_split(df, "k", "y").collect() if r["split"] == "test")
+    assert tests == {None: 10, 1: 10}
+    assert Counter((r["y"], r["fold"]) for r in split.stratified_folds(df, "k", "y", 5).collect())[None, 4] == 10
+
+
+def test_more_than_a_thousand_strata(spark):
+    df = spark.createDataFrame([(i, i % 1500) for i in range(6000)], "k long, y int")
+    parts = split.stratified_split(df, "k", "y").collect()
+    tests = Counter(r["y"] for r in parts if r["split"] == "test")
+    assert len(parts) == 6000 and sum(tests.values()) == 1200 and max(tests.values()) == 1
 
 
 def test_check_and_leakage(spark):
