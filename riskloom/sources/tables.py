@@ -65,8 +65,10 @@ def read_document(spark: SparkSession, path: str, schema: str | T.StructType | N
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", one_each: bool = False) -> None:
+    """JSON sink; with `one_each`, every row is a file of its own."""
+    writer = df.write.mode(mode)
+    (writer.option("maxRecordsPerFile", 1) if one_each else writer).json(path)
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
