@@ -158,7 +158,8 @@ STREAM_SCORING_SQL = f"SELECT event_id, risk_score, prediction_label, model_vers
 
 
 def stream_windows(spark, folder):
-    metrics_ = windowed(event_stream(spark, folder), "ts", "value", F.col("event_type") == "error", 3600)
+    error = F.col("event_type") == "error"
+    metrics_ = windowed(event_stream(spark, folder), "ts", "value", error, 3600, server_error=error & (F.col("value") > 50))
     path = run_folder(spark, "windows")
     query = (
         metrics_.writeStream.format("parquet")
@@ -169,11 +170,12 @@ def stream_windows(spark, folder):
         .start()
     )
     query.awaitTermination()
-    return final(spark.read.parquet(f"{path}/rows").select("period", "requests", "errors", "max_ms"))
+    return final(spark.read.parquet(f"{path}/rows").select("period", "requests", "errors", "server_errors", "max_ms", "p50_ms", "p95_ms"))
 
 
 STREAM_WINDOWS_SQL = """
-SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS period, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(max(value), 6) AS max_ms
+SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS period, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors,
+  count(*) FILTER (event_type = 'error' AND value > 50) AS server_errors, round(max(value), 6) AS max_ms, round(quantile_disc(value, 0.5), 6) AS p50_ms, round(quantile_disc(value, 0.95), 6) AS p95_ms
 FROM events GROUP BY 1 HAVING period + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)"""
 
 
@@ -196,6 +198,24 @@ w AS (SELECT *, sum(breaching) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AN
 SELECT 'many-errors' AS alarm, period, errors, breaching, breaches, breaches >= 2 AS in_alarm FROM w"""
 
 
+def stream_5xx_alarm(spark, folder):
+    """Any server error in an hour raises the alarm."""
+    error = (F.col("event_type") == "error") & (F.col("value") > 50)
+    metrics_ = windowed(event_stream(spark, folder), "ts", "value", F.col("event_type") == "error", 3600, server_error=error)
+    path = run_folder(spark, "alarms")
+    alarm = operations.Alarm("any-5xx", "server_errors", "sum", 3600, 1, 1, 1.0, ">=")
+    sink = alarm_sink(f"{path}/metrics", f"{path}/states", "server_errors", alarm, [], 3600)
+    start_alarms(metrics_, sink, f"{path}/state").awaitTermination()
+    states = spark.read.parquet(f"{path}/states")
+    newest = states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+    return final(newest.select("alarm", "period", "server_errors", "in_alarm"))
+
+
+STREAM_5XX_SQL = f"""
+WITH m AS ({STREAM_WINDOWS_SQL}), c AS (SELECT unnest(generate_series((SELECT min(period) FROM m), (SELECT max(period) FROM m), 3600)) AS period)
+SELECT 'any-5xx' AS alarm, c.period, server_errors, coalesce(server_errors >= 1, false) AS in_alarm FROM c LEFT JOIN m USING (period)"""
+
+
 def stream_registry(spark, folder):
     """Registry state kept by the stream."""
     stream = event_stream(spark, folder)
@@ -215,6 +235,7 @@ QUERIES = {
     "stream_scored_requests": stream_scoring,
     "stream_window_metrics": stream_windows,
     "stream_alarm_states": stream_alarm,
+    "stream_5xx_alarm": stream_5xx_alarm,
     "stream_registry_state": stream_registry,
 }
 ORACLE = {
@@ -224,5 +245,6 @@ ORACLE = {
     "stream_scored_requests": STREAM_SCORING_SQL,
     "stream_window_metrics": STREAM_WINDOWS_SQL,
     "stream_alarm_states": STREAM_ALARM_SQL,
+    "stream_5xx_alarm": STREAM_5XX_SQL,
     "stream_registry_state": operations.MODEL_STATE_SQL,
 }

@@ -22,8 +22,9 @@ def windowed(
     groups: Sequence[str] = (),
     late: str = LATE,
     accuracy: int = 10000,
+    server_error: Column | None = None,
 ) -> DataFrame:
-    """Tumbling-window errors and latency quantiles behind a watermark.
+    """Tumbling-window errors, server errors and latency quantiles behind a watermark.
 
     The quantiles are sketches, so the state of a window does not grow with its
     rows; their rank error is at most 1 / accuracy.
@@ -35,12 +36,14 @@ def windowed(
             F.col(time).cast("timestamp").alias("_ts"),
             F.col(latency).alias("_ms"),
             error.cast("int").alias("_error"),
+            (F.lit(0) if server_error is None else server_error.cast("int")).alias("_server_error"),
         )
         .withWatermark("_ts", late)
         .groupBy(F.window("_ts", f"{seconds} seconds").alias("_w"), *groups)
         .agg(
             F.count(F.lit(1)).alias("requests"),
             F.sum("_error").alias("errors"),
+            F.sum("_server_error").alias("server_errors"),
             F.max("_ms").alias("max_ms"),
             places.alias("_p"),
         )
@@ -49,6 +52,7 @@ def windowed(
             F.unix_seconds(F.col("_w.start")).alias("period"),
             "requests",
             "errors",
+            "server_errors",
             "max_ms",
             F.col("_p")[0].alias("p50_ms"),
             F.col("_p")[1].alias("p95_ms"),
