@@ -21,19 +21,25 @@ def decoded(body: Column, is_base64: Column | None = None) -> Column:
 def parse_requests(df: DataFrame, body: str, is_base64: str | None = None) -> DataFrame:
     """Add mode, inputs, context and rejection.
 
-    The inputs are the `inputs` object, else the first other object in the body.
-    `rejection` is missing for a usable request.
+    The inputs are the `inputs` object, else the first other object in the body;
+    text that looks like one is none. A body is one JSON object with nothing
+    behind it. `rejection` is missing for a usable request.
     """
     text = decoded(F.col(body), F.col(is_base64) if is_base64 else None)
-    whole = F.from_json(F.coalesce(F.nullif(text, F.lit("")), F.lit("{}")), "map<string,string>")
-    staged = df.select("*", once(whole.alias("_body")))
-
-    def is_object(value: Column) -> Column:
-        return F.coalesce(value.startswith("{"), F.lit(False))
-
-    others = F.filter(F.map_entries("_body"), lambda e: ~e["key"].isin(*RESERVED) & is_object(e["value"]))
+    text = F.coalesce(F.nullif(text, F.lit("")), F.lit("{}"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # text behind an object spoils the list
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    kinds = F.transform_values(F.try_variant_get(listed, "$[0]", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    kinds = F.when(alone, kinds)
+    whole = F.when(kinds.isNotNull(), F.from_json(text, "map<string,string>"))
+    staged = df.select("*", once(whole.alias("_body"), kinds.alias("_kinds")))
+
+    def is_object(key: Column) -> Column:
+        return F.coalesce(F.try_element_at("_kinds", key).startswith("OBJECT"), F.lit(False))
+
+    others = F.filter(F.map_entries("_body"), lambda e: ~e["key"].isin(*RESERVED) & is_object(e["key"]))
     named = F.try_element_at("_body", F.lit("inputs"))
-    chosen = F.when(is_object(named), named).otherwise(F.get(others, F.lit(0))["value"])
+    chosen = F.when(is_object(F.lit("inputs")), named).otherwise(F.get(others, F.lit(0))["value"])
     mode = F.lower(strip(F.coalesce(F.try_element_at("_body", F.lit("mode")), F.lit("none"))))
     context = "struct<case_id:string,patient_name:string,clinical_note:string>"
     parsed = staged.select(

@@ -106,3 +106,15 @@ def test_request_bodies(spark):
     assert rows[1]["context"]["case_id"] == "1"
     scored = score_requests(df, "body", ["i"], "coded").orderBy("i").collect()
     assert [(r["i"], r["serving_route"]) for r in scored] == [(0, "/predict/clinical"), (1, "/predict/research"), (2, "/predict/research")]
+
+
+def test_only_a_whole_object_is_a_body(spark):
+    from riskloom.sources.requests import parse_requests
+
+    bodies = [
+        '{"inputs": {"sc": "1.4"}}', '{"inputs": "{\\"sc\\": 1}"}', '{"inputs": {"sc": 1}} trailing', '{"inputs": {}}, {}', "", "[1]",
+        '{"mode": "research", "fields": {"sc": 2}}',
+    ]
+    rows = parse_requests(spark.createDataFrame(list(enumerate(bodies)), "i int, body string"), "body").orderBy("i").collect()
+    assert [r["rejection"] for r in rows] == [None, "missing_inputs", "invalid_json", "invalid_json", "missing_inputs", "invalid_json", None]
+    assert rows[0]["inputs"] == {"sc": "1.4"} and rows[6]["inputs"] == {"sc": "2"}
