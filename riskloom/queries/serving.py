@@ -192,6 +192,19 @@ RANGES_SQL = f"WITH {INPUT_SQL} " + " UNION ALL ".join(
 )
 
 
+def research_ranges(spark, folder):
+    """Research fields; those that no input has are blank."""
+    return final(scoring.range_states(inputs(spark, folder), ["k"], fixed.RESEARCH_RANGES))
+
+
+RESEARCH_RANGES_SQL = f"WITH {INPUT_SQL} " + " UNION ALL ".join(
+    f"SELECT k, '{n}' AS field, {num(n)} AS value, CASE WHEN {num(n)} IS NULL THEN 'blank' WHEN {num(n)} < {d(lo)} OR {num(n)} > {d(hi)} THEN 'out_of_range' ELSE 'in_range' END AS state FROM i"
+    if n in INPUTS
+    else f"SELECT k, '{n}', NULL::DOUBLE, 'blank' FROM i"
+    for n, (lo, hi) in fixed.RESEARCH_RANGES.items()
+)
+
+
 def completeness(spark, folder):
     df = inputs(spark, folder)
     filled, state = scoring.completeness(scoring.fields(df), fixed.CLINICAL_FEATURES)
@@ -331,6 +344,7 @@ QUERIES = {
     "score_threshold_messages": messages,
     "score_clinical_translation": translation,
     "score_field_ranges": ranges,
+    "score_research_ranges": research_ranges,
     "score_completeness": completeness,
     "score_category_codes": encoding,
     "score_normalized_responses": responses,
@@ -346,6 +360,7 @@ ORACLE = {
     "score_threshold_messages": MESSAGES_SQL,
     "score_clinical_translation": TRANSLATION_SQL,
     "score_field_ranges": RANGES_SQL,
+    "score_research_ranges": RESEARCH_RANGES_SQL,
     "score_completeness": COMPLETENESS_SQL,
     "score_category_codes": ENCODING_SQL,
     "score_normalized_responses": RESPONSES_SQL,
