@@ -387,12 +387,15 @@ REQUIRED_MODEL_FIELDS = ("model_id", "status")
 
 REPORT_PREFIX = "REPORT RequestId:"
 REPORT_FIELDS = (
-    ("request_id", r"REPORT RequestId: ([^\t]+)\t"),
-    ("duration_ms", r"\tDuration: ([0-9.]+) ms\t"),
-    ("billed_duration_ms", r"\tBilled Duration: ([0-9.]+) ms\t"),
-    ("memory_size_mb", r"\tMemory Size: ([0-9.]+) MB\t"),
-    ("max_memory_used_mb", r"\tMax Memory Used: ([0-9.]+) MB\t"),
-    ("init_duration_ms", r"\tInit Duration: ([0-9.]+) ms\t"),
+    "request_id", "duration_ms", "billed_duration_ms", "memory_size_mb", "max_memory_used_mb", "init_duration_ms"
+)
+REPORT_PATTERN = (
+    r"REPORT RequestId: ([^\t]+)\t"
+    r"Duration: ([0-9.]+) ms\t"
+    r"Billed Duration: ([0-9.]+) ms\t"
+    r"Memory Size: ([0-9.]+) MB\t"
+    r"Max Memory Used: ([0-9.]+) MB\t"
+    r"(?:Init Duration: ([0-9.]+) ms\t)?"
 )
 QUANTILES = (0.5, 0.95, 0.99)
 

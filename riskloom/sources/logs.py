@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.fixed import REPORT_FIELDS, REPORT_PREFIX
+from riskloom.fixed import REPORT_FIELDS, REPORT_PATTERN, REPORT_PREFIX
 from riskloom.operators.monitor import latest
 
 ACCESS_SCHEMA = "timestamp timestamp, routeKey string, status string, responseLatency double, path string, sourceIp string"
@@ -15,10 +15,10 @@ def parse_reports(lines: DataFrame, message: str, keep: tuple[str, ...] = ()) ->
     """Fields of report lines; other lines are dropped by a cheap prefix test before any pattern runs."""
     text = F.col(message)
     first, *rest = REPORT_FIELDS
-    columns = [F.nullif(F.regexp_extract(text, first[1], 1), F.lit("")).alias(first[0])]
-    columns += [F.regexp_extract(text, pattern, 1).try_cast("double").alias(name) for name, pattern in rest]
+    columns = [F.nullif(F.regexp_extract(text, REPORT_PATTERN, 1), F.lit("")).alias(first)]
+    columns += [F.regexp_extract(text, REPORT_PATTERN, i).try_cast("double").alias(name) for i, name in enumerate(rest, 2)]
     parsed = lines.filter(text.startswith(REPORT_PREFIX)).select(*keep, *columns)
-    complete = [name for name, _ in REPORT_FIELDS if name != "init_duration_ms"]
+    complete = [name for name in REPORT_FIELDS if name != "init_duration_ms"]
     return parsed.dropna(subset=complete)
 
 
