@@ -109,8 +109,6 @@ def test_request_bodies(spark):
 
 
 def test_only_a_whole_object_is_a_body(spark):
-    from riskloom.sources.requests import parse_requests
-
     bodies = [
         '{"inputs": {"sc": "1.4"}}', '{"inputs": "{\\"sc\\": 1}"}', '{"inputs": {"sc": 1}} trailing', '{"inputs": {}}, {}', "", "[1]",
         '{"mode": "research", "fields": {"sc": 2}}',
