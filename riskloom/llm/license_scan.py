@@ -2,7 +2,8 @@
 
 Licence templates are indexed by their rarest words, rare by document frequency in the whole corpus. A file's rarest
 licence words are looked up; the places that the postings of a template's words agree on, by relative position, are
-candidates. At these the template's mandatory key phrase is verified word by word, and the other words are compared.
+candidates. At these the template's mandatory key phrase is verified word by word, which gives the label; how many of the
+other words agree goes into the score alone.
 """
 
 from __future__ import annotations
@@ -74,10 +75,9 @@ NOTICES = (
 
 @dataclass(frozen=True)
 class ScanSetting:
-    """rare: indexed words of a template; least: share of its words that must agree at a place."""
+    """rare: indexed words of a template."""
 
     rare: int = 3
-    least: float = 0.3
 
 
 def document_frequency(documents: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
@@ -140,8 +140,7 @@ class RareIndex:
             if at < 0 or words[at : at + len(template.key_words)] != template.key_words:
                 continue
             same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template.words))
-            if (share := same / len(template.words)) >= self.setting.least or template.base:
-                found.append((at, len(template.key_words), number, share))
+            found.append((at, len(template.key_words), number, same / len(template.words)))
         return sorted(found)
 
 

@@ -47,6 +47,13 @@ def test_licences_against_brute_force(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_a_verified_key_phrase_gives_its_label(spark):
+    texts = ["Released under CC0 1.0", "Licensed under the Mozilla Public License 2.0", "cc by 0, the mozilla license", license_scan.NOTICES[10].text]
+    rows = license_scan.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["cc0", "mpl-2.0", "cc-by", "cc0"]
+    assert 0 < rows[0].score < rows[3].score == 1
+
+
 def plain_spans(text):
     text, found = text or "", []
     assign = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
