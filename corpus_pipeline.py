@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets (operator 4) give way to a mark in the text; n_chars follows where a text changed."""
-    model = secret_scan.train(secret_scan.samples(docs))
+    model = secret_scan.train(secret_scan.samples(docs), documents=docs)
     found = secret_scan.scan(docs, model)
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
     changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

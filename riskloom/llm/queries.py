@@ -88,7 +88,7 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    model = secret_scan.train(secret_scan.samples(documents))
+    model = secret_scan.train(secret_scan.samples(documents), documents=documents)
     found = secret_scan.scan(documents.select("doc_id", "text"), model)
     counts = [secret_scan.number_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in secret_scan.PATTERNS]
     digest = F.sha2(secret_scan.listing(F.col("base_spans")), 256)

@@ -2,6 +2,8 @@
 
 All of it is column expressions. Two first-order character models are counted from labelled tokens. A long token counts
 as random when its mean log-likelihood ratio per character pair is above a bound that ordinary long tokens keep below.
+What no fixed pattern matches is not ordinary for that: the ordinary tokens are words too short to be judged and
+identifiers made of such words, and the bound stays below the midpoint between them and the secrets.
 """
 
 from __future__ import annotations
@@ -22,22 +24,28 @@ RANDOM = "random"
 KINDS = (*PATTERNS, RANDOM)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
+#: Between the words of identifiers; besides, words with a capital follow each other.
+JOINS = ("_", "-", "/", "")
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 
 
 @dataclass(frozen=True)
 class MarkovSetting:
-    """length: least length of a judged token; secrets, texts: bounds of the labelled sample; smoothing: added to counts.
+    """length: least length of a judged token; secrets, texts, identifiers: bounds of the labelled sample; smoothing: added to counts.
 
-    share: how many of the ordinary long tokens of the sample may pass; margin: least mean ratio of a random token.
+    spread: how many deviations above the median of ordinary long tokens the bound lies; margin: least mean ratio of a
+    random token; step, reach: width of the bins and largest absolute score of the histogram of long tokens.
     """
 
     length: int = 20
     secrets: int = 5000
     texts: int = 1000
+    identifiers: int = 1000
     smoothing: float = 0.5
-    share: float = 0.001
+    spread: float = 5.0
     margin: float = 0.5
+    step: float = 0.02
+    reach: float = 12.0
 
 
 @dataclass(frozen=True)
@@ -96,17 +104,36 @@ def base_values(text: Column) -> Column:
 def samples(documents: DataFrame, setting: MarkovSetting = MarkovSetting()) -> DataFrame:
     """Labelled tokens (token, random): secrets of fixed form from all texts, and words of a bounded number of texts.
 
-    Both are taken in the order of a hash, so the same corpus gives the same sample.
+    Both are taken in the order of a hash, so the same corpus gives the same sample. A token long enough to be judged is
+    not ordinary because no pattern matches it: it may be a key. The long ordinary tokens are identifiers made of words.
     """
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     found = texts.select(F.explode(base_values(F.col("text"))).alias("token"))
     found = found.orderBy(F.xxhash64("token"), "token").limit(setting.secrets)
     some = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(setting.texts)
     plain = F.regexp_replace("text", "|".join(p for p, *_ in (PATTERNS["assign"], *(_bounded(*PATTERNS[k]) for k in ("access", "hex")))), " ")
-    words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(f"{TOKEN}{{4,}}"), F.lit(0))).alias("token"))
+    some = some.select(plain.alias("plain"))
+    words = some.select(F.explode(F.regexp_extract_all("plain", F.lit(f"{TOKEN}{{4,}}"), F.lit(0))).alias("token"))
+    words = words.where(F.length("token") < setting.length).unionByName(identifiers(some, setting))
     return found.withColumn("random", F.lit(True)).unionByName(words.withColumn("random", F.lit(False)))
 
 
+def identifiers(texts: DataFrame, setting: MarkovSetting) -> DataFrame:
+    """(token): long identifiers of five successive plain words of `texts` (plain), joined in one of the ways of JOINS.
+
+    Plain words are too short to be judged and have letters alone, of which only the first may be a capital.
+    """
+    word = f"[A-Za-z][a-z]{{1,{setting.length - 2}}}"
+    pattern = F.lit(f"(?<!{TOKEN}){word}(?: {word}){{4}}(?!{TOKEN})")
+    groups = texts.select(F.explode(F.regexp_extract_all("plain", pattern, F.lit(0))).alias("words"))
+    way = F.pmod(F.xxhash64("words"), F.lit(len(JOINS) + 1))
+    token = F.translate(F.initcap("words"), " ", "")
+    for number, join in enumerate(JOINS):
+        token = F.when(way == number, F.translate("words", " ", join)).otherwise(token)
+    found = groups.distinct().select(token.alias("token")).where(F.length("token") >= setting.length)
+    return found.orderBy(F.xxhash64("token"), "token").limit(setting.identifiers)
+
+
 def place(letter: Column) -> Column:
     return F.instr(F.lit(ALPHABET), letter)
 
@@ -127,10 +154,11 @@ def mean_ratio(token: Column, weights: tuple[float, ...]) -> Column:
     return F.when(last >= 1, total / last).otherwise(F.lit(0.0))
 
 
-def train(labelled: DataFrame, setting: MarkovSetting = MarkovSetting()) -> Model:
-    """Both models from labelled tokens (token, random). What reaches the driver is one row per pair of letters.
+def train(labelled: DataFrame, setting: MarkovSetting = MarkovSetting(), documents: DataFrame | None = None) -> Model:
+    """Both models from labelled tokens (token, random), the bound from those and from the long tokens of `documents`.
 
-    With no random tokens that model is uniform, with no ordinary ones the other is.
+    What reaches the driver is one row per pair of letters and the bins of two histograms. With no random tokens that
+    model is uniform, with no ordinary ones the other is.
     """
     known = labelled.where("token IS NOT NULL AND length(token) >= 2")
     pairs = known.select("token", "random", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
@@ -146,9 +174,62 @@ def train(labelled: DataFrame, setting: MarkovSetting = MarkovSetting()) -> Mode
         return [math.log((n + s) / (sums[k // size] + s * size)) for k, n in enumerate(numbers)]
 
     weights = tuple(a - b for a, b in zip(logs(counts[True]), logs(counts[False])))
-    ordinary = known.where(~F.col("random") & (F.length("token") >= setting.length))
-    reached = ordinary.agg(F.percentile(mean_ratio(F.col("token"), weights), 1 - setting.share)).first()[0]
-    return Model(weights, max(setting.margin, reached or 0.0))
+    long = known.where(F.length("token") >= setting.length)
+    bins = {kind: histogram(long.where(F.col("random") == kind), weights, setting) for kind in (True, False)}
+    everywhere = [] if documents is None else histogram(long_tokens(documents, setting), weights, setting)
+    return Model(weights, bound(bins[False], bins[True], everywhere, setting))
+
+
+def long_tokens(documents: DataFrame, setting: MarkovSetting = MarkovSetting()) -> DataFrame:
+    """(token): the distinct tokens of all texts that scan() judges."""
+    texts = documents.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(f"{TOKEN}{{{setting.length},}}"))
+    whole = F.col("text")
+    texts = texts.select("text", F.struct(*(c.alias(k) for k, c in _located(whole).items())).alias("_secret"))
+    texts = texts.select("text", F.concat(*(tagged(F.col(f"_secret.{kind}"), kind) for kind in PATTERNS)).alias("_base"))
+    free = F.transform(judged(whole, F.col("_base"), setting), lambda t: F.substr(whole, t["start"] + 1, t["end"] - t["start"]))
+    return texts.select(F.explode(free).alias("token")).distinct()
+
+
+def histogram(tokens: DataFrame, weights: tuple[float, ...], setting: MarkovSetting) -> list[tuple[float, int]]:
+    """(score, number of tokens) by bins of the mean ratio, in order; their number does not grow with the tokens."""
+    score = F.greatest(F.lit(-setting.reach), F.least(F.lit(setting.reach), mean_ratio(F.col("token"), weights)))
+    rows = tokens.groupBy(F.round(score / setting.step).cast("int").alias("bin")).count().collect()
+    return sorted((row["bin"] * setting.step, row["count"]) for row in rows)
+
+
+def middle(bins: list[tuple[float, int]]) -> float:
+    """Median of a histogram."""
+    seen, half = 0, sum(n for _, n in bins) / 2
+    for value, n in bins:
+        seen += n
+        if seen >= half:
+            return value
+    return 0.0
+
+
+def bound(ordinary: list[tuple[float, int]], random: list[tuple[float, int]], everywhere: list[tuple[float, int]], setting: MarkovSetting) -> float:
+    """A bound from the histograms of long tokens: known to be ordinary, known to be random, and of all texts.
+
+    It lies some deviations above the median of the ordinary ones, and of the tokens of all texts on their side of the
+    midpoint between both medians, whichever is more; but never above the midpoint, so no number of keys lifts it there.
+    """
+
+    def above(bins: list[tuple[float, int]]) -> float:
+        centre = middle(bins)
+        apart = middle(sorted((abs(value - centre), n) for value, n in bins))
+        return centre + setting.spread * max(1.4826 * apart, setting.step)
+
+    if not ordinary:
+        return setting.margin
+    half = (middle(ordinary) + middle(random)) / 2 if random else setting.reach
+    near = [(value, n) for value, n in everywhere if value < half] if random else []
+    return max(setting.margin, min(half, max(above(part) for part in (ordinary, near) if part)))
+
+
+def judged(whole: Column, base: Column, setting: MarkovSetting) -> Column:
+    """Start and end of the long tokens that touch no span of `base`."""
+    tokens = located(whole, f"{TOKEN}{{{setting.length},}}")
+    return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
 def tagged(spans: Column, kind: str) -> Column:
@@ -168,11 +249,9 @@ def scan(documents: DataFrame, model: Model, setting: MarkovSetting = MarkovSett
     base = F.array_sort(F.concat(*(tagged(F.col(f"_secret.{kind}"), kind) for kind in PATTERNS)))
     found = documents.withColumn("_secret", F.struct(*(c.alias(k) for k, c in _located(whole).items())))
     found = found.withColumn("base_spans", base)
-    tokens = located(whole, f"{TOKEN}{{{setting.length},}}")
     free = F.filter(
-        tokens,
-        lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        & (mean_ratio(F.substr(whole, t["start"] + 1, t["end"] - t["start"]), model.weights) > model.bound),
+        judged(whole, F.col("base_spans"), setting),
+        lambda t: mean_ratio(F.substr(whole, t["start"] + 1, t["end"] - t["start"]), model.weights) > model.bound,
     )
     spans = F.array_sort(F.concat("base_spans", tagged(free, RANDOM)))
     return found.withColumn("spans", spans).select(*[c for c in keep if c not in ("base_spans", "spans")], "base_spans", "spans")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def test_markov_models_tell_random_tokens(spark):
     assert letters.match(names[0])
 
 
+def test_keys_without_a_fixed_form_do_not_set_the_bound(spark):
+    """Planted in texts, whether few or more than all other long tokens, they are found; words and identifiers are not."""
+    draw, letters = random.Random(7), secret_scan.ALPHABET[:62]
+    names = ["simple_answer_under_many_stones", "QuickReaderFoundAnotherAnswer", "heavy/stones/while/seven/farmers"]
+    base = [*all_texts(spark), *(f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(50)), *names]
+    for number in (1, 400):
+        keys = ["".join(draw.choice(letters) for _ in range(32)) for _ in range(number)]
+        docs = documents(spark, base + [f"see {k} here" for k in keys])
+        model = secret_scan.train(secret_scan.samples(docs), documents=docs)
+        rows = secret_scan.scan(docs, model).orderBy("doc_id").select("text", "spans").collect()
+        marked = [[r.text[s.start : s.end] for s in r.spans if secret_scan.KINDS[s.kind] == "random"] for r in rows]
+        assert sum(found == [key] for found, key in zip(marked[len(base) :], keys)) >= 0.98 * number
+        assert not any(marked[: len(base)])
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
