@@ -104,11 +104,11 @@ def base_values(text: Column) -> Column:
 def samples(documents: DataFrame, setting: MarkovSetting = MarkovSetting()) -> DataFrame:
     """Labelled tokens (token, random): secrets of fixed form from all texts, and words of a bounded number of texts.
 
-    Both are taken in the order of a hash, so the same corpus gives the same sample. A token long enough to be judged is
-    not ordinary because no pattern matches it: it may be a key. The long ordinary tokens are identifiers made of words.
+    Each secret counts once. Both are taken in the order of a hash, so the same corpus gives the same sample. A token long
+    enough to be judged is not ordinary because no pattern matches it: it may be a key. The long ordinary tokens are identifiers made of words.
     """
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    found = texts.select(F.explode(base_values(F.col("text"))).alias("token"))
+    found = texts.select(F.explode(base_values(F.col("text"))).alias("token")).distinct()
     found = found.orderBy(F.xxhash64("token"), "token").limit(setting.secrets)
     some = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(setting.texts)
     plain = F.regexp_replace("text", "|".join(p for p, *_ in (PATTERNS["assign"], *(_bounded(*PATTERNS[k]) for k in ("access", "hex")))), " ")

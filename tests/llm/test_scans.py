@@ -122,6 +122,13 @@ def test_keys_without_a_fixed_form_do_not_set_the_bound(spark):
         assert not any(marked[: len(base)])
 
 
+def test_copies_of_a_secret_count_once(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    docs = documents(spark, [k for k in keys for _ in range(20)])
+    found = secret_scan.samples(docs, secret_scan.MarkovSetting(secrets=6)).where("random").collect()
+    assert len(found) == len({r.token for r in found}) == 6
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
