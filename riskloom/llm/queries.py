@@ -10,6 +10,7 @@ from riskloom.llm import (
     bpe_automaton,
     cotraining,
     cutting_stock,
+    dual_tree_codes,
     license_scan,
     rule_forest,
     secret_scan,
@@ -132,6 +133,31 @@ def op10_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(*base, F.round("score", 6).alias("score"))
 
 
+def op11_dual_tree_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree_codes.compress(table(spark, folder, "embeddings"))
+
+
+def lloyd_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other: parts with their nearest entries, then floors of the means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, p, s, min_by(e, (dist, e)) AS e, min(dist) AS dist FROM (SELECT vec_id, parts.p, s, e,
+  list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts JOIN c{r} ON parts.p = c{r}.p) GROUP BY 1, 2, 3)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM
+  (SELECT p, e, unnest(s) AS x, unnest(range(len(s))) AS i FROM a{r}) GROUP BY 1, 2, 3),
+c{r + 1} AS (SELECT c{r}.p, c{r}.e, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT p, e, list(y::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY 1, 2) n USING (p, e))""")
+    return f"""WITH w AS (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS s FROM w, range(8) AS r(p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s AS c FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16),
+{", ".join(steps)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM w JOIN codes USING (vec_id) GROUP BY 1)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM w JOIN codes USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM w.label, books"""
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -143,5 +169,6 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_cutting_stock": op9_cutting_stock,
     "op10_rule_forest": op10_rule_forest,
+    "op11_dual_tree_codes": op11_dual_tree_codes,
 }
-ORACLE = {"op1_voronoi_knn": OP1_SQL, "op6_tensored_minhash": OP6_SQL, "op8_url_reputation": OP8_SQL}
+ORACLE = {"op1_voronoi_knn": OP1_SQL, "op6_tensored_minhash": OP6_SQL, "op8_url_reputation": OP8_SQL, "op11_dual_tree_codes": lloyd_sql()}
