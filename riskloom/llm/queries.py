@@ -12,6 +12,7 @@ from riskloom.llm import (
     cutting_stock,
     dual_tree_codes,
     license_scan,
+    mixing_coder,
     rule_forest,
     secret_scan,
     tensored_minhash,
@@ -158,6 +159,10 @@ sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM w JOIN codes USING
 SELECT vec_id, code, error, label_error, codebooks_sha256 FROM w JOIN codes USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM w.label, books"""
 
 
+def op12_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing_coder.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -170,5 +175,6 @@ QUERIES = {
     "op9_cutting_stock": op9_cutting_stock,
     "op10_rule_forest": op10_rule_forest,
     "op11_dual_tree_codes": op11_dual_tree_codes,
+    "op12_mixing_coder": op12_mixing_coder,
 }
 ORACLE = {"op1_voronoi_knn": OP1_SQL, "op6_tensored_minhash": OP6_SQL, "op8_url_reputation": OP8_SQL, "op11_dual_tree_codes": lloyd_sql()}
