@@ -16,6 +16,7 @@ from riskloom.llm import (
     rule_forest,
     secret_scan,
     tensored_minhash,
+    token_alignment,
     toxicity_chain,
     url_reputation,
     voronoi_knn,
@@ -163,6 +164,11 @@ def op12_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
     return mixing_coder.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.compare(table(spark, folder, "documents"), *paths)
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -176,5 +182,6 @@ QUERIES = {
     "op10_rule_forest": op10_rule_forest,
     "op11_dual_tree_codes": op11_dual_tree_codes,
     "op12_mixing_coder": op12_mixing_coder,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE = {"op1_voronoi_knn": OP1_SQL, "op6_tensored_minhash": OP6_SQL, "op8_url_reputation": OP8_SQL, "op11_dual_tree_codes": lloyd_sql()}
