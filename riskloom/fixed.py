@@ -47,6 +47,10 @@ CLINICAL_FEATURES = (
     "dm", "htn", "cvd", "proteinuria_flag",
 )
 
+# Fixed: request fields that are read as numbers, in the order in which they are read.
+RESEARCH_NUMBERS = ("sc", "hemo", "pcv", "bu", "al", "sg", "rbcc")
+CLINICAL_NUMBERS = ("age", "scr", "potassium", "egfr", "uacr", "hba1c", "sbp")
+
 
 class FeatureGroups(NamedTuple):
     """Which features the audit and the rules treat specially."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import strip
+from riskloom.fixed import CLINICAL_NUMBERS, RESEARCH_NUMBERS
+from riskloom.functions.text import number, strip
 
+INPUTS, CONTEXT = "map<string,string>", "struct<case_id:string,patient_name:string,clinical_note:string>"
 RESERVED = ("mode", "context")
 MODES = ("research", "clinical")
 
@@ -19,46 +23,50 @@ def decoded(body: Column, is_base64: Column | None = None) -> Column:
 
 
 def parse_requests(df: DataFrame, body: str, is_base64: str | None = None) -> DataFrame:
-    """Add mode, inputs, context and rejection.
+    """Add mode, inputs, context, rejection and rejected_field.
 
     The inputs are the `inputs` object, else the first other object in the body;
     text that looks like one is none. A body is one JSON object with nothing
-    behind it. `rejection` is missing for a usable request.
+    behind it. A number field of the route that holds something else is refused
+    with its name. `rejection` is missing for a usable request.
+
+    A body is parsed once; its parts are read from the parsed value.
     """
     text = decoded(F.col(body), F.col(is_base64) if is_base64 else None)
     text = F.coalesce(F.nullif(text, F.lit("")), F.lit("{}"))
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # text behind an object spoils the list
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    kinds = F.transform_values(F.try_variant_get(listed, "$[0]", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
-    kinds = F.when(alone, kinds)
-    whole = F.when(kinds.isNotNull(), F.from_json(text, "map<string,string>"))
-    staged = df.select("*", once(whole.alias("_body"), kinds.alias("_kinds")))
-
-    def is_object(key: Column) -> Column:
-        return F.coalesce(F.try_element_at("_kinds", key).startswith("OBJECT"), F.lit(False))
-
-    others = F.filter(F.map_entries("_body"), lambda e: ~e["key"].isin(*RESERVED) & is_object(e["key"]))
-    named = F.try_element_at("_body", F.lit("inputs"))
-    chosen = F.when(is_object(F.lit("inputs")), named).otherwise(F.get(others, F.lit(0))["value"])
-    mode = F.lower(strip(F.coalesce(F.try_element_at("_body", F.lit("mode")), F.lit("none"))))
-    context = "struct<case_id:string,patient_name:string,clinical_note:string>"
+    staged = df.select("*", once(text.alias("_text"), listed.alias("_listed")))
+    alone = F.try_variant_get("_listed", "$[1]", "variant").isNull()
+    whole = F.when(alone, F.try_variant_get("_listed", "$[0]", "map<string,variant>"))
+    staged = staged.select("*", once(whole.alias("_body"), F.try_variant_get("_listed", "$[0].inputs", INPUTS).alias("_named")))
+    others = F.filter(F.json_object_keys("_text"), lambda k: ~k.isin(*RESERVED))  # in the order of the text
+    objects = F.transform(others, lambda k: F.try_variant_get(F.try_element_at("_body", k), "$", INPUTS))
+    chosen = F.coalesce("_named", F.get(F.filter(objects, lambda o: o.isNotNull()), F.lit(0)))
+    said = F.try_variant_get("_listed", "$[0].mode", "string")
+    mode = F.when(F.map_contains_key("_body", "mode"), F.lower(strip(F.coalesce(said, F.lit("none"))))).otherwise("research")
     parsed = staged.select(
         *df.columns,
         once(
-            F.when(F.map_contains_key("_body", "mode"), mode)
-            .when(F.col("_body").isNotNull(), "research")
-            .alias("mode"),
-            F.from_json(chosen, "map<string,string>").alias("inputs"),
-            F.from_json(F.try_element_at("_body", F.lit("context")), context).alias("context"),
+            F.when(F.col("_body").isNotNull(), mode).alias("mode"),
+            F.when(F.col("_body").isNotNull(), chosen).alias("inputs"),
+            F.when(F.col("_body").isNotNull(), F.try_variant_get("_listed", "$[0].context", CONTEXT)).alias("context"),
             F.col("_body").isNull().alias("_broken"),
         ),
     )
+    odd = F.when(F.col("mode") == "clinical", not_numbers(CLINICAL_NUMBERS)).when(F.col("mode") == "research", not_numbers(RESEARCH_NUMBERS))
     rejection = (
         F.when(F.col("_broken"), "invalid_json")
         .when(F.col("inputs").isNull(), "missing_inputs")
         .when(~F.col("mode").isin(*MODES), "unsupported_mode")
+        .when(F.col("rejected_field").isNotNull(), "invalid_number")
     )
-    return parsed.withColumn("rejection", rejection).drop("_broken")
+    return parsed.select("*", once(odd.alias("rejected_field"))).withColumn("rejection", rejection).drop("_broken")
+
+
+def not_numbers(names: Sequence[str]) -> Column:
+    """The first of the input fields whose text is there, not empty and no number."""
+    cases = [F.try_element_at("inputs", F.lit(n)) for n in names]
+    return F.coalesce(*[F.when((c != "") & number(c).isNull(), n) for n, c in zip(names, cases)])
 
 
 def once(*columns: Column) -> Column:

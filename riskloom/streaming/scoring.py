@@ -51,7 +51,7 @@ def score_requests(
 
 
 def rejected_requests(requests: DataFrame, body: str, keys: list[str], is_base64: str | None = None) -> DataFrame:
-    return quarantined(parse_requests(requests, body, is_base64)).select(*keys, "mode", "rejection")
+    return quarantined(parse_requests(requests, body, is_base64)).select(*keys, "mode", "rejection", "rejected_field")
 
 
 def start_scoring(scored: DataFrame, path: str, checkpoint: str):
