@@ -26,7 +26,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.fixed import METRICS, SEED
@@ -370,6 +370,37 @@ def predict_ensemble(
     )
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """A fitted model with what serving needs: its feature order, which features are numbers, and its version."""
+
+    model: PipelineModel
+    features: tuple[str, ...]
+    numeric: tuple[str, ...]
+    version: str
+
+
+def fit_bundle(train: DataFrame, spec: ModelSpec, numeric: Sequence[str], text: Sequence[str], version: str) -> Bundle:
+    """Model of `spec`; its feature order is that of the columns of `train`."""
+    order = tuple(c for c in train.columns if c in {*numeric, *text})
+    return Bundle(fit(train, spec, numeric, text), order, tuple(numeric), version)
+
+
+def save_bundle(bundle: Bundle, path: str) -> None:
+    save(bundle.model, f"{path}/model")
+    spark = SparkSession.active()
+    rows = [(i, name, name in bundle.numeric, bundle.version) for i, name in enumerate(bundle.features)]
+    facts = spark.createDataFrame(rows, "place int, feature string, is_number boolean, version string")
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/features")  # one row per feature
+
+
+def load_bundle(spark: SparkSession, path: str) -> Bundle:
+    schema = "place int, feature string, is_number boolean, version string"
+    rows = spark.read.schema(schema).json(f"{path}/features").orderBy("place").collect()
+    numeric = tuple(r["feature"] for r in rows if r["is_number"])
+    return Bundle(load(f"{path}/model"), tuple(r["feature"] for r in rows), numeric, rows[0]["version"])
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

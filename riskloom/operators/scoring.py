@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ from riskloom.fixed import (
     Term,
     Word,
 )
+from riskloom.operators.learning import Bundle
 from riskloom.functions.text import exact_round, let, number, reasons, strip, yes_no
 
 Field = Callable[[str], Column]
@@ -187,9 +189,9 @@ def threshold_messages(field: Field, rules: Sequence[tuple], limit: int = MESSAG
     return F.slice(reasons(*entries), 1, limit)
 
 
-def feature_columns(field: Field, features: Sequence[str] = FEATURES) -> list[Column]:
-    """Inputs in a stored feature order; absent ones are missing."""
-    return [field(f).alias(f) for f in features]
+def feature_columns(field: Field, features: Sequence[str] = FEATURES, numeric: Sequence[str] = ()) -> list[Column]:
+    """Inputs in a stored feature order; absent ones are missing. Those in `numeric` are read as numbers."""
+    return [(number(field(f)) if f in numeric else field(f)).alias(f) for f in features]
 
 
 def translated(field: Field, features: Sequence[str] = FEATURES) -> Field:
@@ -313,9 +315,41 @@ def response(
     )
 
 
+def either(clinical: Column, field: Field) -> Field:
+    """Research view of inputs of both routes: clinical ones are translated."""
+    view = translated(field)
+    return lambda name: F.when(clinical, view(name)).otherwise(field(name).cast("string"))
+
+
+def model_scores(df: DataFrame, field: Field, bundle: Bundle, score: str = "_score") -> DataFrame:
+    """`df` with the model's probability of the positive class.
+
+    The inputs are brought into the stored feature order as columns of their
+    own names, so the stages of the model see what they were fitted on; they go
+    again afterwards, and columns of the same names in `df` come back. One
+    projection chain without a shuffle, for a table or a stream.
+    """
+    own = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    aligned = own.select("_row", *feature_columns(field, bundle.features, bundle.numeric))
+    scored = bundle.model.transform(aligned)
+    return scored.select("_row.*", vector_to_array(F.col("probability"))[1].alias(score))
+
+
 def research_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Responses of the research route for inputs with their score."""
     return response(df, score, research_contributions(field), F.lit(RESEARCH_NOTE), version, "research", keep)
 
 
 def clinical_response(df: DataFrame, score: Column, field: Field, version: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Responses of the clinical route for clinical inputs with the score of their translation."""
     return response(df, score, clinical_contributions(field), clinical_note(field), version, "clinical", keep)
+
+
+def model_responses(df: DataFrame, bundle: Bundle, route: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Responses for a table with one column per input field, scored by a fitted model on one route."""
+    field = fields(df)
+    if route == "clinical":
+        scored = model_scores(df, translated(field), bundle)
+        return clinical_response(scored, F.col("_score"), fields(scored), bundle.version, keep)
+    scored = model_scores(df, field, bundle)
+    return research_response(scored, F.col("_score"), fields(scored), bundle.version, keep)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import fixed
 from riskloom.operators import learning, metrics, scoring, split
 from riskloom.operators.inference import MODEL
 from riskloom.operators.lifecycle import TIE, TIME
@@ -13,7 +15,8 @@ from riskloom.queries.common import final, table
 from riskloom.session import run_folder
 from riskloom.streaming.lifecycle import read_registry, registry_sink, start_registry
 from riskloom.streaming.metrics import alarm_sink, start_alarms, windowed
-from riskloom.streaming.scoring import score_requests, start_scoring
+from riskloom.sources.requests import parse_requests, usable
+from riskloom.streaming.scoring import model_score_requests, score_requests, start_scoring
 
 # --- Imputation -----------------------------------------------------------------
 
@@ -137,6 +140,89 @@ def restored(spark, folder):
 
 RESTORED_SQL = "SELECT (SELECT ceil(0.2::DOUBLE * count(*)) FROM labels)::BIGINT AS row_count, 0::BIGINT AS differences"
 
+# --- Serving a fitted model ------------------------------------------------------
+
+
+def counting_model():
+    """Multinomial naive Bayes: its probabilities follow from sums of the features by class, which SQL can state."""
+    return NaiveBayes(smoothing=1.0, modelType="multinomial", featuresCol=learning.VECTOR, labelCol="target_true")
+
+
+def counting_sql(train: str, numbers: list[str], word: str) -> str:
+    """Table `sums` of class, rows, smoothed shares of numbers and, in `words`, of words; from `train` (truth, numbers, word)."""
+    total = " + ".join(f"sum({n})" for n in numbers)
+    return f"""size AS (SELECT {len(numbers)} + count(DISTINCT {word}) AS d, count(*) AS n FROM {train}),
+sums AS (SELECT truth, ln((count(*) + 1.0::DOUBLE) / (any_value(n) + 2)) AS prior, {", ".join(f"ln((sum({n}) + 1.0::DOUBLE) / ({total} + count(*) + any_value(d))) AS t_{n}" for n in numbers)},
+  {total} + count(*) + any_value(d) AS bottom FROM {train}, size GROUP BY 1),
+kinds AS (SELECT DISTINCT {word} FROM {train}),
+words AS (SELECT sums.truth, kinds.{word}, ln((count(t.truth) + 1.0::DOUBLE) / any_value(bottom)) AS t_word FROM sums CROSS JOIN kinds LEFT JOIN {train} t ON t.truth = sums.truth AND t.{word} = kinds.{word} GROUP BY 1, 2)"""
+
+
+def joint_sql(numbers: list[str], word: str) -> str:
+    """Probability of class 1 for the rows of the FROM clause that follows, joined as given below."""
+    one = " + ".join(f"x.{n} * (s1.t_{n} - s0.t_{n})" for n in numbers)
+    return f"1 / (1 + exp(-(s1.prior - s0.prior + {one} + coalesce(w1.t_word - w0.t_word, 0))))"
+
+
+def joint_from(rows: str, word: str) -> str:
+    return f"""{rows} x JOIN sums s1 ON s1.truth = 1 JOIN sums s0 ON s0.truth = 0
+  LEFT JOIN words w1 ON w1.truth = 1 AND w1.{word} = x.{word} LEFT JOIN words w0 ON w0.truth = 0 AND w0.{word} = x.{word}"""
+
+
+def stored_bundle(spark: SparkSession, train: DataFrame, numeric: list[str], text: list[str], version: str) -> learning.Bundle:
+    """Fitted, saved and read back, as a server would."""
+    path = run_folder(spark, "bundle")
+    learning.save_bundle(learning.fit_bundle(train, learning.ModelSpec("counts", counting_model), numeric, text, version), path)
+    return learning.load_bundle(spark, path)
+
+
+def model_scored(spark, folder):
+    """Customers' inputs on both routes, scored by a model of dm and su; sod is a feature that no input has."""
+    data = serving.inputs(spark, folder)
+    target = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 4000).cast("int").alias("target_true"))
+    numeric, words = ["su", "sod"], ["dm"]
+    train = data.join(target, "k").select("target_true", *scoring.feature_columns(scoring.fields(data), ["sod", "dm", "su"], numeric))
+    bundle = stored_bundle(spark, train, numeric, words, "counts-1")
+    both = scoring.model_responses(data, bundle, "research", ["k"]).unionByName(scoring.model_responses(data, bundle, "clinical", ["k"]))
+    return final(both.select("k", "risk_score", "prediction_label", "model_version", "serving_route", "notes", F.size("explanation").alias("items"), F.col("explanation")[0]["feature"].alias("first_feature")))
+
+
+BANDS = "CASE WHEN risk_score >= 0.7 THEN 'high_risk' WHEN risk_score >= 0.4 THEN 'moderate_risk' ELSE 'lower_risk' END"
+MODEL_SCORED_SQL = f"""
+WITH {serving.INPUT_SQL}, mode AS (SELECT dm AS word FROM i WHERE dm IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+middle AS (SELECT median(su::DOUBLE) AS su FROM i),
+t AS (SELECT (c_acctbal > 4000)::INT AS truth, coalesce(dm, word) AS dm, i.su::DOUBLE AS su, 0.0::DOUBLE AS sod FROM i JOIN customer ON k = c_custkey, mode),
+{counting_sql("t", ["su", "sod"], "dm")},
+said AS (SELECT k, 'research' AS route, coalesce(dm, word) AS dm, i.su::DOUBLE AS su, 0.0::DOUBLE AS sod FROM i, mode
+ UNION ALL SELECT k, 'clinical', coalesce({serving._word('dm')}, word), middle.su, 0.0::DOUBLE FROM i, mode, middle),
+scored AS (SELECT k, route, {joint_sql(["su", "sod"], "dm")} AS risk_score FROM {joint_from("said", "dm")}),
+a AS (WITH {serving.contribution_sql(fixed.RESEARCH_TERMS, fixed.RESEARCH_FLAGS, fixed.RESEARCH_FALLBACK)} SELECT k, count(*) FILTER (place <= 6) AS items, max(feature) FILTER (place = 1) AS first_feature FROM ranked GROUP BY 1),
+b AS (WITH {serving.contribution_sql(fixed.CLINICAL_TERMS, fixed.CLINICAL_FLAGS, fixed.CLINICAL_FALLBACK)} SELECT k, count(*) FILTER (place <= 6) AS items, max(feature) FILTER (place = 1) AS first_feature FROM ranked GROUP BY 1),
+n AS (SELECT k, concat_ws(' ', {serving.text(fixed.CLINICAL_NOTE)}, {", ".join(f"CASE WHEN {c} IS NOT NULL THEN {serving.text(t)} END" for c, t in fixed.TRANSLATION_NOTES.items())}) AS notes FROM i)
+SELECT k, round(risk_score, 6) AS risk_score, {BANDS} AS prediction_label, 'counts-1::' || route AS model_version, '/predict/' || route AS serving_route,
+  CASE route WHEN 'clinical' THEN n.notes ELSE {serving.text(fixed.RESEARCH_NOTE)} END AS notes, e.items, e.first_feature
+FROM scored JOIN n USING (k) JOIN (SELECT 'research' AS route, * FROM a UNION ALL SELECT 'clinical', * FROM b) e USING (k, route)"""
+
+
+def stream_model_scored(spark, folder):
+    """Requests of both routes as a stream, scored by a model fitted on the requests that are there; hemo is always missing."""
+    parsed = usable(parse_requests(table(spark, folder, "events").withColumn("body", F.expr(serving.BODY)), "body"))
+    field = scoring.either(F.col("mode") == "clinical", scoring.map_fields("inputs"))
+    numeric, words = ["sc", "hemo"], ["dm"]
+    train = parsed.select((F.col("value") > 50).cast("int").alias("target_true"), *scoring.feature_columns(field, ["sc", "dm", "hemo"], numeric))
+    bundle = stored_bundle(spark, train, numeric, words, "counts-2")
+    stream = event_stream(spark, folder).withColumn("body", F.expr(serving.BODY))
+    path = run_folder(spark, "scored")
+    start_scoring(model_score_requests(stream, "body", ["event_id"], bundle), f"{path}/rows", f"{path}/state").awaitTermination()
+    return final(spark.read.parquet(f"{path}/rows").select("event_id", "risk_score", "prediction_label", "model_version", "serving_route"))
+
+
+STREAM_MODEL_SQL = f"""
+WITH {serving.PARSED}, f AS (SELECT event_id, m, (value > 50)::INT AS truth, CASE m WHEN 'clinical' THEN event_id % 6 + 0.5 ELSE event_id % 5 + 0.4 END::DOUBLE AS sc, 0.0::DOUBLE AS hemo, user_id % 2 AS dm FROM r WHERE rejection IS NULL),
+{counting_sql("f", ["sc", "hemo"], "dm")},
+scored AS (SELECT event_id, m, {joint_sql(["sc", "hemo"], "dm")} AS risk_score FROM {joint_from("f", "dm")})
+SELECT event_id, round(risk_score, 6) AS risk_score, {BANDS} AS prediction_label, 'counts-2::' || m AS model_version, '/predict/' || m AS serving_route FROM scored"""
+
 # --- Streams --------------------------------------------------------------------
 
 
@@ -232,6 +318,8 @@ QUERIES = {
     "model_best_baseline": best_baseline,
     "model_search_ensemble": searched,
     "model_save_restore": restored,
+    "model_scored_batch": model_scored,
+    "stream_model_scored": stream_model_scored,
     "stream_scored_requests": stream_scoring,
     "stream_window_metrics": stream_windows,
     "stream_alarm_states": stream_alarm,
@@ -242,6 +330,8 @@ ORACLE = {
     "model_imputed": IMPUTED_SQL,
     "model_chained_imputation": CHAINED_SQL,
     "model_save_restore": RESTORED_SQL,
+    "model_scored_batch": MODEL_SCORED_SQL,
+    "stream_model_scored": STREAM_MODEL_SQL,
     "stream_scored_requests": STREAM_SCORING_SQL,
     "stream_window_metrics": STREAM_WINDOWS_SQL,
     "stream_alarm_states": STREAM_ALARM_SQL,

@@ -336,6 +336,22 @@ SELECT k AS event_id, risk_score, CASE WHEN risk_score >= 0.7 THEN 'high_risk' W
   'scorecard::' || m AS model_version, '/predict/' || m AS serving_route, notes, items, first_feature
 FROM s JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) USING (k)"""
 
+ODD_NUMBER = "CASE event_id % 7 WHEN 1 THEN '\"abc\"' WHEN 2 THEN '\" \"' WHEN 3 THEN '\"\"' WHEN 4 THEN 'null' WHEN 5 THEN '[1]' ELSE '1.5' END"
+ODD_BODY = f"concat('{{\"mode\": \"', CASE WHEN user_id % 2 = 0 THEN 'clinical' ELSE 'research' END, '\", \"inputs\": {{\"wbcc\": \"many\", \"hemo\": ', CASE WHEN event_id % 3 = 0 THEN '\"n/a\"' ELSE '12' END, ', \"sc\": ', {ODD_NUMBER}, ', \"scr\": ', {ODD_NUMBER}, '}}}}')"
+
+
+def invalid_numbers(spark, folder):
+    """Requests by route and refused number field; fields of the other route and fields that are no numbers don't matter."""
+    events = table(spark, folder, "events").withColumn("body", F.expr(ODD_BODY))
+    parsed = parse_requests(events, "body")
+    return final(parsed.groupBy("mode", "rejection", "rejected_field").agg(F.count(F.lit(1)).alias("row_count"), F.min("event_id").alias("first_event")))
+
+
+INVALID_NUMBERS_SQL = """
+WITH p AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'clinical' ELSE 'research' END AS mode, event_id % 7 IN (1, 2, 5) AS odd, event_id % 3 = 0 AS words FROM events),
+q AS (SELECT event_id, mode, CASE WHEN mode = 'clinical' AND odd THEN 'scr' WHEN mode = 'research' AND odd THEN 'sc' WHEN mode = 'research' AND words THEN 'hemo' END AS rejected_field FROM p)
+SELECT mode, CASE WHEN rejected_field IS NOT NULL THEN 'invalid_number' END AS rejection, rejected_field, count(*) AS row_count, min(event_id) AS first_event FROM q GROUP BY 1, 2, 3"""
+
 QUERIES = {
     "score_scorecards": scorecards,
     "score_probabilities": probabilities,
@@ -351,6 +367,7 @@ QUERIES = {
     "requests_parsed": parsed_requests,
     "requests_rejected": rejected,
     "requests_scored": scored_requests,
+    "requests_invalid_number": invalid_numbers,
 }
 ORACLE = {
     "score_scorecards": SCORECARDS_SQL,
@@ -367,4 +384,5 @@ ORACLE = {
     "requests_parsed": PARSED_SQL,
     "requests_rejected": REJECTED_SQL,
     "requests_scored": SCORED_SQL,
+    "requests_invalid_number": INVALID_NUMBERS_SQL,
 }
