@@ -10,70 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.fixed import CONFIDENCE, METRICS, REPLICATES, SEED, SIGNIFICANCE
-from riskloom.functions.hashing import digest, draw, prefix_length
 from riskloom.functions.stats import exact_mcnemar, normal_two_sided
+from riskloom.operators.bootstrap import bootstrap_metrics
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, metric_table, score_cells
 from riskloom.operators.ranking import range_cuts, running_totals, spread_lookup
-from riskloom.session import order_buckets
 
 MODEL, ROW = "model_name", "row_index"
 
 
-def class_ranks(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
-    """Number the rows of each class from 1, with the class size.
-
-    Digest prefixes cut each class into small windows; how long they are follows
-    the number of rows, so a window does not grow with the data.
-    """
-    length = prefix_length(rows.count())
-    hashed = rows.withColumn("_h", digest(seed, F.col(key))).withColumn("_p", F.substring("_h", 1, length))
-    along = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hashed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select(
-        label,
-        "_p",
-        F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(label)).alias("class_size"),
-    )
-    place = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key))
-    return (
-        hashed.withColumn("_place", place)
-        .join(offsets, [label, "_p"])
-        .withColumn("class_rank", F.col("_place") + F.col("_before"))
-        .drop("_h", "_p", "_place", "_before")
-    )
-
-
-def resample(predictions: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """Stratified resamples of a long prediction table: (replicate, model, truth, label, score).
-
-    Every class keeps its size in every replicate. A draw depends only on (seed,
-    replicate, class, place), and the same rows are drawn for all models.
-    """
-    item = F.struct(MODEL, LABEL, SCORE)
-    rows = predictions.groupBy(ROW, TRUTH).agg(F.collect_list(item).alias("_models"))
-    ranked = class_ranks(rows, ROW, TRUTH, seed)
-    draws = ranked.select(
-        TRUTH,
-        F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"),
-        F.col("class_rank").alias("_i"),
-        "class_size",
-    ).select(
-        TRUTH,
-        "replicate",
-        draw(F.col("class_size"), seed, F.col("replicate"), F.col(TRUTH), F.col("_i")).alias("class_rank"),
-    )
-    drawn = draws.join(ranked.select(TRUTH, "class_rank", "_models"), [TRUTH, "class_rank"])
-    return drawn.select("replicate", TRUTH, F.inline("_models"))
-
-
-def bootstrap_metrics(predictions: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """The eight metrics of every model in every replicate."""
-    buckets = max(4, order_buckets(predictions.sparkSession) // max(1, replicates))
-    cuts = range_cuts(predictions, SCORE, buckets)
-    return metric_table(resample(predictions, replicates, seed), [MODEL, "replicate"], cuts=cuts)
-
-
 def bootstrap_intervals(
     predictions: DataFrame,
     replicates: int = REPLICATES,

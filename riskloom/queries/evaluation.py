@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.fixed import LEAKAGE_NOTES, METRICS, DEFAULT_CONTEXT
+from riskloom.fixed import DEFAULT_CONTEXT, LEAKAGE_NOTES, METRICS, REPLICATES
 from riskloom.functions.hashing import uniform
 from riskloom.operators import inference, leakage, metrics, ranking, split
+from riskloom.operators.bootstrap import bootstrap_metrics
 from riskloom.operators.contracts import prediction_misalignment
 from riskloom.operators.monitor import exact_quantiles
 from riskloom.queries.common import final, sql_hash, sql_hash_long, table, text
@@ -501,8 +502,6 @@ FROM screen ORDER BY 1 LIMIT 3"""
 
 # --- Intervals and tests --------------------------------------------------------
 
-REPLICATES = 50
-
 
 def label_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Document quality with two scores: text length and a digest."""
@@ -523,31 +522,65 @@ lscored AS (SELECT row_index, target_true, 'length' AS model_name, least(n_chars
   UNION ALL SELECT row_index, target_true, 'mixed', round(0.7::DOUBLE * u + 0.3::DOUBLE * target_true, 4) FROM lbase),
 lpred AS (SELECT *, (risk_score >= 0.5::DOUBLE)::INT AS prediction_label FROM lscored)"""
 
+def staged(source: str, columns: str, *steps: tuple[str, str]) -> str:
+    """Nested selects that add one column after the other."""
+    for name, expression in steps:
+        source = f"(SELECT *, {expression} AS {name} FROM {source})"
+    return f"SELECT {columns} FROM {source}"
+
+
+def mix_steps(x: str, name: str) -> list[tuple[str, str]]:
+    """32 bits spread over 32 bits: twice the exclusive or with the upper half and a product, then the exclusive or."""
+    half = "xor({0} >> 16, {0})"
+    first = f"({half.format(x)} * 73244475) & 4294967295"
+    return [(f"{name}_a", first), (f"{name}_b", f"({half.format(f'{name}_a')} * 73244475) & 4294967295"), (name, half.format(f"{name}_b"))]
+
+
+#: Splits of one level: the share left of the middle, the number that decides, and the smallest count with that much probability.
+SPLIT = staged(
+    """(SELECT t.*, sums[least(spot, leaves) + 1] AS s0, sums[least(spot + width // 2, leaves) + 1] AS s1, sums[least(spot + width, leaves) + 1] AS s2
+     FROM tree t JOIN running USING (model_name, target_true) WHERE width > 1)""",
+    "*",
+    ("p", "(s1 - s0) / (s2 - s0)::DOUBLE"),
+    ("x0", "(key + node * 2654435769) & 4294967295"),
+    *mix_steps("x0", "y1"),
+    ("x1", "xor(y1, key)"),
+    *mix_steps("x1", "y2"),
+    ("u", "((y1 << 20) + (y2 >> 12)) / 4503599627370496.0::DOUBLE"),
+    ("masses", "CASE WHEN p > 0 AND p < 1 THEN list_transform(range(m), lambda j: exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln(p) + (m - j) * ln(1 - p))) END"),
+    ("taken", "CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN m ELSE len(list_filter(range(1, m + 1), lambda j: list_sum(masses[1:j]) < u)) END"),
+)
+
 DRAWS = f"""{LABEL_PREDICTIONS},
-lranked AS (SELECT row_index, target_true, row_number() OVER (PARTITION BY target_true ORDER BY md5('42|' || row_index), row_index) AS place,
-              count(*) OVER (PARTITION BY target_true) AS size FROM lbase),
-draws AS (SELECT target_true, b AS replicate, 1 + {sql_hash_long("'42'", "b", "target_true", "place")} % size AS place
-          FROM lranked, generate_series(1, {REPLICATES}) g(b)),
-sample AS (SELECT d.replicate, r.row_index FROM draws d JOIN lranked r ON d.target_true = r.target_true AND d.place = r.place),
-resampled AS (SELECT replicate, p.* FROM sample s JOIN lpred p USING (row_index)),
+lcells AS MATERIALIZED (SELECT model_name, risk_score, 2 * (dense_rank() OVER (PARTITION BY model_name ORDER BY risk_score DESC) - 1) + 1 - prediction_label AS leaf, target_true, prediction_label FROM lpred),
+lleaves AS MATERIALIZED (SELECT model_name, max(leaf) // 2 * 2 + 2 AS leaves FROM lcells GROUP BY 1),
+heights AS MATERIALIZED (SELECT model_name, target_true, any_value(leaves) AS leaves, count(*) AS size, (2 ** ceil(log2(any_value(leaves))))::BIGINT AS width FROM lcells JOIN lleaves USING (model_name) GROUP BY 1, 2),
+running AS MATERIALIZED (SELECT model_name, target_true, any_value(leaves) AS leaves, list(n ORDER BY leaf) AS sums FROM (SELECT h.model_name, h.target_true, h.leaf, any_value(leaves) AS leaves, count(c.leaf) AS n
+  FROM (SELECT *, unnest(range(leaves + 1)) AS leaf FROM heights) h LEFT JOIN lcells c ON c.model_name = h.model_name AND c.target_true = h.target_true AND c.leaf < h.leaf GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tree(model_name, target_true, replicate, key, node, spot, width, m) AS (
+  SELECT model_name, target_true, b, {sql_hash("'42'", "model_name", "target_true", "b")}, 1::BIGINT, 0::BIGINT, width, size FROM heights, generate_series(1, {REPLICATES}) g(b)
+  UNION ALL SELECT model_name, target_true, replicate, key, 2 * node + side, spot + side * (width // 2), width // 2, CASE side WHEN 0 THEN taken ELSE m - taken END
+    FROM ({SPLIT}), (VALUES (0), (1)) sides(side) WHERE CASE side WHEN 0 THEN taken ELSE m - taken END > 0),
+resampled AS MATERIALIZED (SELECT replicate, t.model_name, t.target_true, risk_score, prediction_label, unnest(range(m)) AS copy FROM tree t
+  JOIN (SELECT DISTINCT model_name, leaf, risk_score, prediction_label FROM lcells) c ON c.model_name = t.model_name AND c.leaf = t.spot WHERE width = 1),
 boot AS ({metric_sql("resampled", "model_name, replicate", rounded=False)}),
 point AS ({metric_sql("lpred", "model_name", rounded=False)})"""
 
 
 def bootstrap_replicates(spark, folder):
-    return final(inference.bootstrap_metrics(label_predictions(spark, folder), REPLICATES))
+    return final(bootstrap_metrics(label_predictions(spark, folder)))
 
 
-BOOT_REPLICATES_SQL = f"WITH {DRAWS} SELECT model_name, replicate, n_rows, n_positive, n_negative, " + ", ".join(
+BOOT_REPLICATES_SQL = f"WITH RECURSIVE {DRAWS} SELECT model_name, replicate, n_rows, n_positive, n_negative, " + ", ".join(
     f"round({m}, 6) AS {m}" for m in METRICS
 ) + " FROM boot"
 
 
 def bootstrap_intervals(spark, folder):
-    return final(inference.bootstrap_intervals(label_predictions(spark, folder), REPLICATES))
+    return final(inference.bootstrap_intervals(label_predictions(spark, folder)))
 
 
-BOOT_CI_SQL = f"WITH {DRAWS} " + " UNION ALL ".join(
+BOOT_CI_SQL = f"WITH RECURSIVE {DRAWS} " + " UNION ALL ".join(
     f"""SELECT model_name, '{m}' AS metric, round(any_value(point.{m}), 6) AS point_estimate, round(quantile_cont(boot.{m}, 0.025), 6) AS ci_lower,
 round(quantile_cont(boot.{m}, 0.975), 6) AS ci_upper, {REPLICATES}::BIGINT AS n_bootstrap, 0.95::DOUBLE AS alpha, 'stratified_percentile' AS bootstrap_method
 FROM boot JOIN point USING (model_name) GROUP BY model_name"""
@@ -556,12 +589,12 @@ FROM boot JOIN point USING (model_name) GROUP BY model_name"""
 
 
 def wide_intervals(spark, folder):
-    intervals = inference.bootstrap_intervals(label_predictions(spark, folder), REPLICATES)
+    intervals = inference.bootstrap_intervals(label_predictions(spark, folder))
     return final(inference.wide_intervals(final(intervals)).select("model_name", "auroc", "auroc_ci_lower", "auroc_ci_upper", "auroc_with_ci", "brier_score_with_ci"))
 
 
 BOOT_WIDE_SQL = f"""
-WITH {DRAWS}, w AS (SELECT model_name, round(any_value(point.auroc), 6) AS a, round(quantile_cont(boot.auroc, 0.025), 6) AS al, round(quantile_cont(boot.auroc, 0.975), 6) AS au,
+WITH RECURSIVE {DRAWS}, w AS (SELECT model_name, round(any_value(point.auroc), 6) AS a, round(quantile_cont(boot.auroc, 0.025), 6) AS al, round(quantile_cont(boot.auroc, 0.975), 6) AS au,
   round(any_value(point.brier_score), 6) AS b, round(quantile_cont(boot.brier_score, 0.025), 6) AS bl, round(quantile_cont(boot.brier_score, 0.975), 6) AS bu
   FROM boot JOIN point USING (model_name) GROUP BY 1)
 SELECT model_name, a AS auroc, al AS auroc_ci_lower, au AS auroc_ci_upper, printf('%.3f (%.3f-%.3f)', a, al, au) AS auroc_with_ci,

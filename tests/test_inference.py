@@ -56,14 +56,6 @@ def test_exact_mcnemar(spark, b, c, p):
     assert r["p_value_raw"] == pytest.approx(p)
 
 
-def test_resamples_keep_class_sizes(spark):
-    df = spark.createDataFrame(random_rows(60, 4), SCHEMA)
-    truth = {r["row_index"]: r["target_true"] for r in df.select("row_index", "target_true").distinct().collect()}
-    positives = sum(truth.values())
-    for r in inference.resample(df, 5).groupBy("replicate", "model_name", "target_true").count().collect():
-        assert r["count"] == (positives if r["target_true"] else 60 - positives)
-
-
 def test_interval_holds_the_point(spark):
     df = spark.createDataFrame(random_rows(80, 6), SCHEMA)
     for r in inference.bootstrap_intervals(df, 40).collect():
@@ -76,12 +68,3 @@ def test_misaligned_rows_are_found(spark):
     rows = [r for r in random_rows(10, 1) if not (r[0] == 3 and r[1] == "b")]
     bad = prediction_misalignment(spark.createDataFrame(rows, SCHEMA), "row_index", "model_name", ["a", "b"]).collect()
     assert [r["row_index"] for r in bad] == [3]
-
-
-def test_class_ranks_are_a_permutation(spark):
-    random.seed(0)
-    df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "row_index long, target_true int")
-    ranked = inference.class_ranks(df, "row_index", "target_true", 42).collect()
-    for y, n in ((0, 300), (1, 100)):
-        assert sorted(r["class_rank"] for r in ranked if r["target_true"] == y) == list(range(1, n + 1))
-        assert all(r["class_size"] == n for r in ranked if r["target_true"] == y)
