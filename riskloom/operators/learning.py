@@ -13,7 +13,7 @@ from itertools import product
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.fixed import METRICS, SEED
+from riskloom.operators.boosting import BoostSetting, HistogramBoosting
 from riskloom.operators.inference import MODEL, ROW
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, auroc, best_by, fold_summary, metric_table
 from riskloom.operators.monitor import exact_quantiles
@@ -177,16 +178,14 @@ def random_forest(trees: int = 300):
 
 
 def gradient_boosting(rounds: int = 300, step: float = 0.05, depth: int = 4):
-    return lambda: GBTClassifier(
-        maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED, featuresCol=VECTOR, labelCol=TRUTH
-    )
+    return lambda: HistogramBoosting(BoostSetting(rounds, step, depth), featuresCol=VECTOR, labelCol=TRUTH)
 
 
 def baseline_specs(trees: int = 300, rounds: int = 300) -> list[ModelSpec]:
     return [
         ModelSpec("logistic_regression", logistic_regression, label="LogisticRegression"),
         ModelSpec("random_forest", random_forest(trees), label="RandomForestClassifier"),
-        ModelSpec("gradient_boosting", gradient_boosting(rounds), label="GBTClassifier"),
+        ModelSpec("gradient_boosting", gradient_boosting(rounds), label="HistogramBoosting"),
     ]
 
 
