@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -24,7 +25,6 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,6 @@ from riskloom.operators.boosting import BoostSetting, HistogramBoosting
 from riskloom.operators.inference import MODEL, ROW
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, auroc, best_by, fold_summary, metric_table
 from riskloom.operators.monitor import exact_quantiles
-from riskloom.session import checkpoint
 
 INDEXED, ENCODED, RAW, VECTOR = "_index", "_onehot", "_raw", "features"
 
@@ -89,8 +88,9 @@ def fill_by_mode(df: DataFrame, columns: Sequence[str]) -> list[Transformer]:
 def fill_by_regression(df: DataFrame, columns: Sequence[str], rounds: int = 2, row_key: str | None = None) -> list[Transformer]:
     """Chained equations: start from means, then regress every incomplete column on the others, round by round.
 
-    Each regression is a distributed fit on the rows that have the value. The
-    working table is cut from its lineage after every round.
+    A guess is linear in the values of its row, so all fits follow from the sums
+    of products of the observed values, per pattern of missing cells. They come
+    from two passes over the table, whatever the number of rounds and columns.
     """
     if not columns:
         return []
@@ -101,26 +101,66 @@ def fill_by_regression(df: DataFrame, columns: Sequence[str], rounds: int = 2, r
     means = {c: facts[f"m_{c}"] if facts[f"m_{c}"] is not None else 0.0 for c in columns}
     incomplete = [c for c in columns if facts[f"n_{c}"] > 0]
     flags = _projection_added({f"_gap_{c}": f"`{c}` IS NULL" for c in columns})
-    start = fill_stage(means, True)
-    stages: list[Transformer] = [flags, start]
-    work = start.transform(flags.transform(df.select(*columns)))
-    for _ in range(rounds if len(columns) > 1 else 0):
-        for c in incomplete:
-            others = [o for o in columns if o != c]
-            known = VectorAssembler(inputCols=others, outputCol="_x").transform(work.filter(f"NOT `_gap_{c}`"))
-            model = LinearRegression(featuresCol="_x", labelCol=c, regParam=1e-6, solver="normal").fit(known)
-            terms = " + ".join(f"{_quoted(w)} * `{o}`" for w, o in zip(model.coefficients, others))
-            guess = f"{_quoted(model.intercept)} + {terms}"
-            stage = _projection({c: f"CASE WHEN `_gap_{c}` THEN {guess} ELSE `{c}` END"})
-            stages.append(stage)
-            work = stage.transform(work)
-        if incomplete:
-            work = checkpoint(work)
+    stages: list[Transformer] = [flags, fill_stage(means, True)]
+    if incomplete and rounds and len(columns) > 1:
+        chain = Chain(columns, product_sums(df, columns, means))
+        for _ in range(rounds):
+            for c in incomplete:
+                constant, weights = chain.fit(columns.index(c))
+                terms = " + ".join(f"{_quoted(w)} * (`{o}` - {_quoted(means[o])})" for o, w in zip(columns, weights) if o != c)
+                guess = f"{_quoted(means[c] + constant)} + {terms}"
+                stages.append(_projection({c: f"CASE WHEN `_gap_{c}` THEN {guess} ELSE `{c}` END"}))
     names = ", ".join(f"`_gap_{c}`" for c in columns)
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({names}) FROM __THIS__"))
     return stages
 
 
+def product_sums(df: DataFrame, columns: Sequence[str], means: Mapping[str, float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each pattern of missing cells: which columns are there, and the sums of products of 1 and the centred values.
+
+    One aggregate; a row per pattern that occurs reaches the driver.
+    """
+    there = [F.col(f"`{c}`").isNotNull() for c in columns]
+    values = [F.lit(1.0), *[F.coalesce(F.col(f"`{c}`").cast("double") - F.lit(means[c]), F.lit(0.0)) for c in columns]]
+    size = len(values)
+    cells = [(i, j) for i in range(size) for j in range(i + 1)]
+    staged = df.select(F.array(*there).alias("there"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    rows = staged.groupBy("there").agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in cells]).collect()
+    out = []
+    for row in rows:
+        products = np.zeros((size, size))
+        for i, j in cells:
+            products[i, j] = products[j, i] = row[f"s{i}_{j}"]
+        out.append((np.array(row["there"], bool), products))
+    return out
+
+
+class Chain:
+    """Current guesses of all patterns, as linear forms in 1 and the observed values, all centred."""
+
+    def __init__(self, columns: Sequence[str], patterns: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.patterns = patterns
+        self.forms = [np.diag([1.0, *there.astype(float)]) for there, _ in patterns]
+
+    def fit(self, column: int) -> tuple[float, np.ndarray]:
+        """Regress a column on the others where it is there, and renew its guesses where it is not."""
+        at, size = column + 1, len(self.forms[0])
+        total = np.zeros((size, size))
+        for (there, products), form in zip(self.patterns, self.forms):
+            if there[column]:
+                total += form @ products @ form.T
+        others = [i for i in range(size) if i != at]
+        scale = np.sqrt(np.maximum(np.diag(total), 1e-300))
+        even = total / np.outer(scale, scale)
+        found = np.linalg.lstsq(even[np.ix_(others, others)], even[others, at], rcond=1e-12)[0] * scale[at] / scale[others]
+        weights = np.zeros(size)
+        weights[others] = np.where(np.diag(total)[others] > 0, found, 0.0)
+        for (there, _), form in zip(self.patterns, self.forms):
+            if not there[column]:
+                form[at] = weights @ form
+        return float(weights[0]), weights[1:]
+
+
 def _projection_added(columns: Mapping[str, str]) -> SQLTransformer:
     added = ", ".join(f"{e} AS `{c}`" for c, e in columns.items())
     return SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__")

@@ -56,17 +56,28 @@ SELECT o_orderkey, round(coalesce(price, (SELECT median(price) FROM g)), 6) AS p
 
 
 def chained_imputation(spark, folder):
+    """Every cell after two rounds."""
     data = gaps(spark, folder)
-    for stage in learning.fill_by_regression(data, ["price", "balance"], rounds=1):
+    for stage in learning.fill_by_regression(data, ["price", "balance"], rounds=2):
         data = stage.transform(data)
-    return final(data.agg(F.count("price").alias("prices"), F.count("balance").alias("balances"), F.avg("price").alias("mean_price")), 2)
+    return final(data.select("o_orderkey", "price", "balance"), 3)
 
 
-CHAINED_SQL = f"""WITH {GAPS}, m AS (SELECT avg(price) AS mp, avg(balance) AS mb FROM g),
-s AS (SELECT g.*, coalesce(price, mp) AS p0, coalesce(balance, mb) AS b0 FROM g, m),
-r AS (SELECT regr_slope(price, b0) AS w, regr_intercept(price, b0) AS c FROM s WHERE price IS NOT NULL),
-t AS (SELECT coalesce(price, c + w * b0) AS p1 FROM s, r)
-SELECT count(*) AS prices, count(*) AS balances, round(avg(p1), 2) AS mean_price FROM t"""
+def regressions_sql(rounds: int) -> str:
+    """Tables s0 (means for gaps), s1 ... with price renewed from balance, then balance from price."""
+    steps = ["s0 AS (SELECT g.*, coalesce(price, mp) AS p, coalesce(balance, mb) AS b FROM g, m)"]
+    for r in range(1, rounds + 1):
+        steps.append(
+            f"""a{r} AS (SELECT regr_slope(price, b) AS w, regr_intercept(price, b) AS c FROM s{r - 1} WHERE price IS NOT NULL),
+t{r} AS (SELECT s.* REPLACE (coalesce(price, c + w * b) AS p) FROM s{r - 1} s, a{r}),
+d{r} AS (SELECT regr_slope(balance, p) AS w, regr_intercept(balance, p) AS c FROM t{r} WHERE balance IS NOT NULL),
+s{r} AS (SELECT t.* REPLACE (coalesce(balance, c + w * p) AS b) FROM t{r} t, d{r})"""
+        )
+    return ", ".join(steps)
+
+
+CHAINED_SQL = f"""WITH {GAPS}, m AS (SELECT avg(price) AS mp, avg(balance) AS mb FROM g), {regressions_sql(2)}
+SELECT o_orderkey, round(p, 3) AS price, round(b, 3) AS balance FROM s2"""
 
 # --- Models ---------------------------------------------------------------------
 
