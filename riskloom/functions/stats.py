@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.binomial import binomial_cdf
+
 
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
@@ -15,21 +18,9 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.nan if pd.isna(v) else math.erfc(v / math.sqrt(2.0)))
 
 
-def _binomial_tail(low: int, n: int) -> float:
-    """Two times the sum of C(n, i) / 2^n for i <= low, at most 1."""
-    if n == 0:
-        return 1.0
-    largest = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2.0)
-    total, term = 0.0, 1.0
-    for i in range(low, -1, -1):
-        total += term
-        term *= i / (n - i + 1)
-        if term < 1e-18:
-            break
-    return min(1.0, 2.0 * math.exp(largest) * total)
-
-
 @F.pandas_udf(T.DoubleType())
 def exact_mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided binomial probability of a split at least as uneven as (b, c)."""
-    return pd.Series([_binomial_tail(int(min(x, y)), int(x + y)) for x, y in zip(b, c)])
+    low, n = np.minimum(b, c).to_numpy(float), (b + c).to_numpy(float)
+    tail = binomial_cdf(low, np.maximum(n, 1.0), 0.5)
+    return pd.Series(np.where(n > 0, np.minimum(1.0, 2 * tail), 1.0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.operators.keys import join_groups
-from riskloom.session import order_buckets
+from riskloom.session import checkpoint, order_buckets
 
 BUCKET = "_range"
 
@@ -78,6 +78,23 @@ def running_totals(
     )
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the place of every row, from 1, under an order that leaves no ties.
+
+    The rows are parted by ranges of the order and numbered inside each; one
+    count per range reaches the driver.
+    """
+    parts = order_buckets(df.sparkSession)
+    ranged = checkpoint(df.repartitionByRange(parts, *order).withColumn(BUCKET, F.spark_partition_id()))
+    before, offsets = 0, []
+    for row in ranged.groupBy(BUCKET).count().orderBy(BUCKET).collect():
+        offsets.append((row[BUCKET], before))
+        before += row["count"]
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{BUCKET} int, _before long"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*order))
+    return ranged.withColumn(name, inside).join(table, BUCKET).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def midranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """One row per distinct value: tie count and averaged rank inside the group."""
     cuts = range_cuts(df, value, buckets)

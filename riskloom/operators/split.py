@@ -21,6 +21,7 @@ from riskloom.functions.hashing import digest, prefix_length
 from riskloom.operators.contracts import require_columns
 from riskloom.operators.keys import join_groups
 from riskloom.operators.profile import fingerprint, shares
+from riskloom.operators.ranking import row_numbers
 
 #: Strata up to which their thresholds are sent to all tasks; beyond, the table is joined by stratum.
 BROADCAST_STRATA = 10_000
@@ -31,17 +32,22 @@ def stratum_sizes(df: DataFrame, stratum: str) -> DataFrame:
     return df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def part_sizes(sizes: DataFrame, share: float, rows: int) -> DataFrame:
+def part_sizes(sizes: DataFrame, share: float, rows: int, strata: int) -> DataFrame:
     """(_s, position): rows of each stratum that go to the test part; they add up to ceil(share * rows).
 
-    Every stratum gives the whole part of its share, and those with the largest remainder one row more. They are ranked
-    in a table of one row per stratum.
+    Every stratum gives the whole part of its share, and those with the largest remainder one row more. Up to
+    BROADCAST_STRATA strata are ranked in one window; more are ranked by ranges of the order.
     """
     part = F.lit(share) * F.col("n")
-    floors = sizes.select("_s", F.floor(part).alias("whole"), (F.floor(part) - part).alias("short"))
-    place = F.row_number().over(Window.orderBy("short", F.coalesce(F.col("_s").cast("string"), F.lit("")), "_s"))
+    named = F.coalesce(F.col("_s").cast("string"), F.lit("")).alias("name")
+    floors = sizes.select("_s", F.floor(part).alias("whole"), (F.floor(part) - part).alias("short"), named)
+    order = ["short", "name", "_s"]
+    if strata <= BROADCAST_STRATA:
+        ranked = floors.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    else:
+        ranked = row_numbers(floors, order, "place")
     extra = F.lit(math.ceil(share * rows)) - floors.agg(F.sum("whole")).scalar()
-    return floors.select("_s", (F.col("whole") + (place <= extra).cast("int")).alias("position"))
+    return ranked.select("_s", (F.col("whole") + (F.col("place") <= extra).cast("int")).alias("position"))
 
 
 def digest_cuts(df: DataFrame, key: str, stratum: str, positions: DataFrame, seed: int, rows: int) -> DataFrame:
@@ -85,7 +91,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add `split` = train / test with exact sizes in every stratum."""
     sizes, rows, strata = _measured(df, stratum)
-    places = part_sizes(sizes, share, rows).withColumn("_cut", F.lit(0))
+    places = part_sizes(sizes, share, rows, strata).withColumn("_cut", F.lit(0))
     placed = _placed(df, key, stratum, digest_cuts(df, key, stratum, places, seed, rows), seed, strata)
     in_test = F.coalesce(F.exists("_cuts", lambda c: F.col("_me") <= c), F.lit(False))
     return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).select(*df.columns, "split")

@@ -641,15 +641,25 @@ SELECT model_a, model_b, model_a || ' vs ' || model_b AS comparison_label, round
 
 
 def test_p_values(spark, folder):
-    """p-values and Bonferroni decisions of both test families on labelled documents."""
-    p = label_predictions(spark, folder)
-    models = ("length", "mixed")
+    """p-values and Bonferroni decisions of both test families, three pairs each."""
+    p = predictions(spark, folder)
     keep = ["family", "model_a", "model_b", "p_value_raw", "p_value_bonferroni", "reject_bonferroni"]
-    a = inference.delong(p, models).withColumn("family", F.lit("delong")).select(*keep)
-    b = inference.mcnemar(p, models).withColumn("family", F.lit("mcnemar")).select(*keep)
+    a = inference.delong(p, MODELS).withColumn("family", F.lit("delong")).select(*keep)
+    b = inference.mcnemar(p, MODELS).withColumn("family", F.lit("mcnemar")).select(*keep)
     return final(a.unionByName(b))
 
 
+#: Two-sided normal tail of z by the series of the error function whose terms are all positive.
+NORMAL_TAIL = """1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 300), lambda j: exp((2 * j + 1) * ln(greatest(z, 1e-12::DOUBLE) / sqrt(2::DOUBLE)) + j * ln(2::DOUBLE)
+  - (lgamma(2 * j + 2.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - j * ln(2::DOUBLE)))))"""
+P_VALUES_SQL = f"""
+WITH z AS ({DELONG_SQL.replace("round(abs(aa - ab) / sqrt(variance), 6) AS z_score", "least(abs(aa - ab) / sqrt(variance), 12.0::DOUBLE) AS z")}),
+m AS (SELECT model_a, model_b, discordant_total AS n, statistic::BIGINT AS k FROM ({MCNEMAR_SQL})),
+p AS (SELECT 'delong' AS family, model_a, model_b, greatest({NORMAL_TAIL}, 0.0::DOUBLE) AS p FROM z
+ UNION ALL SELECT 'mcnemar', model_a, model_b, least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) - n * ln(2.0::DOUBLE))))) FROM m)
+SELECT family, model_a, model_b, round(p, 6) AS p_value_raw, round(least(1.0::DOUBLE, 3 * p), 6) AS p_value_bonferroni, 3 * p < 0.05 AS reject_bonferroni FROM p"""
+
+
 MCNEMAR_P_SQL = f"""
 WITH {LABEL_PREDICTIONS},
 w AS (SELECT row_index, max((target_true = prediction_label)::INT) FILTER (model_name = 'length') AS a, max((target_true = prediction_label)::INT) FILTER (model_name = 'mixed') AS b FROM lpred GROUP BY 1),
@@ -728,4 +738,5 @@ ORACLE = {
     "tests_delong": DELONG_SQL,
     "tests_mcnemar": MCNEMAR_SQL,
     "tests_mcnemar_p": MCNEMAR_P_SQL,
+    "tests_p_values": P_VALUES_SQL,
 }

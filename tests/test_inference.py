@@ -1,8 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
+from riskloom.functions.stats import exact_mcnemar
 from riskloom.operators import inference
 from riskloom.operators.contracts import prediction_misalignment
 from tests.test_metrics import SCHEMA, random_rows
@@ -68,3 +70,31 @@ def test_misaligned_rows_are_found(spark):
     rows = [r for r in random_rows(10, 1) if not (r[0] == 3 and r[1] == "b")]
     bad = prediction_misalignment(spark.createDataFrame(rows, SCHEMA), "row_index", "model_name", ["a", "b"]).collect()
     assert [r["row_index"] for r in bad] == [3]
+
+
+@pytest.mark.parametrize("n", [10**6, 10**9, 10**12])
+def test_exact_tails_of_many_pairs(spark, n):
+    """Against adding up the tail from the greatest term down."""
+    k = int(n / 2 - 0.9 * math.sqrt(n) / 2)
+    a, b = k + 1.0, n - k
+    first = math.exp(-(stirling(n) * -1 + stirling(k) + stirling(n - k)) - n * relative(k / n)) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+    steps = np.arange(int(9 * math.sqrt(n)))
+    ratios = np.concatenate([[0.0], np.cumsum(np.log1p(-(n - 2.0 * k + 2 * steps[:-1] + 1) / (b + steps[:-1] + 1)))])
+    tail = first * np.exp(ratios).sum()
+    df = spark.createDataFrame([(k, n - k)], "b long, c long")
+    assert a and df.select(exact_mcnemar("b", "c")).first()[0] == pytest.approx(2 * tail, abs=1e-6)
+
+
+def stirling(n):
+    return 1 / (12 * n) - 1 / (360 * n**3)
+
+
+def relative(p):
+    """Divergence of p from one half, by its series."""
+    x = 2 * p - 1
+    return sum(x ** (2 * j) / (2 * j * (2 * j - 1)) for j in range(1, 30))
+
+
+def test_exact_tails_without_pairs(spark):
+    df = spark.createDataFrame([(0, 0), (1, 0), (3, 3)], "b long, c long")
+    assert [r[0] for r in df.select(exact_mcnemar("b", "c")).collect()] == [1.0, 1.0, 1.0]

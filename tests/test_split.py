@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from riskloom.operators import split
 
 
@@ -57,3 +59,12 @@ def test_check_and_leakage(spark):
     leak = split.split_leakage(parts, "k", ["x"]).first()
     assert leak["index_overlap_count"] == 0 and leak["exact_feature_row_overlap_count"] == 3
     assert split.take_split(df, "k", layout, "test").count() == 20
+
+
+def test_more_strata_than_one_window_takes(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 701).alias("s"))
+    whole = {r["id"]: r["split"] for r in split.stratified_split(df, "id", "s").collect()}
+    monkeypatch.setattr(split, "BROADCAST_STRATA", 10)
+    spread = split.stratified_split(df, "id", "s")
+    assert {r["id"]: r["split"] for r in spread.collect()} == whole
+    assert sum(v == "test" for v in whole.values()) == 600
