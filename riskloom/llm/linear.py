@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import batches
+from riskloom.llm.common import batches, fewest
 
 Extract = Callable[..., set[str]]
 
@@ -21,8 +21,7 @@ def bounded(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     The rows are taken in the order of a hash of doc_id, so the same tables give the same sample. Their ids, as many as
     `rows` says, are sent to where the texts are.
     """
-    order = [F.xxhash64("doc_id"), *labels.columns]
-    some = labels.where("doc_id IS NOT NULL").orderBy(*order).limit(rows)
+    some = fewest(labels.where("doc_id IS NOT NULL"), rows, F.col("doc_id"), *labels.columns)
     kept = [c for c in documents.columns if c == "doc_id" or c not in labels.columns]
     return documents.select(*kept).join(F.broadcast(some), "doc_id")
 

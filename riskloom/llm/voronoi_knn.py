@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import batches, stored
+from riskloom.llm.common import batches, fewest, stored
 from riskloom.session import shuffle_partitions
 
 
@@ -44,7 +44,7 @@ def whole_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
 class Space:
     """The space with one component more; what it needs is a few numbers and the pivots."""
 
-    def __init__(self, width: int, most: int, norm: int) -> None:
+    def __init__(self, width: int, most: int, norm: float) -> None:
         self.width, self.norm = width, float(norm)
         self.kind = np.dtype("<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8")
         self.exact = max(most, 1) ** 2 * max(width, 1) < 2**53  # sums of products are exact as doubles
@@ -139,16 +139,17 @@ def search(vectors: DataFrame, setting: KnnSetting = KnnSetting()) -> DataFrame:
     """
     spark, k = vectors.sparkSession, setting.k
     result = "query_id long, rank int, vec_id long, score long"
-    size = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e)
+    vectors = stored(vectors.select("vec_id", "v", "is_query"), "vectors")
+    size = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))  # squares may pass a long
     facts = vectors.agg(
         F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("queries"), F.max(F.size("v")).alias("width"),
-        F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.max(size).alias("norm"),
+        F.max(F.array_max(F.transform("v", lambda e: F.abs(e.cast("double"))))).alias("most"), F.max(size).alias("norm"),
     ).first()
     if not facts["queries"]:
         return spark.createDataFrame([], result)
-    space = Space(facts["width"], facts["most"] or 0, facts["norm"] or 0)
+    space = Space(facts["width"], int(facts["most"] or 0), facts["norm"] or 0)
     wanted = int(min(setting.pivots, max(8, facts["n"] ** 0.5)))
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").toArrow().column(0)
+    some = fewest(vectors, wanted, F.col("vec_id"), "vec_id").select("v").toArrow().column(0)
     points = np.unique(space.matrix(some), axis=0)
     space.pivots = space.lifted(points, np.zeros(len(points), bool))
 
