@@ -169,3 +169,26 @@ def test_forest_finds_bad_rows_and_spares_good_ones(spark):
     rows = {(r.good, r.kept): r.n for r in judged.where("NOT base_failed").groupBy("good", "kept").agg(F.count("*").alias("n")).collect()}
     assert rows.get((1, False), 0) <= 0.01 * rows[(1, True)]
     assert rows.get((0, False), 0) >= 0.2 * rows.get((0, True), 1)
+
+
+def test_long_tokens_and_many_secrets_in_one_text(spark):
+    """A token of a million characters, and thousands of secrets between long words, each once and in time."""
+    draw = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(draw.choices(letters, k=n))
+    parts = [(f"password={key(12)}", "word" * 6, f"token: {key(30)}") for _ in range(1500)]
+    texts = ["x " + key(1_000_000) + " y", " ".join(p for group in parts for p in group)]
+    model = secret_scan.Model(tuple([1.0] * len(secret_scan.ALPHABET) ** 2), 0.5)  # every long token counts
+    docs = documents(spark, texts)
+    rows = secret_scan.scan(docs, model).orderBy("doc_id").collect()
+    assert [(s.start, s.end) for s in rows[0].spans] == [(2, 1_000_002)] and not rows[0].base_spans
+    want, at = [], 0
+    for group in parts:
+        for p in group:
+            want.append((at, 3 if p == "word" * 6 else 0, at + len(p)))
+            at += len(p) + 1
+    assert [tuple(s) for s in rows[1].spans] == want and len(rows[1].base_spans) == 3000
+    clean = secret_scan.scan(docs, model).select("doc_id", secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean"))
+    assert [r.clean for r in clean.orderBy("doc_id").collect()] == ["x [secret] y", " ".join(["[secret]"] * 4500)]
+    long = secret_scan.train(secret_scan.samples(docs), documents=docs)
+    assert long.bound > 0
