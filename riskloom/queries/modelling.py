@@ -16,7 +16,7 @@ from riskloom.queries import operations, serving
 from riskloom.queries.common import final, table
 from riskloom.session import checkpoint, run_folder
 from riskloom.streaming.lifecycle import read_registry, registry_sink, start_registry
-from riskloom.streaming.metrics import alarm_sink, start_alarms, windowed
+from riskloom.streaming.metrics import alarm_sink, read_alarms, start_alarms, windowed
 from riskloom.sources.requests import parse_requests, usable
 from riskloom.streaming.scoring import model_score_requests, score_requests, start_scoring
 
@@ -300,9 +300,7 @@ def stream_alarm(spark, folder):
     alarm = operations.Alarm("many-errors", "errors", "sum", 3600, 3, 2, 4.0, ">=")
     sink = alarm_sink(f"{path}/metrics", f"{path}/states", "errors", alarm, [], 3600)
     start_alarms(metrics_, sink, f"{path}/state").awaitTermination()
-    states = spark.read.parquet(f"{path}/states")
-    newest = states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
-    return final(newest)
+    return final(read_alarms(spark, f"{path}/states"))
 
 
 STREAM_ALARM_SQL = f"""
@@ -320,9 +318,7 @@ def stream_5xx_alarm(spark, folder):
     alarm = operations.Alarm("any-5xx", "server_errors", "sum", 3600, 1, 1, 1.0, ">=")
     sink = alarm_sink(f"{path}/metrics", f"{path}/states", "server_errors", alarm, [], 3600)
     start_alarms(metrics_, sink, f"{path}/state").awaitTermination()
-    states = spark.read.parquet(f"{path}/states")
-    newest = states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
-    return final(newest.select("alarm", "period", "server_errors", "in_alarm"))
+    return final(read_alarms(spark, f"{path}/states").select("alarm", "period", "server_errors", "in_alarm"))
 
 
 STREAM_5XX_SQL = f"""

@@ -5,34 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from riskloom.operators.lifecycle import TIME, merge_facts, model_facts, state_of
+from riskloom.operators.lifecycle import merge_facts, model_facts, state_of
+from riskloom.streaming.versions import before, newest, replace
 
 
 def registry_sink(path: str, registry: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """Batch writer: merge the facts of new events into the facts of the batch before.
 
-    A batch reads the version of its predecessor and overwrites its own, so a
-    repeated batch changes nothing, and its work depends on the number of
-    models and not on the length of the log.
+    A batch reads what its predecessor left and writes the other of two folders, so a repeated batch changes nothing, and
+    its work and room depend on the number of models and not on the length of the log.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        facts = model_facts(batch, registry)
-        if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
-            facts = merge_facts(before, facts, registry)
-        facts.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        facts, known = model_facts(batch, registry), before(batch.sparkSession, path, batch_id)
+        replace(facts if known is None else merge_facts(known, facts, registry), path, batch_id)
 
     return write
 
 
 def read_registry(spark: SparkSession, path: str, registry: Sequence[str] = ()) -> DataFrame:
     """Newest registry state."""
-    versions = spark.read.parquet(path)
-    newest = versions.filter(F.col("version") == versions.agg(F.max("version")).scalar())
-    return state_of(newest.drop("version"), registry)
+    facts = newest(spark, path)
+    if facts is None:
+        raise FileNotFoundError(f"No batch has written a registry to {path}.")
+    return state_of(facts, registry)
 
 
 def start_registry(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
@@ -42,8 +39,3 @@ def start_registry(events: DataFrame, sink: Callable[[DataFrame, int], None], ch
         .trigger(availableNow=True)
         .start()
     )
-
-
-def numbered(events: DataFrame) -> DataFrame:
-    """Event log rows with a numeric time."""
-    return events.withColumn(TIME, F.unix_micros(F.col("timestamp").cast("timestamp")))

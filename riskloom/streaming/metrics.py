@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.fixed import Alarm
+from riskloom.operators.keys import join_groups
 from riskloom.operators.monitor import alarm_states
+from riskloom.streaming.versions import before, replace
 
 LATE = "10 minutes"
 
@@ -63,24 +65,40 @@ def windowed(
 def alarm_sink(
     metrics_path: str, states_path: str, value: str, alarm: Alarm, groups: Sequence[str], seconds: int
 ) -> Callable[[DataFrame, int], None]:
-    """Batch writer that keeps finished periods and re-evaluates an alarm over them.
+    """Batch writer that keeps finished periods and decides an alarm over them.
 
-    A period without requests emits no row, so alarms are decided on the dense
-    calendar of the stored periods. Each batch writes its own folder, so a
-    repeated batch replaces itself.
+    A period without requests emits no row, so the alarm is decided on the dense calendar from the last period known of a
+    group to the newest one. What a batch needs of earlier ones is the last N periods of each group; it keeps these in one
+    of two folders by turns. So its work depends on the new periods and the groups alone. The states of new periods go to a
+    folder of their batch, which a repeated batch replaces.
     """
+    tails = f"{states_path}_tails"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, columns = batch.sparkSession, [*groups, "period", value]
         batch.write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
-        stored = spark.read.parquet(metrics_path).drop("batch")
-        alarm_states(stored, value, alarm, groups, seconds).write.mode("overwrite").parquet(
-            f"{states_path}/batch={batch_id}"
-        )
+        new = spark.read.schema(batch.schema).parquet(f"{metrics_path}/batch={batch_id}").select(*columns)
+        known = before(spark, tails, batch_id)
+        rows = new if known is None else known.select(*columns).unionByName(new)
+        states = alarm_states(rows, value, alarm, groups, seconds)
+        fresh = states
+        if known is not None:
+            ends = known.groupBy(*groups).agg(F.max("period").alias("_end"))
+            ended = join_groups(states, ends, groups, "left") if groups else states.join(F.broadcast(ends), how="left")
+            fresh = ended.where(F.col("_end").isNull() | (F.col("period") > F.col("_end"))).drop("_end")
+        fresh.write.mode("overwrite").parquet(f"{states_path}/batch={batch_id}")
+        last = Window.partitionBy(*groups).orderBy(F.desc("period"))
+        tail = states.select(*columns, F.row_number().over(last).alias("_place")).where(F.col("_place") <= max(alarm.periods - 1, 1))
+        replace(tail.drop("_place"), tails, batch_id)
 
     return write
 
 
+def read_alarms(spark: SparkSession, states_path: str) -> DataFrame:
+    """States of all periods so far."""
+    return spark.read.parquet(states_path).drop("batch")
+
+
 def start_alarms(metrics: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     return (
         metrics.writeStream.foreachBatch(sink)

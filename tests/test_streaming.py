@@ -1,11 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from riskloom.fixed import Alarm
 from riskloom.operators import lifecycle, monitor
 from riskloom.streaming.lifecycle import read_registry, registry_sink, start_registry
-from riskloom.streaming.metrics import alarm_sink, start_alarms, windowed
+from riskloom.streaming.metrics import alarm_sink, read_alarms, start_alarms, windowed
 from riskloom.streaming.scoring import score_requests, start_scoring
 from tests.test_lifecycle import LOG, SCHEMA
 
@@ -39,9 +40,8 @@ def test_windows_and_alarm_equal_batch_after_the_watermark(spark, tmp_path):
     ).filter(F.col("period") + 60 <= 6000 - 600)
     got = spark.read.parquet(str(tmp_path / "m")).select("period", "requests", "errors", "max_ms")
     assert sorted(got.collect()) == sorted(closed.select("period", "requests", "errors", "max_ms").collect())
-    states = spark.read.parquet(str(tmp_path / "s"))
-    newest = states.filter(F.col("batch") == states.agg(F.max("batch")).first()[0]).select("period", "in_alarm")
-    assert sorted(newest.collect()) == sorted(monitor.alarm_states(closed, "errors", alarm).select("period", "in_alarm").collect())
+    states = read_alarms(spark, str(tmp_path / "s")).select("period", "in_alarm")
+    assert sorted(states.collect()) == sorted(monitor.alarm_states(closed, "errors", alarm).select("period", "in_alarm").collect())
 
 
 def test_registry_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
@@ -52,3 +52,31 @@ def test_registry_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
     start_registry(stream, sink, str(tmp_path / "state")).awaitTermination()
     batch = sorted(lifecycle.model_state(spark.createDataFrame(LOG, SCHEMA)).collect())
     assert sorted(read_registry(spark, str(tmp_path / "facts")).collect()) == batch
+
+
+def test_alarm_by_batches_needs_the_last_periods_only(spark, tmp_path):
+    """Groups, gaps, empty and repeated batches: the states are those of the whole series, and two small tables remain."""
+    draw = random.Random(3)
+    rows = sorted((60 * t, g, draw.choice([0.0, 5.0])) for g in "ab" for t in draw.sample(range(60), 25))
+    schema = "period long, g string, errors double"
+    alarm = Alarm("errors", "errors", "sum", 60, 4, 2, 1.0, ">=")
+    sink = alarm_sink(str(tmp_path / "m"), str(tmp_path / "s"), "errors", alarm, ["g"], 60)
+    parts = [[], rows[:9], rows[9:10], [], rows[10:31], rows[31:]]
+    for number, part in enumerate(parts):
+        for _ in range(2 if number in (2, 4) else 1):
+            sink(spark.createDataFrame(part, schema), number)
+    whole = monitor.alarm_states(spark.createDataFrame(rows, schema), "errors", alarm, ["g"], 60)
+    order = ["g", "period", "errors", "breaching", "breaches", "in_alarm"]
+    assert read_alarms(spark, str(tmp_path / "s")).select(*order).orderBy("g", "period").collect() == whole.select(*order).orderBy("g", "period").collect()
+    assert sorted(p.name for p in (tmp_path / "s_tails").iterdir()) == ["newest", "slot=0", "slot=1"]
+    assert spark.read.parquet(str(tmp_path / "s_tails" / "slot=1")).count() == 6
+
+
+def test_registry_keeps_two_tables(spark, tmp_path):
+    sink = registry_sink(str(tmp_path / "facts"))
+    for number in range(5):
+        sink(spark.createDataFrame(LOG[number : number + 1], SCHEMA), number)
+        sink(spark.createDataFrame(LOG[number : number + 1], SCHEMA), number)
+    batch = sorted(lifecycle.model_state(spark.createDataFrame(LOG[:5], SCHEMA)).collect())
+    assert sorted(read_registry(spark, str(tmp_path / "facts")).collect()) == batch
+    assert sorted(p.name for p in (tmp_path / "facts").iterdir()) == ["newest", "slot=0", "slot=1"]
