@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from hashlib import md5
 from itertools import product
 
 import numpy as np
@@ -34,6 +35,8 @@ from riskloom.operators.boosting import BoostSetting, HistogramBoosting
 from riskloom.operators.inference import MODEL, ROW
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, auroc, best_by, fold_summary, metric_table
 from riskloom.operators.monitor import exact_quantiles
+from riskloom.operators.ranking import range_cuts, running_totals
+from riskloom.session import checkpoint
 
 INDEXED, ENCODED, RAW, VECTOR = "_index", "_onehot", "_raw", "features"
 
@@ -209,12 +212,12 @@ class ModelSpec:
     label: str = ""
 
 
-def logistic_regression():
-    return LogisticRegression(maxIter=1000, regParam=1e-4, featuresCol=VECTOR, labelCol=TRUTH)
+def logistic_regression(penalty: float = 1e-4):
+    return LogisticRegression(maxIter=1000, regParam=penalty, featuresCol=VECTOR, labelCol=TRUTH)
 
 
-def random_forest(trees: int = 300):
-    return lambda: RandomForestClassifier(numTrees=trees, seed=SEED, featuresCol=VECTOR, labelCol=TRUTH)
+def random_forest(trees: int = 300, depth: int = 5):
+    return lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featuresCol=VECTOR, labelCol=TRUTH)
 
 
 def gradient_boosting(rounds: int = 300, step: float = 0.05, depth: int = 4):
@@ -344,7 +347,7 @@ def best_without_cv(metrics: DataFrame) -> DataFrame:
 class SearchSpace:
     """Axes of the pipeline search."""
 
-    classifiers: Mapping[str, Callable[[], object]]
+    classifiers: Mapping[str, Callable[[], object] | Drawn]
     imputers: Sequence[str] = ("ice",)
     scaling: Sequence[str] = ("nop",)
     selection: Sequence[str] = ("nop",)
@@ -355,43 +358,116 @@ class SearchSpace:
 
 @dataclass
 class SearchResult:
-    """Tried candidates in order, and the ensemble; no members when nothing passed the threshold."""
+    """Tried candidates in order with the mean score of the folds they saw, and the ensemble; no members when nothing passed."""
 
     trials: list[tuple[str, float]] = field(default_factory=list)
     members: list[tuple[float, PipelineModel]] = field(default_factory=list)
 
 
-def candidates(space: SearchSpace) -> list[ModelSpec]:
+@dataclass(frozen=True)
+class Drawn:
+    """A classifier whose settings are drawn: `make` takes one value of each of `choices` and returns a factory."""
+
+    make: Callable[..., Callable[[], object]]
+    choices: Mapping[str, Sequence]
+
+    def draw(self, name: str, number: int, seed: int) -> dict:
+        """Settings number `number`, the same in every run."""
+        places = {key: int(md5(f"{seed}|{name}|{number}|{key}".encode()).hexdigest()[:8], 16) for key in self.choices}
+        return {key: values[places[key] % len(values)] for key, values in self.choices.items()}
+
+
+def candidates(space: SearchSpace, draws: int = 1, seed: int = SEED) -> list[ModelSpec]:
+    """Specs of all axes; a classifier with drawn settings comes up to `draws` times, each setting once."""
+    made: dict[str, tuple[Callable[[], object], str]] = {}
+    for name, classifier in space.classifiers.items():
+        if not isinstance(classifier, Drawn):
+            made[name] = classifier, name
+            continue
+        for number in range(draws):
+            setting = classifier.draw(name, number, seed)
+            made[f"{name}({', '.join(f'{k}={v}' for k, v in setting.items())})"] = classifier.make(**setting), name
     return [
-        ModelSpec(f"{c}|{i}|{s}|{x}", space.classifiers[c], i, s, x, c)
-        for c, i, s, x in product(space.classifiers, space.imputers, space.scaling, space.selection)
+        ModelSpec(f"{c}|{i}|{s}|{x}", factory, i, s, x, label)
+        for (c, (factory, label)), i, s, x in product(made.items(), space.imputers, space.scaling, space.selection)
     ]
 
 
 def search(
-    train: DataFrame, space: SearchSpace, numeric: Sequence[str], text: Sequence[str], row_key: str, folds: int
+    train: DataFrame, space: SearchSpace, numeric: Sequence[str], text: Sequence[str], row_key: str, folds: int, draws: int = 5, keep: int = 3
 ) -> SearchResult:
-    """Try pipelines by cross-validated AUROC within a time budget and refit the best as a weighted ensemble.
+    """Try pipelines by cross-validated AUROC and refit the best as a weighted ensemble.
 
-    Each trial is a chain of distributed fits; only its score reaches the driver.
+    Successive halving: all candidates are tried on the first fold, the best 1 / `keep` of them on the next ones too, and
+    so on until few enough are left for all folds. Candidates of one preparation share it and its table in every fold. Each
+    fit is distributed; only scores reach the driver. The time budget ends the trials between two folds, and those that
+    have seen the most folds count.
     """
-    started, result = time.monotonic(), SearchResult()
-    specs = candidates(space)
-    for spec in specs:
-        if result.trials and time.monotonic() - started > space.time_budget:
+    started, specs = time.monotonic(), candidates(space, draws)
+    scores: dict[str, list[float]] = {s.name: [] for s in specs}
+    left, out_of_fold, goal = list(specs), [], max(keep, space.ensemble_size)
+    for k in range(folds):
+        if k and time.monotonic() - started > space.time_budget:
             break
-        scored = cross_validate(train, [spec], numeric, text, row_key, folds)
-        mean = auroc(scored, ["fold"]).agg(F.avg("auroc")).first()[0]
-        result.trials.append((spec.name, mean if mean is not None else 0.0))
-    passed = [t for t in result.trials if t[1] >= space.score_threshold]
-    chosen = sorted(passed, key=lambda t: -t[1])[: space.ensemble_size]
-    total = sum(score for _, score in chosen)
-    by_name = {s.name: s for s in specs}
-    fitted = fit_all(train, [by_name[name] for name, _ in chosen], numeric, text) if chosen else {}
-    result.members = [(score / total if total else 1.0 / len(chosen), fitted[name]) for name, score in chosen]
+        models = fit_all(train.filter(F.col("fold") != k), left, numeric, text)
+        held_out = train.filter(F.col("fold") == k)
+        scored = checkpoint(union_all([predict(models[s.name], held_out, row_key, s.name, ["fold"]) for s in left]))
+        out_of_fold.append(scored)
+        found = {r[MODEL]: r["auroc"] for r in auroc(scored, [MODEL]).collect()}
+        for s in left:
+            scores[s.name].append(found.get(s.name) or 0.0)
+        if len(left) > goal:
+            ranked = sorted(left, key=lambda s: -sum(scores[s.name]) / len(scores[s.name]))
+            left = ranked[: max(goal, -(-len(left) // keep))]
+    result = SearchResult([(s.name, sum(scores[s.name]) / len(scores[s.name])) for s in specs if scores[s.name]])
+    means = dict(result.trials)
+    passed = sorted((s for s in left if means.get(s.name, 0.0) >= space.score_threshold), key=lambda s: -means[s.name])
+    if not passed:
+        return result
+    weights = ensemble_weights(union_all(out_of_fold), [s.name for s in passed], space.ensemble_size)
+    chosen = [s for s in passed if s.name in weights]
+    fitted = fit_all(train, chosen, numeric, text)
+    result.members = [(weights[s.name], fitted[s.name]) for s in chosen]
     return result
 
 
+def ensemble_weights(predictions: DataFrame, models: Sequence[str], size: int, rounds: int = 10) -> dict[str, float]:
+    """Weights of at most `size` models by greedy selection: each round adds the model whose addition ranks the rows best.
+
+    A model may be added again; of equal scores the first one counts. The rows are pivoted once, rows of equal scores are
+    counted, and a round is one pass over these cells for all models. Only rows that all models scored count.
+    """
+    if len(models) == 1 or size == 1:
+        return {models[0]: 1.0}
+    columns = [f"m{i}" for i in range(len(models))]
+    wide = predictions.where(F.col(MODEL).isin(*models)).groupBy(ROW, TRUTH).pivot(MODEL, list(models)).agg(F.first(SCORE)).toDF(ROW, TRUTH, *columns)
+    cells = checkpoint(wide.dropna(subset=columns).groupBy(TRUTH, *columns).agg(F.count(F.lit(1)).alias("_rows")))
+    picked, best = [0] * len(models), -1.0
+    for _ in range(rounds):
+        total = sum(picked) + 1
+        tries = []
+        for i in range(len(models)):
+            counts = [n + (i == j) for j, n in enumerate(picked)]
+            if sum(n > 0 for n in counts) <= size:
+                mean = sum((F.col(c) * (n / total) for c, n in zip(columns, counts) if n), F.lit(0.0))
+                tries.append(F.struct(F.lit(str(i)).alias(MODEL), mean.alias(SCORE)))
+        trial = cells.select(TRUTH, "_rows", F.inline(F.array(*tries)))
+        sums = trial.groupBy(MODEL, SCORE).agg(*[F.sum(F.when(F.col(TRUTH) == t, F.col("_rows")).otherwise(0)).alias(n) for t, n in ((1, "pos"), (0, "neg"))])
+        ordered = running_totals(sums, [MODEL], SCORE, ["pos", "neg"], range_cuts(trial, SCORE))
+        wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2))
+        areas = ordered.groupBy(MODEL).agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("area")).where("area IS NOT NULL").collect()
+        if not areas:
+            break
+        top = min(areas, key=lambda r: (-round(r["area"], 12), int(r[MODEL])))
+        if top["area"] <= best + 1e-12:
+            break
+        best = top["area"]
+        picked[int(top[MODEL])] += 1
+    if not sum(picked):
+        return {models[0]: 1.0}
+    return {m: n / sum(picked) for m, n in zip(models, picked) if n}
+
+
 def predict_ensemble(
     members: Sequence[tuple[float, PipelineModel]], df: DataFrame, row_key: str, name: str, threshold: float = 0.5
 ) -> DataFrame:

@@ -123,7 +123,11 @@ def searched(spark, folder):
     train, test = _parts(spark, folder)
     train = split.stratified_folds(train, "doc_id", "target_true", FOLDS)
     space = learning.SearchSpace(
-        classifiers={"forest": learning.random_forest(), "boosting": learning.gradient_boosting(), "logistic": learning.logistic_regression},
+        classifiers={
+            "forest": learning.Drawn(learning.random_forest, {"trees": [100, 300], "depth": [4, 5, 6]}),
+            "boosting": learning.Drawn(learning.gradient_boosting, {"rounds": [100, 300], "step": [0.05, 0.1], "depth": [3, 4]}),
+            "logistic": learning.logistic_regression,
+        },
         imputers=("ice",),
         ensemble_size=3,
     )
@@ -176,6 +180,33 @@ def counting_model():
     return NaiveBayes(smoothing=1.0, modelType="multinomial", featuresCol=learning.VECTOR, labelCol="target_true")
 
 
+def ensemble(spark, folder):
+    """Weighted mean of three counting models of different features, in one scan."""
+    data = serving.inputs(spark, folder)
+    target = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 4000).cast("int").alias("target_true"))
+    rows = data.join(target, "k").select("k", "target_true", *scoring.feature_columns(scoring.fields(data), ["su", "al", "dm", "htn", "cvd"], ["su", "al"]))
+    spec = learning.ModelSpec("counts", counting_model)
+    members = [(w, learning.fit(rows, spec, numbers, [word])) for w, numbers, word in MEMBERS]
+    return final(learning.predict_ensemble(members, rows, "k", "three").select("row_index", "target_true", "prediction_label", "risk_score"))
+
+
+MEMBERS = ((0.5, ["su", "al"], "dm"), (0.3, ["al", "su"], "htn"), (0.2, ["su", "al"], "cvd"))
+
+
+def ensemble_sql() -> str:
+    filled = ", ".join(f"coalesce({w}, (SELECT {w} FROM i WHERE {w} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS {w}" for _, _, w in MEMBERS)
+    parts = []
+    for _, numbers, word in MEMBERS:
+        ctes = counting_sql("t", numbers, word)
+        parts.append(f"SELECT k, '{word}' AS member, p FROM (WITH {ctes} SELECT x.k, {joint_sql(numbers, word)} AS p FROM {joint_from('t', word)})")
+    weights = " ".join(f"WHEN '{word}' THEN {w}" for w, _, word in MEMBERS)
+    return f"""WITH {serving.INPUT_SQL},
+t AS MATERIALIZED (SELECT k, (c_acctbal > 4000)::INT AS truth, su::DOUBLE AS su, al::DOUBLE AS al, {filled} FROM i JOIN customer ON k = c_custkey),
+m AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT k, sum(p * CASE member {weights} END) AS p FROM m GROUP BY 1)
+SELECT k AS row_index, truth AS target_true, (p >= 0.5)::BIGINT AS prediction_label, round(p, 6) AS risk_score FROM s JOIN t USING (k)"""
+
+
 def counting_sql(train: str, numbers: list[str], word: str) -> str:
     """Table `sums` of class, rows, smoothed shares of numbers and, in `words`, of words; from `train` (truth, numbers, word)."""
     total = " + ".join(f"sum({n})" for n in numbers)
@@ -342,6 +373,7 @@ QUERIES = {
     "model_best_baseline": best_baseline,
     "model_search_ensemble": searched,
     "model_boosting_cells": boosted,
+    "model_weighted_ensemble": ensemble,
     "model_save_restore": restored,
     "model_scored_batch": model_scored,
     "stream_model_scored": stream_model_scored,
@@ -355,6 +387,7 @@ ORACLE = {
     "model_imputed": IMPUTED_SQL,
     "model_chained_imputation": CHAINED_SQL,
     "model_boosting_cells": BOOSTED_SQL,
+    "model_weighted_ensemble": ensemble_sql(),
     "model_save_restore": RESTORED_SQL,
     "model_scored_batch": MODEL_SCORED_SQL,
     "stream_model_scored": STREAM_MODEL_SQL,

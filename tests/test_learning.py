@@ -55,6 +55,30 @@ def test_search_respects_the_threshold(data):
     assert L.predict_ensemble(some.members, data, "k", "e").filter("risk_score between 0 and 1").count() == 160
 
 
+def test_halving_tries_all_and_keeps_few(data):
+    folded = split.stratified_folds(data, "k", "target_true", 3)
+    drawn = L.Drawn(lambda penalty: lambda: L.logistic_regression(penalty), {"penalty": [1e-4, 0.1, 10.0]})
+    space = L.SearchSpace({"lr": drawn, "boost": L.gradient_boosting(5)}, imputers=("median", "ice"), score_threshold=0.5, ensemble_size=2)
+    names = [s.name for s in L.candidates(space, 8)]
+    assert len(names) == len(set(names)) and 4 < len(names) <= 8 and names == [s.name for s in L.candidates(space, 8)]
+    found = L.search(folded, space, ["x", "noise"], [], "k", 3, draws=8, keep=2)
+    assert sorted(n for n, _ in found.trials) == sorted(names) and all(0 <= s <= 1 for _, s in found.trials)
+    assert 1 <= len(found.members) <= 2 and sum(w for w, _ in found.members) == pytest.approx(1.0)
+
+
+def test_greedy_weights(spark):
+    """b alone ranks best, and a mean with c ranks better still; a is noise."""
+    rng, rows = random.Random(2), []
+    for i in range(200):
+        y = i % 2
+        left, right = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows += [(i, m, y, 0, s) for m, s in (("a", rng.random()), ("b", 0.5 + 0.1 * (y + left)), ("c", 0.5 + 0.1 * (y - left + 0.3 * right)))]
+    df = spark.createDataFrame(rows, "row_index long, model_name string, target_true int, prediction_label int, risk_score double")
+    weights = L.ensemble_weights(df, ["a", "b", "c"], 3)
+    assert weights.get("a", 0) < 0.15 and 0.3 < weights["b"] < 0.7 and sum(weights.values()) == pytest.approx(1)
+    assert set(L.ensemble_weights(df, ["a", "b", "c"], 1)) == {"a"} and len(L.ensemble_weights(df, ["a", "b", "c"], 2)) == 2
+
+
 def test_evaluate_and_significance(data):
     specs = [L.ModelSpec("lr", L.logistic_regression), L.ModelSpec("rf", L.random_forest(5))]
     out = evaluate(data, "k", "target_true", specs, folds=2)
