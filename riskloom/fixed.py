@@ -74,7 +74,7 @@ EXACT_MATCH_NOTE = (
 )
 SPECIAL_PAIR_NAME = "blood_pressure_candidate"
 SPECIAL_PAIR_NOTE = (
-    "One source describes 'bp' as blood pressure, the other names diastolic blood pressure. "
+    "{a} metadata says 'bp' is blood pressure. {b} explicitly names this field diastolic blood pressure. "
     "Do not auto-merge without manual confirmation."
 )
 UNMATCHED_NOTE = (

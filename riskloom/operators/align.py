@@ -58,7 +58,7 @@ def candidates(
     def row(kind, df):
         texts = {
             "exact": ("yes", "unknown", "pending_review", F.lit(EXACT_MATCH_NOTE), "yes"),
-            "special": ("uncertain", "uncertain", "pending_review", F.lit(SPECIAL_PAIR_NOTE), "yes"),
+            "special": ("uncertain", "uncertain", "pending_review", F.lit(SPECIAL_PAIR_NOTE.format(a=names[0], b=names[1])), "yes"),
             "only_a": ("no_shared_counterpart", "not_applicable", "no", F.lit(UNMATCHED_NOTE.format(source=names[0])), "no"),
             "only_b": ("no_shared_counterpart", "not_applicable", "no", F.lit(UNMATCHED_NOTE.format(source=names[1])), "no"),
         }[kind]

@@ -48,18 +48,18 @@ TAGGED_SQL = f"WITH {evaluation.PREDICTIONS} SELECT row_index, target_true, pred
 
 
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One document for each region, with its nations inside."""
-    nations = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("nations"))
-    docs = table(spark, folder, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    """One document for each nation and market segment, with its customers inside."""
+    customers = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    docs = customers.agg(F.round(F.sum("c_acctbal"), 2).alias("balance"), F.sort_array(F.collect_list("c_custkey")).alias("customers"))
     path = run_folder(spark, "documents")
-    tables.write_json(docs.select("r_regionkey", "r_name", "nations"), path, one_each=True)
-    back = tables.read_document(spark, path, "r_regionkey long, r_name string, nations array<string>")
-    return final(back.select("r_regionkey", "r_name", F.array_join("nations", ",").alias("nations")))
+    tables.write_json(docs, path, one_each=True)
+    back = tables.read_document(spark, path, "nation long, segment string, balance double, customers array<long>")
+    return final(back.select("nation", "segment", "balance", F.array_join(F.col("customers").cast("array<string>"), ",").alias("customers")), 2)
 
 
 DOCUMENTS_SQL = """
-SELECT r_regionkey, r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations
-FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2"""
+SELECT c_nationkey AS nation, c_mktsegment AS segment, round(sum(c_acctbal), 2) AS balance, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS customers
+FROM customer GROUP BY 1, 2"""
 
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,13 +40,13 @@ PAIRS = {"small ring": "red widget"}
 
 def _catalogues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, folder, "part")
-    left = parts.filter("p_size <= 20").select(F.initcap("p_name").alias("column"))
-    right = parts.filter("p_size > 45").select(F.initcap("p_name").alias("column"))
+    left = parts.filter("p_size <= 5").select(F.initcap("p_name").alias("column"))
+    right = parts.filter("p_size > 5").select(F.initcap("p_name").alias("column"))
     return left.distinct(), right.distinct()
 
 
 CATALOGUES = """
-a AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size <= 20), b AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size > 45)"""
+a AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size <= 5), b AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size > 5)"""
 
 
 def candidates(spark, folder):
@@ -68,7 +68,7 @@ SELECT coalesce(x, '') AS source_a_column, coalesce(y, '') AS source_b_column,
   CASE k WHEN 1 THEN 'yes' WHEN 2 THEN 'uncertain' ELSE 'no_shared_counterpart' END AS same_meaning,
   CASE k WHEN 1 THEN 'unknown' WHEN 2 THEN 'uncertain' ELSE 'not_applicable' END AS same_unit,
   CASE WHEN k <= 2 THEN 'pending_review' ELSE 'no' END AS keep_for_shared_model,
-  CASE k WHEN 1 THEN {text(EXACT_MATCH_NOTE)} WHEN 2 THEN {text(SPECIAL_PAIR_NOTE)} WHEN 3 THEN {text(UNMATCHED_NOTE.format(source="a"))} ELSE {text(UNMATCHED_NOTE.format(source="b"))} END AS notes,
+  CASE k WHEN 1 THEN {text(EXACT_MATCH_NOTE)} WHEN 2 THEN {text(SPECIAL_PAIR_NOTE.format(a="a", b="b"))} WHEN 3 THEN {text(UNMATCHED_NOTE.format(source="a"))} ELSE {text(UNMATCHED_NOTE.format(source="b"))} END AS notes,
   CASE WHEN k <= 2 THEN 'yes' ELSE 'no' END AS manual_review_required
 FROM r"""
 

@@ -10,7 +10,9 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "profile_missingness", "clean_minimal", "split_stratified", "metrics_by_model", "leakage_feature_screen",
     "bootstrap_replicates", "tests_delong", "audit_values", "score_research_contributions", "requests_scored",
-    "monitor_latency_summary", "lifecycle_transition_audit",
+    "monitor_latency_summary", "lifecycle_transition_audit", "requests_invalid_number", "model_scored_batch",
+    "stream_model_scored", "model_boosting_cells", "model_chained_imputation", "model_weighted_ensemble", "tests_p_values",
+    "stream_alarm_states", "file_documents",
 )
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
