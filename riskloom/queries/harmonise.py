@@ -21,6 +21,7 @@ from riskloom.fixed import (
 )
 from riskloom.functions import text as X
 from riskloom.operators import align, audit, contracts
+from riskloom.plans.harmonise import harmonise
 from riskloom.queries.common import final, table, text
 
 GROUPS = FeatureGroups(
@@ -40,13 +41,13 @@ PAIRS = {"small ring": "red widget"}
 
 def _catalogues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, folder, "part")
-    left = parts.filter("p_size <= 5").select(F.initcap("p_name").alias("column"))
-    right = parts.filter("p_size > 5").select(F.initcap("p_name").alias("column"))
+    left = parts.filter("p_size <= 48").select(F.initcap("p_name").alias("column"))
+    right = parts.filter("p_size > 48").select(F.initcap("p_name").alias("column"))
     return left.distinct(), right.distinct()
 
 
 CATALOGUES = """
-a AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size <= 5), b AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size > 5)"""
+a AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size <= 48), b AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size > 48)"""
 
 
 def candidates(spark, folder):
@@ -434,6 +435,22 @@ SELECT p_partkey, codes.code AS amount, ({B_COLUMNS['size'][1]}) AS size, ({B_CO
 JOIN codes ON codes.feature = 'amount' AND codes.token = replace({B_COLUMNS['amount'][1]}, '≥', '>=')"""
 
 
+def harmonised(spark, folder):
+    """The whole run over two sources with column names and labels of their own, and a reviewed mapping; the repaired side."""
+    a, b = sources(spark, folder)
+    source = {}
+    for side, df, words in (("a", a, ("well", "ill")), ("b", b, ("no", "yes"))):
+        renamed = df.select("p_partkey", *[F.col(f).alias(f"{side} {f}") for f in FEATURES], F.when(F.col("target") == 1, words[1]).otherwise(words[0]).alias("class"))
+        source[side] = renamed
+    reviewed = [(f"a {f}", f"b {f}", f, "yes", "yes", "yes", "", "no") for f in FEATURES]
+    mapping = spark.createDataFrame(reviewed, ", ".join(f"{c} string" for c in align.MAPPING_COLUMNS))
+    out = harmonise(source["a"], source["b"], mapping, "p_partkey", "class", {"well": 0, "ill": 1}, {"no": 0, "yes": 1}, GROUPS)
+    return final(out.repaired_b.select("p_partkey", "amount", "size", "level", "target"))
+
+
+HARMONISED_SQL_TAIL = "(p_partkey % 3 = 0)::BIGINT AS target"
+
+
 def repaired_by_join(spark, folder):
     """How many cells got which code."""
     _, b = sources(spark, folder)
@@ -441,6 +458,7 @@ def repaired_by_join(spark, folder):
     return final(out.groupBy("amount").agg(F.count(F.lit(1)).alias("row_count")))
 
 
+HARMONISED_SQL = REPAIRED_SQL.replace(" AS level FROM part", f" AS level, {HARMONISED_SQL_TAIL} FROM part")
 REPAIRED_JOIN_SQL = f"WITH {CODES} SELECT code AS amount, row_count FROM codes WHERE feature = 'amount'"
 
 
@@ -512,6 +530,7 @@ QUERIES = {
     "rules_unresolved": unresolved_rules,
     "repair_bin_codes": bin_codes,
     "repair_applied": repaired,
+    "harmonise_whole": harmonised,
     "repair_applied_by_join": repaired_by_join,
     "repair_report": repair_report,
     "audit_binary_direction": direction_audit,
@@ -531,6 +550,7 @@ ORACLE = {
     "rules_unresolved": UNRESOLVED_SQL,
     "repair_bin_codes": BIN_CODES_SQL,
     "repair_applied": REPAIRED_SQL,
+    "harmonise_whole": HARMONISED_SQL,
     "repair_applied_by_join": REPAIRED_JOIN_SQL,
     "repair_report": REPORT_SQL,
     "audit_binary_direction": DIRECTION_SQL,
