@@ -338,9 +338,10 @@ def select_best(cv: DataFrame, held_out_metrics: DataFrame) -> DataFrame:
     return best.join(tested, MODEL).withColumn("selection_metric", F.lit("cv_mean_auroc"))
 
 
-def best_without_cv(metrics: DataFrame) -> DataFrame:
-    order = [F.desc_nulls_last("auroc"), F.desc_nulls_last("auprc"), F.desc_nulls_last("accuracy"), F.asc(MODEL)]
-    return best_by(metrics, order)
+def best_record(best: DataFrame, specs: Sequence[ModelSpec], pointers: Mapping[str, str]) -> DataFrame:
+    """The best model's row with its estimator's label and where its artefacts lie, one column per pointer."""
+    labels = [F.when(F.col(MODEL) == s.name, s.label or s.name) for s in specs]
+    return best.withColumns({"best_estimator_label": F.coalesce(*labels), **{name: F.lit(path) for name, path in pointers.items()}})
 
 
 @dataclass

@@ -127,6 +127,18 @@ SELECT lang AS target, coalesce(toxic::VARCHAR, '<NA>') AS value, count(*) AS ro
 FROM ({LABELLED}) GROUP BY 1, 2"""
 
 
+def nested_breakdown(spark, folder):
+    """Counts of toxic labels per language as one map per part of the documents, written out by key."""
+    counts = labelled_documents(spark, folder).groupBy("source", F.col("lang").alias("target"), F.coalesce(F.col("toxic").cast("string"), F.lit("<NA>")).alias("value"))
+    nested = profile.nested_breakdown(counts.agg(F.count(F.lit(1)).alias("row_count")), ["source"])
+    inner = nested.select("source", F.explode("breakdown").alias("target", "counts")).select("source", "target", F.explode("counts").alias("value", "row_count"))
+    return final(inner)
+
+
+NESTED_SQL = f"""
+SELECT source, lang AS target, coalesce(toxic::VARCHAR, '<NA>') AS value, count(*) AS row_count FROM ({LABELLED}) GROUP BY 1, 2, 3"""
+
+
 def setup(spark, folder):
     data = labelled_documents(spark, folder).drop("doc_id").filter("quality is not null")
     return final(profile.setup_summary(data, "quality"))
@@ -276,6 +288,7 @@ QUERIES = {
     "profile_duplicate_rows": duplicates,
     "profile_table": profile_table,
     "profile_class_balance": class_balance,
+    "profile_nested_breakdown": nested_breakdown,
     "profile_target_breakdown": breakdown,
     "profile_setup_summary": setup,
     "clean_minimal": minimal_clean,
@@ -296,6 +309,7 @@ ORACLE = {
     "profile_duplicate_rows": DUPLICATES_SQL,
     "profile_table": PROFILE_SQL,
     "profile_class_balance": CLASS_BALANCE_SQL,
+    "profile_nested_breakdown": NESTED_SQL,
     "profile_target_breakdown": BREAKDOWN_SQL,
     "profile_setup_summary": SETUP_SQL,
     "clean_minimal": MINIMAL_CLEAN_SQL,

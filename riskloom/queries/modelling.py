@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,26 @@ s{r} AS (SELECT t.* REPLACE (coalesce(balance, c + w * p) AS b) FROM t{r} t, d{r
 CHAINED_SQL = f"""WITH {GAPS}, m AS (SELECT avg(price) AS mp, avg(balance) AS mb FROM g), {regressions_sql(2)}
 SELECT o_orderkey, round(p, 3) AS price, round(b, 3) AS balance FROM s2"""
 
+def one_hot(spark, folder):
+    """Slots of two text columns, of which one has gaps and the words of it are learned from a part of the rows."""
+    data = gaps(spark, folder).select("o_orderkey", "priority", "segment")
+    known = data.where(F.col("o_orderkey") % 2 == 0).where("segment <> 'BUILDING' OR segment IS NULL")
+    stages = [*learning.fill_by_mode(known, ["priority", "segment"]), *learning.encode_stages(["priority", "segment"])]
+    model = Pipeline(stages=stages).fit(known)
+    slots = [F.array_join(vector_to_array(f"{c}{learning.ENCODED}").cast("array<int>"), "").alias(f"{c}_slots") for c in ("priority", "segment")]
+    return final(model.transform(data).select("o_orderkey", *slots))
+
+
+def slots_sql(column: str) -> str:
+    """A 1 in the place of the word among the sorted words of the known rows; none for a word that is not there."""
+    words = f"(SELECT list(DISTINCT coalesce({column}, mode_{column}) ORDER BY coalesce({column}, mode_{column})) FROM known, modes)"
+    return f"array_to_string(list_transform({words}, lambda w: CASE WHEN w = coalesce({column}, mode_{column}) THEN 1 ELSE 0 END), '') AS {column}_slots"
+
+
+ONE_HOT_SQL = f"""WITH {GAPS}, known AS (SELECT * FROM g WHERE o_orderkey % 2 = 0 AND (segment <> 'BUILDING' OR segment IS NULL)),
+modes AS (SELECT {", ".join(f"(SELECT {c} FROM known WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode_{c}" for c in ("priority", "segment"))})
+SELECT o_orderkey, {slots_sql("priority")}, {slots_sql("segment")} FROM g, modes"""
+
 # --- Models ---------------------------------------------------------------------
 
 NUMERIC, TEXT = ["n_chars", "n_words", "n_lines"], ["lang", "source"]
@@ -114,8 +136,14 @@ def baselines(spark, folder):
 def best_baseline(spark, folder):
     train, test = _parts(spark, folder)
     train = split.stratified_folds(train, "doc_id", "target_true", FOLDS)
-    cv, held_out, _ = learning.run_baselines(train, test, learning.baseline_specs(), NUMERIC, TEXT, "doc_id", FOLDS)
-    return final(learning.select_best(cv, metrics.metric_table(held_out, [MODEL])))
+    specs, path = learning.baseline_specs(), run_folder(spark, "best")
+    cv, held_out, models = learning.run_baselines(train, test, specs, NUMERIC, TEXT, "doc_id", FOLDS)
+    best = checkpoint(learning.select_best(cv, metrics.metric_table(held_out, [MODEL])))
+    learning.save(models[best.first()[MODEL]], f"{path}/model")
+    held_out.write.parquet(f"{path}/predictions")
+    record = learning.best_record(best, specs, {"model_path": f"{path}/model", "predictions_path": f"{path}/predictions"})
+    stored = spark.read.parquet(f"{path}/predictions").groupBy(MODEL).agg(F.count(F.lit(1)).alias("stored_predictions"))
+    return final(record.drop("model_path", "predictions_path").join(stored, MODEL))
 
 
 def searched(spark, folder):
@@ -368,6 +396,7 @@ def stream_registry(spark, folder):
 
 QUERIES = {
     "model_imputed": imputed,
+    "model_one_hot": one_hot,
     "model_chained_imputation": chained_imputation,
     "model_baselines_cv": baselines,
     "model_best_baseline": best_baseline,
@@ -385,6 +414,7 @@ QUERIES = {
 }
 ORACLE = {
     "model_imputed": IMPUTED_SQL,
+    "model_one_hot": ONE_HOT_SQL,
     "model_chained_imputation": CHAINED_SQL,
     "model_boosting_cells": BOOSTED_SQL,
     "model_weighted_ensemble": ensemble_sql(),
