@@ -441,26 +441,40 @@ def bin_codes(distinct: DataFrame) -> DataFrame:
     )
 
 
-def apply_repairs(df: DataFrame, row_key: str, features: Sequence[str], codes: DataFrame) -> DataFrame:
-    """Replace the tokens of the chosen features by their bin code, one keyed join per feature.
+#: Codes up to which they are sent to all tasks.
+SENT_CODES = 100_000
 
-    A token without a code raises, however many bins there are. Few bins may hold most rows, and all rows without a value
-    share one key, so both sides are spread over salts.
+
+def apply_repairs(df: DataFrame, row_key: str, features: Sequence[str], codes: DataFrame, sent: int = SENT_CODES) -> DataFrame:
+    """Replace the tokens of the chosen features by their bin code.
+
+    The codes are counted: up to `sent` they go to all tasks and the table is not moved. More are joined once for all
+    features together, with both sides spread over salts, as few bins may hold most rows; the codes of a row meet again by
+    `row_key`, which is unique. A token without a code raises, however many bins there are.
     """
-    listed = codes.filter(F.col("feature").isin(*features)).select("feature", "token", "code")
-    unparsed = listed.filter("code IS NULL").orderBy("feature", "token").limit(10).collect()
+    listed = codes.filter(F.col("feature").isin(*features)).select("feature", "token", F.col("code").cast("int").alias("_code"))
+    unparsed = listed.filter("_code IS NULL").orderBy("feature", "token").limit(10).collect()
     if unparsed:
         raise ValueError(f"Unexpected interval tokens during repair: {[(r['feature'], r['token']) for r in unparsed]}")
+
+    def checked(name: Column, value: Column) -> Column:
+        unknown = F.raise_error(F.concat(F.lit("Unexpected interval token of "), name, F.lit(": "), value)).cast("int")
+        return F.when(value.isNotNull(), F.coalesce(F.col("_code"), unknown))
+
+    if listed.count() <= sent:
+        out = df
+        for f in features:
+            lookup = F.broadcast(listed.filter(F.col("feature") == f).select(F.col("token").alias("_token"), "_code"))
+            out = out.withColumn("_token", token(F.col(f))).join(lookup, "_token", "left")
+            out = out.withColumn(f, checked(F.lit(f), F.col("_token"))).drop("_token", "_code")
+        return out.select(*df.columns)
     salts = shuffle_partitions(df.sparkSession)
-    out = df.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
+    cells = df.select(row_key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), token(F.col(f)).alias("token")) for f in features])))
+    cells = cells.where("token IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
     spread = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    for f in features:
-        lookup = spread.filter(F.col("feature") == f).select(F.col("token").alias("_token"), "_salt", F.col("code").alias("_code"))
-        out = out.withColumn("_token", token(F.col(f))).join(lookup, ["_token", "_salt"], "left")
-        unknown = F.raise_error(F.concat(F.lit(f"Unexpected interval token of {f}: "), F.col("_token"))).cast("int")
-        code = F.when(F.col("_token").isNotNull(), F.coalesce(F.col("_code").cast("int"), unknown))
-        out = out.withColumn(f, code).drop("_token", "_code")
-    return out.select(*df.columns)
+    found = cells.join(spread, ["feature", "token", "_salt"], "left").withColumn("_code", checked(F.col("feature"), F.col("token")))
+    wide = found.groupBy(row_key).agg(*[F.max(F.when(F.col("feature") == f, F.col("_code"))).alias(f) for f in features])
+    return df.drop(*features).join(wide, row_key, "left").select(*df.columns)
 
 
 def repair_report(rules: DataFrame, codes: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from riskloom.fixed import LABELS_SOURCE_A, LABELS_SOURCE_B
 from riskloom.operators import align, audit, clean, profile
@@ -113,3 +112,17 @@ def test_duplicates_keep_missing_apart(spark):
     assert profile.duplicate_rows(df).first()["duplicate_row_count"] == 1
     assert profile.missingness(df).filter(F.col("column") == "y").first()["missing_count"] == 2
     assert "missing_ratio" in profile.profile_document(df, "x", "d", "name").first()["document"]
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_repairs_of_two_features_by_either_way(spark, sent):
+    rows = [(i, f"{i % 3 * 10} - {i % 3 * 10 + 10}" if i % 5 else None, "< 5" if i % 2 else ">= 5", "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "row long, pot string, sod string, other string")
+    codes = audit.bin_codes(audit.tokens(audit.long_cells(df, ["pot", "sod"])))
+    out = audit.apply_repairs(df, "row", ["pot", "sod"], codes, sent)
+    assert out.columns == df.columns
+    found = {r["row"]: (r["pot"], r["sod"], r["other"]) for r in out.collect()}
+    assert found == {i: (i % 3 if i % 5 else None, 0 if i % 2 else 1, "x") for i in range(40)}
+    odd = df.union(spark.createDataFrame([(99, "50 - 60", "< 5", "y")], df.schema))
+    with pytest.raises(Exception, match="Unexpected interval token"):
+        audit.apply_repairs(odd, "row", ["pot", "sod"], codes, sent).collect()
