@@ -145,10 +145,17 @@ COMPARE = {
 }
 
 
+#: Periods that one piece of a series holds.
+PIECE = 4096
+
+
 def calendar(metrics: DataFrame, seconds: int, groups: Sequence[str] = ()) -> DataFrame:
-    """Every period between the first and the last one of each group."""
+    """Every period between the first and the last one of each group; long series are dealt out in pieces."""
     span = metrics.groupBy(*groups).agg(F.min("period").alias("_a"), F.max("period").alias("_b"))
-    return span.select(*groups, F.explode(F.sequence("_a", "_b", F.lit(seconds).cast("long"))).alias("period"))
+    step = F.lit(seconds).cast("long")
+    pieces = span.select(*groups, "_b", F.explode(F.sequence("_a", "_b", PIECE * step)).alias("_from"))
+    spread = pieces.repartition(*groups, "_from")
+    return spread.select(*groups, F.explode(F.sequence("_from", F.least("_b", F.col("_from") + (PIECE - 1) * step), step)).alias("period"))
 
 
 def alarm_states(
@@ -170,7 +177,7 @@ def alarm_states(
     seen = metrics.select(*groups, "period", value)
     dense = join_groups(calendar(metrics, seconds, groups), seen, [*groups, "period"], "left")
     dense = dense.withColumn("breaching", breach.cast("int"))
-    block = 4096 * seconds
+    block = PIECE * seconds
     own = F.floor(F.col("period") / block).cast("long")
     later = F.floor((F.col("period") + (n - 1) * seconds) / block).cast("long")
     spread = dense.withColumn("_block", F.explode(F.array_distinct(F.array(own, later))))

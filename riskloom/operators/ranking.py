@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskloom.operators.keys import join_groups
-from riskloom.session import checkpoint, order_buckets
+from riskloom.session import checkpoint, order_buckets, shuffle_partitions
 
 BUCKET = "_range"
 
@@ -115,17 +115,19 @@ def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight
     """Join rows to a table with one row per key, where a few keys may hold most rows.
 
     `weight` tells how many rows each key has. Keys with more than a thousandth of
-    all rows - at most a thousand keys, whatever the data - are spread over salts.
+    all rows - at most a thousand keys, whatever the data - are spread over salts,
+    as many as the session has shuffle partitions.
     """
+    salts = max(HOT_SALTS, shuffle_partitions(rows.sparkSession))
     total = table.agg(F.sum(weight)).scalar()
     heavy = F.col(weight) > F.lit(HOT_SHARE) * total
-    hot = F.broadcast(table.filter(heavy).select(*keys, F.lit(HOT_SALTS).alias("_salts")))
+    hot = F.broadcast(table.filter(heavy).select(*keys, F.lit(salts).alias("_salts")))
     salted_rows = rows.join(hot, list(keys), "left").withColumn(
         "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_key), F.lit(HOT_SALTS)).cast("int")),
+        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int")),
     )
     salted_table = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(heavy, F.lit(HOT_SALTS - 1)).otherwise(F.lit(0))))
+        "_salt", F.explode(F.sequence(F.lit(0), F.when(heavy, F.lit(salts - 1)).otherwise(F.lit(0))))
     ).drop(weight)
     return salted_rows.join(salted_table, [*keys, "_salt"]).drop("_salt", "_salts")
 
