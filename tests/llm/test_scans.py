@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from riskloom.llm import license_scan, rule_forest, secret_scan
@@ -171,6 +172,30 @@ def test_forest_finds_bad_rows_and_spares_good_ones(spark):
     assert rows.get((0, False), 0) >= 0.2 * rows.get((0, True), 1)
 
 
+def test_forest_counts_all_labelled_rows(spark):
+    """Ranges, nodes and threshold of 20,000 labelled rows, more than a sample would hold, against numpy over all of them."""
+    draw = np.random.default_rng(3)
+    n = 20_000
+    counts = np.column_stack([draw.integers(20, 500, n), draw.integers(100, 3000, n), *[draw.integers(0, 9, n) for _ in range(3)], draw.integers(9, 40, n), draw.integers(0, 40, n), draw.integers(0, 9, n)])
+    good = (draw.random(n) < 0.9).astype(int)
+    counts[good == 0, 2] += draw.integers(0, 400, (good == 0).sum())
+    schema = ", ".join(f"{c} long" for c in rule_forest.COUNTS) + ", good int"
+    labelled = spark.createDataFrame([(*map(int, c), int(g)) for c, g in zip(counts, good)], schema).repartition(3)
+    setting = rule_forest.ForestSetting(trees=20)
+    forest, rows = rule_forest.fit(labelled, setting), rule_forest.rates(counts)
+    plain = rule_forest.Forest(int(good.sum()), rows.min(0), rows.max(0), setting)
+    counted = plain.counted(rows[good == 1])
+    assert (counted.sum(1) == good.sum()).all()
+    plain.close(counted)
+    assert np.array_equal(forest.feature, plain.feature) and np.array_equal(forest.path, plain.path)
+    score = plain.score(rows)
+    values, at = np.unique(-score, return_inverse=True)
+    gains = np.cumsum(np.bincount(at, np.where(good == 1, -0.25, 1.0)))
+    scored = spark.createDataFrame([(float(s), int(g)) for s, g in zip(score, good)], "score double, good int")
+    assert gains.max() > 0 and rule_forest.threshold(scored, 0.25) == -values[gains.argmax()]
+    assert rule_forest.threshold(scored.where("good = 1"), 2.0) == np.inf and rule_forest.threshold(scored.limit(0), 2.0) == np.inf
+
+
 def test_long_tokens_and_many_secrets_in_one_text(spark):
     """A token of a million characters, and thousands of secrets between long words, each once and in time."""
     draw = random.Random(7)
