@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 
-SMALL, MANY = 256, 3000
+#: Draws up to which a quantile is searched from 0, and from which rarer outcomes on a probability is an integral.
+SMALL, MANY = 64, 32
 STIRLING = np.array([0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)])
 
 

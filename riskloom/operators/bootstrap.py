@@ -22,7 +22,7 @@ from riskloom.fixed import METRICS, REPLICATES, SEED
 from riskloom.functions.binomial import binomial_quantile
 from riskloom.operators.metrics import LABEL, SCORE, TRUTH, ratio, threshold_metrics
 from riskloom.operators.ranking import range_cuts, running_totals
-from riskloom.session import checkpoint
+from riskloom.session import checkpoint, shuffle_partitions
 
 MODEL = "model_name"
 #: Leaves of a block, a power of two; a score has two leaves, one for each label.
@@ -31,6 +31,8 @@ BLOCK = 4096
 CHUNK = 250
 #: Leaves x replicates that are held at once.
 HELD = 1 << 20
+#: Partitions that (block, chunk) are spread over at most, beyond those of a shuffle.
+MOST_PIECES = 4096
 COUNTS = ("pos_1", "pos_0", "neg_1", "neg_0")
 
 
@@ -161,6 +163,8 @@ def bootstrap_metrics(
     shared = spark.sparkContext.broadcast(trees)
     chunks = range(0, replicates, chunk)
     spread = cells.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in chunks])))
+    pieces = max(shuffle_partitions(spark), min(4 * len(blocks) * len(chunks), MOST_PIECES))
+    spread = spread.repartition(pieces, MODEL, "block", "chunk")  # few bytes and much work: they must not be coalesced
     schema = f"{MODEL} string, replicate int, wins double, steps double, tp long, fp long, squares double"
 
     def solve(cells: pd.DataFrame) -> pd.DataFrame:

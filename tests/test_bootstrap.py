@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions import binomial
 from riskloom.functions.binomial import binomial_cdf, binomial_quantile
 from riskloom.operators import bootstrap
 from riskloom.operators.metrics import metric_table
@@ -27,6 +28,25 @@ def test_quantiles_at_the_ends():
     assert abs(far.mean() - 3e11) < 1e5 and (np.diff(far) >= 0).all()
 
 
+def test_probabilities_on_both_ways():
+    """The integral and the fraction agree from the counts on where one takes over."""
+    for n in (2 * binomial.MANY + 10, 500, 5000):
+        k = np.arange(binomial.MANY + 1, n - binomial.MANY - 1).astype(float)
+        for p in (0.1, 0.5, 0.8):
+            near = k[np.abs(k - n * p) < 8 * math.sqrt(n * p * (1 - p))]
+            sizes, shares = np.full(len(near), float(n)), np.full(len(near), p)
+            assert np.allclose(binomial.by_quadrature(near, sizes, shares), binomial.by_fraction(near, sizes, shares), rtol=0, atol=1e-11)
+
+
+def test_small_tables_are_drawn_in_many_tasks(spark):
+    """Cells are few bytes, which adaptive execution would put into one task for all replicates."""
+    df = spark.createDataFrame(random_rows(60, 4), SCHEMA)
+    drawn = bootstrap.bootstrap_metrics(df, 100, block=16, chunk=10)
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("FlatMapGroupsInPandas")[1] and "coalesced" not in plan.split("FlatMapGroupsInPandas")[1].split("REPARTITION_BY_NUM")[0]
+
+
 def test_draws_of_a_tree_keep_sizes_and_shares():
     weights = np.array([5, 0, 1, 94, 0, 300, 0, 0])
     keys = bootstrap.replicate_keys(1, "m", 1, range(1, 4001))
