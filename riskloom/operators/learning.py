@@ -497,9 +497,13 @@ class Bundle:
 
 
 def fit_bundle(train: DataFrame, spec: ModelSpec, numeric: Sequence[str], text: Sequence[str], version: str) -> Bundle:
-    """Model of `spec`; its feature order is that of the columns of `train`."""
+    """Model of `spec`; its feature order is that of the columns of `train`.
+
+    Fitting passes over `train` many times, so what it is made from - parsed bodies, say - is worked out once and stored.
+    """
     order = tuple(c for c in train.columns if c in {*numeric, *text})
-    return Bundle(fit(train, spec, numeric, text), order, tuple(numeric), version)
+    rows = checkpoint(train.select(TRUTH, *order))
+    return Bundle(fit(rows, spec, numeric, text), order, tuple(numeric), version)
 
 
 def save_bundle(bundle: Bundle, path: str) -> None:

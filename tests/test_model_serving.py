@@ -62,3 +62,18 @@ def test_batch_responses(spark, bundle):
     clinical = scoring.model_responses(df, bundle, "clinical", ["k"]).first()
     assert research["serving_route"] == "/predict/research" and clinical["serving_route"] == "/predict/clinical"
     assert {e["feature"] for e in clinical["explanation"]} == {"scr", "dm"}
+
+
+def test_rows_of_a_bundle_are_made_once(spark):
+    """Fitting passes over its rows many times; what they are made from is worked out once per row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(source):
+        for batch in source:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(i % 2, float(i % 5), "ab"[i % 3 % 2]) for i in range(60)], "target_true int, x double, c string")
+    spec = learning.ModelSpec("lr", learning.logistic_regression)
+    bundle = learning.fit_bundle(rows.mapInPandas(make, rows.schema), spec, ["x"], ["c"], "v")
+    assert bundle.features == ("x", "c") and made.value == 60
