@@ -2,8 +2,10 @@
 
 Features are cut into at most 255 bins, and rows with the same bins are one cell with its counts of both classes. A level of a
 tree needs the sums of gradients and hessians per (node, feature, bin). Up to `held` cells a single task grows all trees over
-them; beyond that every level is one aggregate over the cells, whose scores are written once a round, and only the sums - nodes x
-features x bins - reach the driver. Both ways find the same splits.
+them; beyond that every level is one pass over the cells, whose scores are written every `KEPT` rounds, and only the sums - nodes
+x features x bins, once per partition - reach the driver. Both ways find the same splits.
+
+Most cells share one bin of a one-hot feature: only the others are added up, and that bin gets what is left of its node.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from pyspark.sql.functions import pandas_udf
 from riskloom.session import checkpoint
 
 BINS = 255
+#: Rounds after which the scores of distributed cells are written; the trees since then are added while passing over them.
+KEPT = 20
+#: Cells of a partition at least, and partitions at most.
+PIECE, PIECES = 16_384, 64
 Histogram = Callable[[list["Tree"], int], np.ndarray]
 
 
@@ -74,14 +80,31 @@ class Tree:
         return tree
 
 
-def sums(bins: np.ndarray, node: np.ndarray, nodes: int, values: tuple[np.ndarray, ...]) -> np.ndarray:
+class Cells:
+    """Bins of cells, with the places that are not in the commonest bin of a feature where most cells share one."""
+
+    def __init__(self, bins: np.ndarray) -> None:
+        self.bins, self.features = bins, []
+        for f in range(bins.shape[1]):
+            counts = np.bincount(bins[:, f], minlength=BINS + 1)
+            common = int(counts.argmax())
+            rare = np.flatnonzero(bins[:, f] != common) if 2 * counts[common] > len(bins) else None
+            self.features.append((common, rare, bins[:, f].astype(np.int64) if rare is None else bins[rare, f].astype(np.int64), int(counts.nonzero()[0].max(initial=0)) + 1))
+
+
+def sums(cells: Cells, node: np.ndarray, nodes: int, values: tuple[np.ndarray, ...]) -> np.ndarray:
     """Sums of `values` by (value, node, feature, bin)."""
-    width = bins.shape[1]
-    out = np.zeros((len(values), nodes, width, BINS + 1))
-    for f in range(width):
-        at = node * (BINS + 1) + bins[:, f]
+    out = np.zeros((len(values), nodes, len(cells.features), BINS + 1))
+    size = np.bincount(node, minlength=nodes)
+    whole = [np.bincount(node, v, nodes) for v in values]
+    for f, (common, rare, bins, width) in enumerate(cells.features):
+        at = (node if rare is None else node[rare]) * width + bins
         for i, v in enumerate(values):
-            out[i, :, f] = np.bincount(at, v, nodes * (BINS + 1)).reshape(nodes, -1)
+            out[i, :, f, :width] = np.bincount(at, v if rare is None else v[rare], nodes * width).reshape(nodes, -1)
+        if rare is not None:
+            held = size > np.bincount(node[rare], minlength=nodes)  # no rounding where the node has none of that bin
+            for i in range(len(values)):
+                out[i, :, f, common] = np.where(held, whole[i] - out[i, :, f].sum(1), 0.0)
     return out
 
 
@@ -110,55 +133,66 @@ def grow(histogram: Callable[[Tree, int], np.ndarray], setting: BoostSetting) ->
         split = gain[np.arange(len(gain)), best] > 1e-12
         tree.feature[node] = np.where(split, best // (BINS + 1), 0)
         tree.upto[node] = np.where(split, best % (BINS + 1), BINS)
-    g, h = histogram(tree, setting.depth)
-    g, h = g[:, 0].sum(1), h[:, 0].sum(1)
+    every = np.arange(len(gain))  # of the last level's sums: what lies left and right of each split are the leaves
+    found = tree.feature[node], tree.upto[node]
+    g, h = (np.stack([left[every, *found], whole[:, 0, 0] - left[every, *found]], axis=1).ravel() for left, whole in ((left_g, all_g), (left_h, all_h)))
+    h = np.where(np.repeat(split, 2) | (np.arange(len(h)) % 2 == 0), h, 0.0)  # a node that doesn't split sends all rows left
+    g = np.where(h > 0, g, 0.0)
     tree.values = setting.step * np.divide(g, h + setting.penalty, out=np.zeros(len(g)), where=h + setting.penalty > 0)
     return tree
 
 
 def grow_all(bins: np.ndarray, positive: np.ndarray, negative: np.ndarray, setting: BoostSetting) -> list[Tree]:
     """All trees over cells that fit one task."""
-    score, trees = np.zeros(len(bins)), []
+    score, trees, cells = np.zeros(len(bins)), [], Cells(bins)
     for _ in range(setting.rounds):
         g, h = slopes(score, positive, negative)
-        tree = grow(lambda t, level: sums(bins, t.node(bins, level), 1 << level, (g, h)), setting)
+        tree = grow(lambda t, level: sums(cells, t.node(bins, level), 1 << level, (g, h)), setting)
         score += tree.score(bins)
         trees.append(tree)
     return trees
 
 
 def grow_over(cells: DataFrame, width: int, setting: BoostSetting) -> list[Tree]:
-    """All trees over a table of cells (bins, positive, negative), one aggregate per level."""
+    """All trees over a table of cells (bins, positive, negative), one pass per level.
+
+    Each partition adds up its cells and sends its sums packed: at most `PIECES` times nodes x features x bins a level.
+    """
     trees: list[Tree] = []
-    scored = checkpoint(cells.withColumn("score", F.lit(0.0)))
-    schema = "node int, feature int, bin int, g double, h double"
-    for _ in range(setting.rounds):
+    pieces = min(PIECES, max(1, -(-cells.count() // PIECE)))
+    scored = checkpoint(cells.withColumn("score", F.lit(0.0)).repartition(pieces, "bins"))
+    for number in range(setting.rounds):
+        since = trees[number - number % KEPT :]
 
         def histogram(tree: Tree, level: int) -> np.ndarray:
             nodes = 1 << level
 
             def part(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total = np.zeros((2, nodes, width, BINS + 1))
+                for batch in source:
+                    if len(batch):
+                        bins = unpack(batch["bins"], width)
+                        score = sum((t.score(bins) for t in since), batch["score"].to_numpy())
+                        values = slopes(score, batch["positive"].to_numpy(float), batch["negative"].to_numpy(float))
+                        total += sums(Cells(bins), tree.node(bins, level), nodes, values)
+                place = np.flatnonzero(total)
+                yield pd.DataFrame({"place": [place.tobytes()], "value": [total.ravel()[place].tobytes()]})
+
+            out = np.zeros(2 * nodes * width * (BINS + 1))
+            for row in scored.mapInPandas(part, "place binary, value binary").collect():
+                out[np.frombuffer(row["place"], np.int64)] += np.frombuffer(row["value"])
+            return out.reshape(2, nodes, width, BINS + 1)
+
+        trees.append(grow(histogram, setting))
+        if len(trees) % KEPT == 0:
+            since = trees[-KEPT:]
+
+            def moved(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for batch in source:
                     bins = unpack(batch["bins"], width)
-                    g, h = slopes(batch["score"].to_numpy(), batch["positive"].to_numpy(float), batch["negative"].to_numpy(float))
-                    found = sums(bins, tree.node(bins, level), nodes, (g, h, np.ones(len(bins))))
-                    node, feature, at = np.nonzero(found[2])
-                    yield pd.DataFrame({"node": node, "feature": feature, "bin": at, "g": found[0][node, feature, at], "h": found[1][node, feature, at]})
-
-            rows = scored.mapInPandas(part, schema).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-            out = np.zeros((2, nodes, width, BINS + 1))
-            for i, name in enumerate("gh"):
-                out[i, rows["node"], rows["feature"], rows["bin"]] = rows[name]
-            return out
-
-        tree = grow(histogram, setting)
-        trees.append(tree)
-
-        def moved(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in source:
-                yield batch.assign(score=batch["score"] + tree.score(unpack(batch["bins"], width)))
+                    yield batch.assign(score=sum((t.score(bins) for t in since), batch["score"].to_numpy()))
 
-        scored = checkpoint(scored.mapInPandas(moved, scored.schema))
+            scored = checkpoint(scored.mapInPandas(moved, scored.schema))
     return trees
 
 

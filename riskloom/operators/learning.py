@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from hashlib import md5
 from itertools import product
@@ -29,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from riskloom.fixed import METRICS, SEED
 from riskloom.operators.boosting import BoostSetting, HistogramBoosting
@@ -39,6 +41,16 @@ from riskloom.operators.ranking import range_cuts, running_totals
 from riskloom.session import checkpoint
 
 INDEXED, ENCODED, RAW, VECTOR = "_index", "_onehot", "_raw", "features"
+#: Fits that run at once; each is a chain of small jobs or one task, which leaves most cores idle.
+FITS = 6
+
+
+def side_by_side(spark: SparkSession, calls: Sequence[Callable[[], object]]) -> list:
+    """Results of independent calls in their order, `FITS` of them at once."""
+    if len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(FITS) as pool:
+        return [found.result() for found in [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]]
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -268,8 +280,8 @@ def fit_all(
     for members in groups.values():
         preparation = fit_preparation(train, members[0], numeric, text)
         prepared = preparation.transform(train).select(TRUTH, VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-        for spec in members:
-            models[spec.name] = PipelineModel([*preparation.stages, spec.classifier().fit(prepared)])
+        found = side_by_side(train.sparkSession, [lambda spec=spec: spec.classifier().fit(prepared) for spec in members])
+        models.update({spec.name: PipelineModel([*preparation.stages, model]) for spec, model in zip(members, found)})
         prepared.unpersist()
     return models
 
@@ -297,10 +309,10 @@ def predict(model: PipelineModel, df: DataFrame, row_key: str, name: str, keep:
 def cross_validate(
     df: DataFrame, specs: Sequence[ModelSpec], numeric: Sequence[str], text: Sequence[str], row_key: str, folds: int
 ) -> DataFrame:
-    """Out-of-fold predictions of all specs as one table; `df` has a `fold` column."""
+    """Out-of-fold predictions of all specs as one table; `df` has a `fold` column. The folds are fitted side by side."""
     parts = []
-    for k in range(folds):
-        models = fit_all(df.filter(F.col("fold") != k), specs, numeric, text)
+    fits = [lambda k=k: fit_all(df.filter(F.col("fold") != k), specs, numeric, text) for k in range(folds)]
+    for k, models in enumerate(side_by_side(df.sparkSession, fits)):
         held_out = df.filter(F.col("fold") == k)
         parts += [predict(models[s.name], held_out, row_key, s.name, ["fold"]) for s in specs]
     return union_all(parts)

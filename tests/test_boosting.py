@@ -36,6 +36,36 @@ def test_one_task_and_one_aggregate_per_level_agree(spark):
         assert np.allclose(one.values, many.values)
 
 
+def test_sums_leave_out_common_bins():
+    """Sums of a table with one-hot features, and of nodes without a row in the common bin, as by plain counting."""
+    draw = np.random.default_rng(4)
+    bins = np.column_stack([draw.integers(0, 200, 500), *[1 + (draw.random(500) < share) for share in (0.1, 0.4, 0.0)]]).astype(np.uint8)
+    node, values = draw.integers(0, 3, 500), draw.random(500)
+    node[bins[:, 1] == 2] = 3  # node 3 has no row in that feature's common bin
+    cells = B.Cells(bins)
+    assert [rare is None for _, rare, _, _ in cells.features] == [True, False, False, False]
+    out = B.sums(cells, node, 5, (values,))
+    plain = np.zeros((5, 4, B.BINS + 1))
+    for f in range(4):
+        np.add.at(plain[:, f], (node, bins[:, f]), values)
+    assert np.allclose(out[0], plain, atol=1e-12) and (out[0][plain == 0] == 0).all()
+
+
+def test_distributed_rounds_need_a_pass_per_level(spark):
+    """More rounds than are kept between two written scores; jobs are a pass per level, and leaves need none."""
+    df, setting = table(spark), B.BoostSetting(rounds=B.KEPT + 3, depth=2)
+    cuts, trees = B.boost(df, "features", "label", setting)
+    cells = B.cells_of(df, "features", "label", cuts).persist()
+    cells.count()
+    spark.sparkContext.setJobGroup("rounds", "")
+    spread = B.grow_over(cells, 3, setting)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2 * setting.rounds + 12
+    for one, many in zip(trees, spread):
+        assert one.feature.tolist() == many.feature.tolist() and one.upto.tolist() == many.upto.tolist() and np.allclose(one.values, many.values)
+
+
 def test_splits_by_trying_all(spark):
     """The first split has the greatest gain of all (feature, value) pairs."""
     df = table(spark)
