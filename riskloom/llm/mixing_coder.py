@@ -1,13 +1,15 @@
-"""Files of token ids, written with an adaptive context-mixing range coder.
+"""Files of token ids, written with a context-mixing range coder.
 
 Ids are cut into blocks that start from nothing and carry their own checksums, so any block can be read alone. Inside a
-block an id is a symbol, numbered when it first comes. The two and the one symbols before it (order 2, order 1) each
-predict one symbol, with a count of how often they were right; order 0 holds the frequencies of the block. Whether a
-prediction holds is one binary decision: adaptive probabilities by order are mixed in the logistic domain with weights
-that learn, and drive the range coder. If none holds, the symbol is coded by its order-0 frequency, a symbol younger than
-the last count of frequencies by its number, and a new one by its id.
+block an id is a symbol, its place among the block's distinct ids. The two and the one symbols before it (order 2, order 1)
+each predict one symbol, with a count of how often they were right in a row, and learn from every id; order 0 holds the
+frequencies of the block. Whether the surer prediction holds is one binary decision: what the counts of both orders and the
+frequency of the symbol have been worth in this block is mixed in the logistic domain, with weights that are fitted to the
+block, and drives the range coder (rANS). If the prediction fails, the symbol is coded by its order-0 frequency among such
+symbols. A block is gone through twice, so distinct ids, frequencies and weights stand at its beginning.
 
-Many blocks are coded side by side, one position at a time, with the same arithmetic in whole numbers on both ways.
+Many blocks are coded side by side, one position at a time, with the same arithmetic in whole numbers on both ways: only the
+fit of the weights is not, and the block carries them as whole numbers.
 
 A file is lines of records; a line break or an escape byte inside a record is escaped. Spark writes and reads the lines,
 so files lie wherever Spark can write, and a lost task writes its file again.
@@ -31,7 +33,7 @@ from riskloom.llm.common import slices, stored
 from riskloom.llm.cutting_stock import ByteBpe
 from riskloom.session import run_folder
 
-MAGIC = b"MXR1"
+MAGIC = b"MXR2"
 HEAD = struct.Struct("<4sIIQIIIIB")  # magic, file, block, ids before it in the file, first row, documents, ids, their CRC, flags
 CONTINUED, WIDE, LAST = 1, 2, 4  # the first document began in the block before; ids of 32 bits; the file ends here
 BREAK, ESCAPE = 0x0A, 0x1B
@@ -39,136 +41,27 @@ BREAK, ESCAPE = 0x0A, 0x1B
 
 @dataclass(frozen=True)
 class CoderSetting:
-    """block: most ids in a block; lanes: most blocks coded side by side; end: id behind every document."""
+    """block: most ids in a block, up to 524,288; lanes: most blocks coded side by side; end: id behind every document."""
 
     block: int = 4096
-    lanes: int = 1024
+    lanes: int = 2048
     end: int = 2
 
 
-# --- Range coder, one state per lane -----------------------------------------------------------------------------------
+# --- Prediction --------------------------------------------------------------------------------------------------------
 
-TOP, LEAST, WORD = 48, 1 << 32, 16
 ORDER2 = 4096  # entries of a block's order-2 table, a part of the format
-
-
-class Writer:
-    """Range coder that writes 16-bit words; a carry runs back through the words written."""
-
-    def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << TOP, np.int64)
-        self.words, self.room = np.zeros(lanes * room, np.uint16), room
-        self.first = np.arange(lanes, dtype=np.int64) * room
-        self.at = self.first.copy()
-        self.ends = self.first.copy()
-
-    def bit(self, chance: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """One decision per lane; chance of True in 1/65536, 0 where there is nothing to decide."""
-        bound = (self.range >> WORD) * chance
-        self.low += np.where(value, 0, bound)
-        self.range = np.where(value, bound, self.range - bound)
-        self._settle(np.flatnonzero(self.range < LEAST))
-        return value
-
-    def span(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """The part [start, start + size) of 65536."""
-        unit = self.range[lanes] >> WORD
-        self.low[lanes] += start * unit
-        self.range[lanes] = size * unit
-        self._settle(lanes[self.range[lanes] < LEAST])
-
-    def even(self, lanes: np.ndarray, number: np.ndarray, of: np.ndarray) -> None:
-        """One of `of` equally likely numbers."""
-        unit = self.range[lanes] // of
-        self.low[lanes] += number * unit
-        self.range[lanes] = unit
-        self._settle(lanes[unit < LEAST])
-
-    def _settle(self, lanes: np.ndarray) -> None:
-        if len(lanes):
-            self._emit(lanes)
-            self.range[lanes] <<= WORD
-
-    def _emit(self, lanes: np.ndarray) -> None:
-        low = self.low[lanes]
-        at = self.at[lanes[low >> TOP > 0]] - 1
-        while len(at):
-            self.words[at] += 1
-            at = at[self.words[at] == 0] - 1
-        self.words[self.at[lanes]] = (low >> 32) & 0xFFFF
-        self.at[lanes] += 1
-        self.low[lanes] = (low & 0xFFFFFFFF) << WORD
-
-    def narrow(self, lanes: int) -> None:
-        """Only the first `lanes` go on; the others end."""
-        ended = np.arange(lanes, len(self.low))
-        for _ in range(3):
-            self._emit(ended)
-        self.ends[ended] = self.at[ended]
-        self.low, self.range, self.at = self.low[:lanes], self.range[:lanes], self.at[:lanes]
-
-    def payloads(self) -> list[bytes]:
-        return [self.words[a:b].astype("<u2").tobytes() for a, b in zip(self.first, self.ends)]
-
-
-class Reader:
-    """The way back."""
-
-    def __init__(self, payloads: list[bytes]) -> None:
-        sizes = np.array([len(p) // 2 for p in payloads], np.int64)
-        self.words = np.frombuffer(b"".join(payloads) + bytes(16), "<u2").astype(np.int64)
-        self.at = np.cumsum(sizes) - sizes
-        self.code, self.range = np.zeros(len(sizes), np.int64), np.full(len(sizes), 1 << TOP, np.int64)
-        for _ in range(3):
-            self.code = self.code << WORD | self.words[self.at]
-            self.at += 1
-
-    def bit(self, chance: np.ndarray, value: None = None) -> np.ndarray:
-        bound = (self.range >> WORD) * chance
-        value = self.code < bound
-        self.code -= np.where(value, 0, bound)
-        self.range = np.where(value, bound, self.range - bound)
-        self._settle(np.flatnonzero(self.range < LEAST))
-        return value
-
-    def place(self, lanes: np.ndarray) -> np.ndarray:
-        """Where the next span lies, of 65536. The quotient of two whole numbers this small is exact."""
-        return np.minimum((self.code[lanes] / (self.range[lanes] >> WORD)).astype(np.int64), 0xFFFF)
-
-    def span(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> WORD
-        self.code[lanes] -= start * unit
-        self.range[lanes] = size * unit
-        self._settle(lanes[self.range[lanes] < LEAST])
-
-    def even(self, lanes: np.ndarray, of: np.ndarray) -> np.ndarray:
-        unit = self.range[lanes] // of
-        number = np.minimum(self.code[lanes] // unit, of - 1)
-        self.code[lanes] -= number * unit
-        self.range[lanes] = unit
-        self._settle(lanes[unit < LEAST])
-        return number
-
-    def _settle(self, lanes: np.ndarray) -> None:
-        if len(lanes):
-            at = self.at[lanes]
-            self.code[lanes] = self.code[lanes] << WORD | self.words[np.minimum(at, len(self.words) - 1)]
-            self.at[lanes] = at + 1
-            self.range[lanes] <<= WORD
-
-    def narrow(self, lanes: int) -> None:
-        self.code, self.range, self.at = self.code[:lanes], self.range[:lanes], self.at[:lanes]
-
-
-# --- Prediction --------------------------------------------------------------------------------------------------------
+SURE, AGREE, LEVELS = 4, 2, 4  # counts of an entry; both orders say the same or not; how often order 0 has a symbol
+CONTEXTS = SURE * SURE * AGREE * LEVELS
+CHANCE, LEAST, WORD = 12, 1 << 31, 32  # bits of a chance; smallest state of the coder; bits of a word
 
 
 @cache
-def logistic() -> tuple[np.ndarray, np.ndarray]:
-    """squash (of -2047..2047, index + 2047) and stretch (of 0..4095), in whole numbers.
+def logistic() -> np.ndarray:
+    """squash, of -2047..2047 (index + 2047), in whole numbers.
 
-    squash is the logistic curve with 256 to the unit of its argument and 4096 to that of its value, by exact fractions of a
-    power series, so that all machines have the same table; stretch is its inverse.
+    It is the logistic curve with 256 to the unit of its argument and 4096 to that of its value, by exact fractions of a power
+    series, so that all machines have the same table.
     """
     one = 1 << 60
     squash = []
@@ -179,245 +72,352 @@ def logistic() -> tuple[np.ndarray, np.ndarray]:
             total += term
         share = 4096 * total // (total + one) if x >= 0 else 4096 * one // (total + one)
         squash.append(min(4095, max(1, share)))
-    squash = np.array(squash, np.int32)
-    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 4094).astype(np.int32) - 2047
-    return squash, stretch
+    return np.array(squash, np.uint16)
 
 
-def counted(step: int) -> bool:
-    """Steps after which the order-0 frequencies are counted anew: often at first, later every 512."""
-    return step % 512 == 0 if step >= 1024 else step >= 32 and step % (1 << (step.bit_length() - 2)) == 0
+@cache
+def counted(wide: bool) -> np.ndarray:
+    """Count of an entry after its symbol came (counts up to 3, index below 16), or another."""
+    out = np.ones(1 << 16, np.uint32 if wide else np.uint16)
+    out[:16] = np.minimum(np.arange(16) + 1, 3)
+    return out
 
 
-class Mixed:
-    """Probability of a hit from several adaptive probabilities, per lane.
+class Predictor:
+    """Adaptive predictions of orders 2 and 1 in blocks side by side. An entry is a symbol above 4 bits of count.
 
-    Each has a table by a count of hits (once or more) that starts at the share such a count suggests.
+    Both orders have one table, so that one operation serves both.
     """
 
-    def __init__(self, lanes: int, sizes: tuple[int, ...]) -> None:
-        prior = [65536 * (2 * k + 1) // (2 * k + 2) for k in range(16)]
-        self.tables = [np.tile(np.array(prior * (n // 16), np.int32), lanes) for n in sizes]
-        self.first = [np.arange(lanes, dtype=np.int64) * n for n in sizes]
-        self.weights = [np.full(lanes, (1 << 16) // len(sizes) + (1 << 13), np.int32) for _ in sizes]
-        self.squash, self.stretch = logistic()
-
-    def chance(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """Of 4096, at least 1."""
-        self.at = [first + c for first, c in zip(self.first, contexts)]
-        self.seen = [t.take(at) for t, at in zip(self.tables, self.at)]
-        self.inputs = [self.stretch.take(s >> 4) for s in self.seen]
-        total = self.weights[0] * self.inputs[0]
-        for w, x in zip(self.weights[1:], self.inputs[1:]):
-            total += w * x
-        total >>= 16
-        self.said = self.squash.take(total + 2047, mode="clip")
-        return self.said
-
-    def learn(self, hit: np.ndarray, valid: np.ndarray) -> None:
-        """Move weights and probabilities towards `hit` where there was a decision."""
-        error = np.where(valid, ((hit.astype(np.int32) << 12) - self.said) * 6, 0)
-        goal = np.where(hit, 65535, 0).astype(np.int32)
-        for i, (x, seen) in enumerate(zip(self.inputs, self.seen)):
-            w = self.weights[i] + ((x * error + 0x2000) >> 14)
-            self.weights[i] = np.minimum(np.maximum(w, -(1 << 18)), 1 << 18)
-            self.tables[i][self.at[i]] = np.where(valid, seen + ((goal - seen) >> 4), seen)
+    def __init__(self, kinds: np.ndarray, bits: int) -> None:
+        lanes, self.wide = len(kinds), bits > 12
+        self.kind = np.uint32 if self.wide else np.uint16
+        self.factor, self.shift = (2654435761, 20) if self.wide else (40503, 4)
+        self.first1, self.counted = np.cumsum(kinds) - kinds, counted(self.wide)
+        self.base = np.stack([np.arange(lanes, dtype=np.int64) * ORDER2, self.first1 + lanes * ORDER2])
+        self.table = np.empty(lanes * ORDER2 + int(kinds.sum()), self.kind)
+        self.table.fill(0)  # zeros() would get small pages
+        self.places, self.before = np.zeros((2, lanes), self.kind), np.zeros(lanes, self.kind)
 
     def narrow(self, lanes: int) -> None:
-        self.first = [f[:lanes] for f in self.first]
-        self.weights = [w[:lanes] for w in self.weights]
-
-
-class Lanes:
-    """The predictors of blocks side by side. `symbols` of an entry in a table of predictions stand above 4 bits of count."""
-
-    def __init__(self, lanes: int, most: int, wide: np.ndarray) -> None:
-        self.lanes, self.wide = lanes, wide
-        self.size = 1 << max(6, (most - 1).bit_length())
-        self.first = np.arange(lanes, dtype=np.int64) * self.size
-        self.order1, self.order2 = np.zeros(lanes * self.size, np.int32), np.zeros(lanes * ORDER2, np.int32)
-        self.first2 = np.arange(lanes, dtype=np.int64) * ORDER2
-        self.counts = np.zeros(lanes * self.size, np.int32)
-        self.room = self.size + 2
-        self.base = np.arange(lanes, dtype=np.int64) * self.room
-        self.starts = np.full(lanes * self.room, 1 << 16, np.int32)
-        self.starts[self.base] = 0
-        self.built = np.zeros(lanes, np.int64)  # symbols that the last count of frequencies knew
-        self.known = np.zeros(lanes, np.int64)  # symbols so far
-        self.ids = np.zeros(lanes * self.size, np.uint32)
-        self.escapes = np.zeros(lanes, np.int64)
-        self.zero = np.zeros(lanes, np.int64)  # steps that reached order 0
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.mix2, self.mix1 = Mixed(lanes, (32, 32, 16)), Mixed(lanes, (16, 16))
+        """Only the first `lanes` go on."""
+        self.base, self.places, self.before = self.base[:, :lanes].copy(), self.places[:, :lanes].copy(), self.before[:lanes]
+
+    def say(self) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol that the order with the larger count expects, and the counts of both as a context of level 0."""
+        key, last = self.places
+        np.multiply(last, self.factor, out=key)
+        key ^= self.before
+        key >>= self.shift
+        self.at = self.base + self.places
+        self.old = self.table.take(self.at)
+        order2, order1 = self.old
+        sure2, sure1 = self.old & 15
+        context = sure2 << 2
+        context |= sure1
+        context <<= 1
+        context |= (order2 ^ order1) < 16
+        said = np.where(sure2 >= sure1, order2, order1)
+        said >>= 4
+        return said, context
+
+    def learn(self, symbol: np.ndarray) -> None:
+        self.before = self.places[1] << 4
+        self.places[1] = symbol
+        mark = symbol << 4
+        count = self.old ^ mark
+        new = self.counted.take(np.minimum(count, 16) if self.wide else count)
+        new |= mark
+        self.table[self.at] = new
 
-    def narrow(self, lanes: int) -> None:
-        for name in ("first", "first2", "base", "built", "known", "escapes", "zero", "last", "before", "wide"):
-            setattr(self, name, getattr(self, name)[:lanes])
-        self.mix2.narrow(lanes), self.mix1.narrow(lanes)
-        self.lanes = lanes
-
-    def step(self, coder: Writer | Reader, symbol: np.ndarray | None, raw: np.ndarray | None) -> np.ndarray:
-        """Code one symbol per lane (of ids `raw` where it is new), or read one."""
-        at2 = self.first2 + ((self.before * 40503 + self.last * 2531) >> 3 & (ORDER2 - 1))
-        at1 = self.first + self.last
-        old2, old1 = self.order2.take(at2), self.order1.take(at1)
-        said2, said1, sure2, sure1 = old2 >> 4, old1 >> 4, old2 & 15, old1 & 15
-        same = said1 == said2
-        some2 = said2 > 0
-        often = np.minimum(self.counts.take(self.first + said2, mode="clip"), 15)
-        agree = same.astype(np.int32) << 4
-        chance = self.mix2.chance([sure2 + agree, sure1 + agree, often]) << 4
-        hit2 = coder.bit(np.where(some2, chance, 0), None if symbol is None else (symbol + 1 == said2) & some2)
-        self.mix2.learn(hit2, some2)
-        some1 = (said1 > 0) & ~same & ~hit2
-        often = np.minimum(self.counts.take(self.first + said1, mode="clip"), 15)
-        chance = self.mix1.chance([sure1, often]) << 4
-        hit1 = coder.bit(np.where(some1, chance, 0), None if symbol is None else (symbol + 1 == said1) & some1)
-        self.mix1.learn(hit1, some1)
-        lanes = np.flatnonzero(~(hit2 | hit1))
-        if symbol is None:
-            symbol = np.where(hit2, said2, said1).astype(np.int64) - 1
-            if len(lanes):
-                symbol[lanes] = self._read(coder, lanes)
-        elif len(lanes):
-            self._write(coder, lanes, symbol[lanes], raw[lanes])
-        if len(lanes):
-            self.counts[self.first[lanes] + symbol[lanes]] += 1
-            self.zero[lanes] += 1
-        mark = ((symbol + 1) << 4).astype(np.int32)
-        self.order2[at2] = renewed(old2, said2, sure2, mark)
-        self.order1[at1] = renewed(old1, said1, sure1, mark)
-        self.before, self.last = self.last, symbol
-        return symbol
-
-    def _write(self, coder: Writer, lanes: np.ndarray, symbol: np.ndarray, raw: np.ndarray) -> None:
-        built = self.built[lanes]
-        at = self.base[lanes] + np.minimum(symbol, built)
-        start = self.starts.take(at).astype(np.int64)
-        coder.span(lanes, start, self.starts.take(at + 1) - start)
-        young = symbol >= built
-        if young.any():
-            lanes, symbol, raw, built = lanes[young], symbol[young], raw[young], built[young]
-            self.escapes[lanes] += 1
-            coder.even(lanes, symbol - built, self.known[lanes] - built + 1)
-            new = symbol == self.known[lanes]
-            lanes, raw = lanes[new], raw[new].astype(np.int64)
-            high = self.wide[lanes]
-            coder.span(lanes[high], raw[high] >> 16, np.ones(int(high.sum()), np.int64))
-            coder.span(lanes, raw & 0xFFFF, np.ones(len(lanes), np.int64))
-            self.known[lanes] += 1
-
-    def _read(self, coder: Reader, lanes: np.ndarray) -> np.ndarray:
-        built, base = self.built[lanes], self.base[lanes]
-        place = coder.place(lanes)
-        symbol, half = np.zeros(len(lanes), np.int64), 1 << max(0, int(built.max()).bit_length() - 1)
-        while half:  # the last symbol that starts at or before `place`; the one after the counted ones stands for younger
-            later = symbol + half
-            symbol = np.where((self.starts.take(base + later, mode="clip") <= place) & (later <= built), later, symbol)
-            half >>= 1
-        start = self.starts.take(base + symbol).astype(np.int64)
-        coder.span(lanes, start, self.starts.take(base + symbol + 1) - start)
-        young = np.flatnonzero(symbol == built)
-        if len(young):
-            lanes, built = lanes[young], built[young]
-            self.escapes[lanes] += 1
-            number = coder.even(lanes, self.known[lanes] - built + 1) + built
-            symbol[young] = number
-            lanes = lanes[number == self.known[lanes]]
-            raw = np.zeros(len(lanes), np.int64)
-            high = np.flatnonzero(self.wide[lanes])
-            if len(high):
-                raw[high] = coder.place(lanes[high])
-                coder.span(lanes[high], raw[high], np.ones(len(high), np.int64))
-                raw[high] <<= 16
-            low = coder.place(lanes)
-            coder.span(lanes, low, np.ones(len(lanes), np.int64))
-            self.ids[self.first[lanes] + self.known[lanes]] = raw + low
-            self.known[lanes] += 1
-        return symbol
-
-    def count(self) -> None:
-        """Order-0 shares of 65536 from the counts so far; the last part stands for symbols that come later."""
-        most = int(self.known.max(initial=0))
-        if not most:
-            return
-        counts = self.counts.reshape(-1, self.size)[: self.lanes, :most]
-        before = np.zeros((self.lanes, most + 1), np.int64)
-        # a symbol that only higher orders coded so far counts once
-        np.cumsum(np.maximum(counts, 1) * (np.arange(most) < self.known[:, None]), axis=1, out=before[:, 1:])
-        escape = np.clip(65536 * (self.escapes + 1) // (self.zero + 2), 64, 49152)
-        room = 65536 - escape
-        factor = (room - self.known) / np.maximum(before[:, -1], 1)
-        starts = np.floor(before * factor[:, None]).astype(np.int64) + np.arange(most + 1)
-        starts = np.where(np.arange(most + 1) < self.known[:, None], starts, 1 << 16)
-        table = self.starts.reshape(-1, self.room)[: self.lanes]
-        table[:, : most + 1] = starts
-        table[np.arange(self.lanes), self.known] = room
-        self.built = self.known.copy()
-        self.escapes >>= 1
-        self.zero >>= 1
-
-
-def renewed(old: np.ndarray, said: np.ndarray, sure: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Entry after its symbol came (counts up to 15), or another (less sure, or given up)."""
-    missed = np.where(sure > 3, old - sure + (sure >> 2), mark)
-    return np.where(old - sure == mark, old + (sure < 15), missed)
-
-
-def numbered(ids: np.ndarray) -> np.ndarray:
-    """The ids of a block as symbols, numbered when they first come."""
-    small = ids.astype(np.uint16) if int(ids.max(initial=0)) < 1 << 16 else ids
-    _, first, inverse = np.unique(small, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[inverse]
+
+@cache
+def context_parts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context its place among the inputs of order 2, of order 1 and of order 0."""
+    c = np.arange(CONTEXTS)
+    agree, sure1, sure2, level = c & 1, c >> 1 & 3, c >> 3 & 3, c >> 5
+    return sure2 << 1 | agree, sure1 << 1 | agree, level
+
+
+@cache
+def possible() -> np.ndarray:
+    """Contexts in which an order has an entry."""
+    return (context_parts()[0] >= AGREE) | (context_parts()[1] >= AGREE)
+
+
+INPUTS = (SURE * AGREE, SURE * AGREE, LEVELS)
+MIXING = struct.Struct(f"<3h{sum(INPUTS)}b")
+
+
+def fitted(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (of 4096) and inputs (stretched, 16 to the unit) of every block, from misses and hits in its contexts."""
+    made = [_fitted(seen[at : at + 64].astype(np.float32)) for at in range(0, len(seen), 64)]
+    return np.concatenate([w for w, _ in made]), np.concatenate([i for _, i in made])
+
+
+def _fitted(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    seen[:, ~possible()] = 0
+    hits, times = np.ascontiguousarray(seen[:, :, 1]), seen.sum(2)
+    lanes, inputs, columns = len(times), [], []
+    for part, size in zip(context_parts(), INPUTS):
+        place = np.zeros((CONTEXTS, size), np.float32)
+        place[np.arange(CONTEXTS), part] = 1
+        n, h = times @ place, hits @ place
+        said = np.rint(16 * np.log((h + 0.4) / (n - h + 0.4))).clip(-127, 127)
+        said[n == 0] = 0
+        inputs.append(said.astype(np.int8))
+        columns.append((said / 16).astype(np.float32)[:, part])
+    weights = np.tile(np.array([0.5, 0.4, 0.2], np.float32), (lanes, 1))
+    for _ in range(3):  # Newton's method, held near its start where a block says little
+        z = sum(weights[:, k, None] * columns[k] for k in range(3))
+        p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        slope = [((hits - times * p) * c).sum(1) for c in columns]
+        bend = times * p * (1 - p)
+        curve = np.zeros((lanes, 3, 3), np.float32)
+        for k in range(3):
+            bent = bend * columns[k]
+            for j in range(k + 1):
+                curve[:, k, j] = curve[:, j, k] = np.einsum("lc,lc->l", bent, columns[j])
+        curve += 2 * np.eye(3, dtype=np.float32)
+        weights += np.linalg.solve(curve, np.stack(slope, 1)[..., None])[..., 0].clip(-1, 1)
+        weights = weights.clip(-4, 4)
+    return np.rint(weights * 4096).astype(np.int16), np.concatenate(inputs, 1)
+
+
+def chances(weights: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Chance of a hit, of 4096, in every context of every block: its inputs mixed in the logistic domain."""
+    total, at = np.zeros((len(weights), CONTEXTS), np.int32), 0
+    for order, (part, size) in enumerate(zip(context_parts(), INPUTS)):
+        total += (weights[:, order, None].astype(np.int32) * inputs[:, at : at + size])[:, part]
+        at += size
+    out = logistic().take((total >> 8) + 2047, mode="clip")
+    out[:, ~possible()] = 0  # neither order has an entry
+    return out.reshape(-1)
+
+
+# --- Blocks ------------------------------------------------------------------------------------------------------------
+
+
+def packed(numbers: np.ndarray, top: int) -> bytes:
+    """Ascending numbers up to `top`: their high parts as marks in a row of bits, their low bits as they are (Elias-Fano)."""
+    low = low_bits(len(numbers), top)
+    marks = np.zeros(len(numbers) + (top >> low) + 1, np.uint8)
+    marks[(numbers >> low) + np.arange(len(numbers))] = 1
+    lows = (numbers[:, None] >> np.arange(low)).astype(np.uint8) & 1
+    return np.packbits(np.concatenate([marks, lows.reshape(-1)])).tobytes()
+
+
+def unpacked(data: bytes, at: int, n: int, top: int) -> tuple[np.ndarray, int]:
+    """The `n` numbers that begin at byte `at`, and the byte after them."""
+    low = low_bits(n, top)
+    marks = n + (top >> low) + 1
+    size = (marks + n * low + 7) // 8
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=marks + n * low)
+    numbers = np.flatnonzero(bits[:marks]) - np.arange(n) << low
+    if low:
+        numbers += bits[marks:].reshape(n, low) @ (1 << np.arange(low))
+    return numbers, at + size
+
+
+def low_bits(n: int, top: int) -> int:
+    return max(0, (top // max(1, n)).bit_length() - 1)
+
+
+def numbered(ids: np.ndarray, seen: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a block, ascending, and its ids as their numbers. `seen` and `places` are room for 65,536 ids."""
+    if int(ids.max()) >= len(seen):
+        return np.unique(ids, return_inverse=True)
+    seen[ids] = True
+    distinct = seen.nonzero()[0]
+    seen[distinct] = False
+    places[distinct] = np.arange(len(distinct), dtype=places.dtype)
+    return distinct, places.take(ids)
+
+
+def shares(counts: np.ndarray, kinds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts up to each symbol in its block, and start and size of its part of 1 << bits. A count of one has a part."""
+    ends = np.cumsum(counts)
+    first = np.cumsum(kinds) - kinds
+    before = ends[first] - counts[first]
+    whole = ends[first + kinds - 1] - before
+    ends -= np.repeat(before, kinds)
+    starts = np.zeros(len(ends) + 1, np.int64)
+    starts[1:] = (ends << bits) // np.repeat(whole, kinds)
+    sizes = starts[1:].copy()
+    starts[first] = 0
+    sizes -= starts[:-1]
+    return ends, starts[:-1], sizes
+
+
+def together(sizes: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """Blocks that are coded side by side, longest first, and the bits of their order-0 shares. Empty blocks have no payload."""
+    groups: dict[int, list[int]] = {}
+    for b in sorted(range(len(sizes)), key=lambda b: -sizes[b]):
+        if sizes[b]:
+            groups.setdefault(max(12, (sizes[b] - 1).bit_length()), []).append(b)
+    if max(groups, default=0) > 19:
+        raise ValueError("A block has at most 524,288 ids.")
+    yield from groups.items()
+
+
+@cache
+def counts_head(bits: int, wide: bool) -> struct.Struct:
+    """Distinct ids, ids that order 0 codes, and the largest id."""
+    return struct.Struct(f"<{'HH' if bits < 16 else 'II'}{'I' if wide else 'H'}")
+
+
+def active(sizes: np.ndarray) -> list[int]:
+    """How many of the blocks (longest first) are longer than 0, 1, 2, ... ids."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes[0]))).tolist()
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Payloads of blocks of ids (unsigned 32-bit), coded side by side."""
-    sizes = np.array([len(b) for b in blocks], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    most, lanes = int(sizes.max(initial=0)), len(blocks)
-    symbols, raw = np.zeros((most, lanes), np.int64), np.zeros((most, lanes), np.uint32)
-    for lane, b in enumerate(order):
-        symbols[: sizes[b], lane], raw[: sizes[b], lane] = numbered(blocks[b]), blocks[b]
-    wide = np.array([int(blocks[b].max(initial=0)) >= 1 << 16 for b in order], bool)
-    coder, model = Writer(lanes, 6 * most + 8), Lanes(lanes, most, wide)
-    for step in range(most):
-        active = int(np.searchsorted(-sizes[order], -step))  # lanes longer than `step`
-        if active < model.lanes:
-            coder.narrow(active), model.narrow(active)
-        model.step(coder, symbols[step, :active], raw[step, :active])
-        if counted(step):
-            model.count()
-    coder.narrow(0)
-    out: list[bytes] = [b""] * lanes
-    for b, payload in zip(order, coder.payloads()):
-        out[b] = payload
+    out = [b""] * len(blocks)
+    for bits, chosen in together([len(b) for b in blocks]):
+        for b, payload in zip(chosen, _encode([blocks[b] for b in chosen], bits)):
+            out[b] = payload
     return out
 
 
+def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+    sizes, lanes = np.array([len(b) for b in blocks]), len(blocks)
+    most, known, rows = int(sizes[0]), [], np.zeros((lanes, int(sizes[0])), np.uint32 if bits > 12 else np.uint16)
+    seen, places = np.zeros(1 << 16, bool), np.zeros(1 << 16, rows.dtype)
+    for row, block in zip(rows, blocks):
+        distinct, row[: len(block)] = numbered(block, seen, places)
+        known.append(distinct)
+    symbols = np.ascontiguousarray(rows.T)
+    del rows
+    kinds = np.array([len(d) for d in known])
+    model, going = Predictor(kinds, bits), active(sizes)
+    first, contexts, said = model.first1, np.zeros_like(symbols), np.zeros_like(symbols)
+    for step, n in enumerate(going):
+        if n < model.base.shape[1]:
+            model.narrow(n)
+        said[step, :n], contexts[step, :n] = model.say()
+        model.learn(symbols[step, :n])
+    del model
+    hit = said == symbols
+    hit &= contexts >= AGREE
+    parts = [slice(at, at + 256) for at in range(0, most, 256)]
+    there = [np.arange(most)[p, None] < sizes for p in parts]
+    counts = np.zeros(int(kinds.sum()), np.int64)
+    for p, t in zip(parts, there):
+        counts += np.bincount((symbols[p] + first)[t & ~hit[p]], minlength=len(counts))
+    ends, starts, widths = shares(counts, kinds, bits)
+    level, lane = levels(counts).astype(symbols.dtype), np.arange(lanes) * CONTEXTS
+    times = np.zeros(2 * lanes * CONTEXTS, np.int64)
+    for p, t in zip(parts, there):
+        contexts[p] |= level.take(said[p] + first)
+        times += np.bincount(((contexts[p] + lane) * 2 + hit[p])[t], minlength=len(times))
+    del said
+    weights, inputs = fitted(times.reshape(lanes, CONTEXTS, 2))
+    table = chances(weights, inputs)
+
+    state = np.full(lanes, LEAST, np.uint64)
+    lows, out = np.zeros((most, lanes), np.uint32), np.zeros((most, lanes), bool)
+    for at in range(most - 1 - (most - 1) % 32, -1, -32):
+        p = slice(at, at + 32)
+        h, s, chance = hit[p], symbols[p] + first, table.take(contexts[p] + lane).astype(np.uint64)
+        size1, start1 = np.where(h, chance, (1 << CHANCE) - chance), np.where(h, 0, chance)
+        size0, start0 = np.where(h, 1 << bits, widths.take(s)).astype(np.uint64), np.where(h, 0, starts.take(s)).astype(np.uint64)
+        rest1, rest0, full = (1 << CHANCE) - size1, (1 << bits) - size0, size1 * size0 << (63 - CHANCE - bits)
+        for k in range(len(h) - 1, -1, -1):
+            n = going[at + k]
+            x = state[:n]
+            lows[at + k, :n] = x
+            full_now = np.greater_equal(x, full[k, :n], out=out[at + k, :n])
+            x = np.where(full_now, x >> WORD, x)
+            x += x // size0[k, :n] * rest0[k, :n]
+            x += start0[k, :n]
+            x += x // size1[k, :n] * rest1[k, :n]
+            x += start1[k, :n]
+            state[:n] = x
+    words, ending = np.ascontiguousarray(lows.T)[out.T].astype("<u4"), np.cumsum(out.sum(0))
+    made = []
+    for i, distinct in enumerate(known):
+        mine = slice(first[i], first[i] + kinds[i])
+        head = counts_head(bits, bool(distinct[-1] >= 1 << 16)).pack(kinds[i], ends[mine][-1], distinct[-1])
+        head += MIXING.pack(*weights[i].tolist(), *inputs[i].tolist())
+        head += packed(distinct.astype(np.int64), int(distinct[-1])) + packed(ends[mine], int(ends[mine][-1]))
+        made.append(head + struct.pack("<Q", state[i]) + words[ending[i - 1] if i else 0 : ending[i]].tobytes())
+    return made
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """How often order 0 has a symbol, in its place in a context."""
+    return (1 * (counts > 1) + (counts > 4) + (counts > 16)) << 5
+
+
 def decode(payloads: list[bytes], sizes: list[int], wide: list[bool]) -> list[np.ndarray]:
     """The ids of blocks from their payloads."""
-    length = np.array(sizes, np.int64)
-    order = np.argsort(-length, kind="stable")
-    most, lanes = int(length.max(initial=0)), len(payloads)
-    coder, model = Reader([payloads[b] for b in order]), Lanes(lanes, most, np.array(wide, bool)[order])
-    ids, first = model.ids, model.first
-    symbols = np.zeros((most, lanes), np.int64)
-    for step in range(most):
-        active = int(np.searchsorted(-length[order], -step))
-        if active < model.lanes:
-            coder.narrow(active), model.narrow(active)
-        symbols[step, :active] = model.step(coder, None, None)
-        if counted(step):
-            model.count()
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
-    for lane, b in enumerate(order):
-        out[b] = ids[first[lane] + symbols[: length[b], lane]]
+    out = [np.zeros(0, np.uint32)] * len(payloads)
+    for bits, chosen in together(sizes):
+        for b, ids in zip(chosen, _decode([payloads[b] for b in chosen], np.array([sizes[b] for b in chosen]), [wide[b] for b in chosen], bits)):
+            out[b] = ids
     return out
 
 
+def _decode(payloads: list[bytes], sizes: np.ndarray, wide: list[bool], bits: int) -> list[np.ndarray]:
+    lanes, known, ends, heads, states, rest = len(payloads), [], [], [], [], []
+    for payload, w in zip(payloads, wide):
+        counts_of = counts_head(bits, w)
+        n, coded, top = counts_of.unpack_from(payload)
+        heads.append(MIXING.unpack_from(payload, counts_of.size))
+        distinct, at = unpacked(payload, counts_of.size + MIXING.size, n, top)
+        end, at = unpacked(payload, at, n, coded)
+        known.append(distinct)
+        ends.append(end)
+        states.append(struct.unpack_from("<Q", payload, at)[0])
+        rest.append(payload[at + 8 :])
+    mixing = np.array(heads)
+    table = chances(mixing[:, :3].astype(np.int16), mixing[:, 3:].astype(np.int8))
+    kinds = np.array([len(d) for d in known])
+    counts = np.concatenate([np.diff(e, prepend=0) for e in ends])
+    _, starts, widths = shares(counts, kinds, bits)
+    model, going = Predictor(kinds, bits), active(sizes)
+    kind, first = model.kind, model.first1
+    parts = (starts << 32 | widths) if bits > 15 else (starts << 16 | widths).astype(np.uint32)
+    level = levels(counts).astype(kind)
+    names = np.repeat((np.arange(len(counts)) - np.repeat(first, kinds)).astype(kind), widths)  # symbol of every place
+    words = np.frombuffer(b"".join(rest) + bytes(8), "<u4").astype(np.int64)
+    lengths = np.array([len(r) // 4 for r in rest])
+    at, state = np.cumsum(lengths) - lengths, np.array(states, np.int64)
+    lane, zero = np.arange(lanes) * CONTEXTS, np.arange(lanes) << bits
+    symbols = np.zeros((int(sizes[0]), lanes), kind)
+    half, ones = (32, 0xFFFFFFFF) if bits > 15 else (16, 0xFFFF)
+    x = state
+    for step, n in enumerate(going):
+        if n < len(x):
+            model.narrow(n)
+            x, first, lane, zero, at = x[:n], first[:n], lane[:n], zero[:n], at[:n]
+        said, context = model.say()
+        context |= level.take(first + said)
+        chance = table.take(lane + context).astype(np.int64)
+        low = x & ((1 << CHANCE) - 1)
+        hit = low < chance
+        taken = (x >> CHANCE) * chance
+        low += taken  # the state after a hit
+        x -= taken
+        x -= chance  # after a miss
+        place = x & ((1 << bits) - 1)
+        symbol = np.where(hit, said, names.take(zero + place))
+        part = parts.take(first + symbol).astype(np.int64)
+        x >>= bits
+        x *= part & ones
+        x += place
+        x -= part >> half
+        x = np.where(hit, low, x)
+        short = x < LEAST
+        x = np.where(short, x << WORD | words.take(at), x)
+        at += short
+        symbols[step, :n] = symbol
+        model.learn(symbol)
+    rows = np.ascontiguousarray(symbols.T)
+    return [d.astype(np.uint32)[row[:size]] for d, row, size in zip(known, rows, sizes)]
+
+
 # --- Records -----------------------------------------------------------------------------------------------------------
 
 

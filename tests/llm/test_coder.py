@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 from zlib import crc32
 
 import numpy as np
@@ -57,6 +58,37 @@ def test_predictions_save_room():
     assert len(free) < 1.15 * (entropy + 400 * 2) and len(known) < len(coder.encode([repeated[:256]])[0]) + 300
 
 
+def test_coding_is_cheap_for_each_id():
+    draw = np.random.default_rng(3)
+    blocks = list((draw.zipf(1.3, (1024, 1024)) % 5000).astype(np.uint32))
+    coder.encode(blocks[:1])  # tables made once
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: back(blocks)) < 18 * seconds(lambda: sum(range(2_000_000)))
+
+
+def test_numbers_in_order_come_back():
+    draw = np.random.default_rng(4)
+    for n, top in ((1, 0), (1, 2**32 - 1), (500, 49_999), (4096, 4096), (3, 2**32 - 1), (700, 5)):
+        numbers = np.sort(draw.integers(0, top + 1, n))
+        found, end = coder.unpacked(b"x" + coder.packed(numbers, top) + b"y", 1, n, top)
+        assert found.tolist() == numbers.tolist() and end == 1 + len(coder.packed(numbers, top))
+
+
+def test_long_blocks_come_back():
+    draw = np.random.default_rng(5)
+    assert same([draw.zipf(1.2, 70_000) % 50_000, draw.integers(0, 2**32, 5000), [9]])
+    with pytest.raises(ValueError, match="524,288"):
+        coder.encode([np.zeros(524_289, np.uint32)])
+
+
 def test_records_and_damage():
     block = coder.Block(3, 10, 7, [(5, 2), (None, 1)], np.array([10, 27, 70_000], np.uint32), True)
     line = block.record(4, coder.encode([block.ids])[0])
