@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from hashlib import md5
 from itertools import product
+from math import gcd
 
 import numpy as np
 from pyspark import StorageLevel
@@ -28,7 +29,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -447,38 +448,49 @@ def search(
 def ensemble_weights(predictions: DataFrame, models: Sequence[str], size: int, rounds: int = 10) -> dict[str, float]:
     """Weights of at most `size` models by greedy selection: each round adds the model whose addition ranks the rows best.
 
-    A model may be added again; of equal scores the first one counts. The rows are pivoted once, rows of equal scores are
-    counted, and a round is one pass over these cells for all models. Only rows that all models scored count.
+    All rounds are gone through, as one without a gain may lead to a better mix, and the first of the best rounds gives the
+    weights. A model may be added again; of equal scores the first one counts. The rows are pivoted once, rows of equal scores
+    are counted, and a round is one pass over these cells for all models. All rows count: one that some models did not score
+    has the mean of the others picked, and half its pairs are won where none of them scored it. Copies of a row stay apart.
     """
     if len(models) == 1 or size == 1:
         return {models[0]: 1.0}
     columns = [f"m{i}" for i in range(len(models))]
-    wide = predictions.where(F.col(MODEL).isin(*models)).groupBy(ROW, TRUTH).pivot(MODEL, list(models)).agg(F.first(SCORE)).toDF(ROW, TRUTH, *columns)
-    cells = checkpoint(wide.dropna(subset=columns).groupBy(TRUTH, *columns).agg(F.count(F.lit(1)).alias("_rows")))
-    picked, best = [0] * len(models), -1.0
+    rows = predictions.where(F.col(MODEL).isin(*models)).withColumn(SCORE, F.nanvl(SCORE, F.lit(None).cast("double"))).repartition(ROW, TRUTH)
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(ROW, TRUTH, MODEL).orderBy(F.asc_nulls_last(SCORE))))
+    wide = rows.groupBy(ROW, TRUTH, "_copy").pivot(MODEL, list(models)).agg(F.first(SCORE)).toDF(ROW, TRUTH, "_copy", *columns)
+    cells = checkpoint(wide.groupBy(TRUTH, *columns).agg(F.count(F.lit(1)).alias("_rows")))
+    classes = [(name, F.coalesce(F.sum(F.when(F.col(TRUTH) == t, F.col("_rows"))), F.lit(0))) for t, name in ((1, "pos"), (0, "neg"))]
+    positives, negatives = cells.agg(*[n.alias(name) for name, n in classes]).first()
+    pairs = float(positives) * negatives
+    if not pairs:
+        return {models[0]: 1.0}
+    picked, chosen, best = [0] * len(models), [1], -1.0
     for _ in range(rounds):
-        total = sum(picked) + 1
-        tries = []
+        tries = {}
         for i in range(len(models)):
             counts = [n + (i == j) for j, n in enumerate(picked)]
             if sum(n > 0 for n in counts) <= size:
-                mean = sum((F.col(c) * (n / total) for c, n in zip(columns, counts) if n), F.lit(0.0))
-                tries.append(F.struct(F.lit(str(i)).alias(MODEL), mean.alias(SCORE)))
-        trial = cells.select(TRUTH, "_rows", F.inline(F.array(*tries)))
-        sums = trial.groupBy(MODEL, SCORE).agg(*[F.sum(F.when(F.col(TRUTH) == t, F.col("_rows")).otherwise(0)).alias(n) for t, n in ((1, "pos"), (0, "neg"))])
+                tries[i] = mean_score([(c, n) for c, n in zip(columns, counts) if n])
+        mixed = F.array(*[F.struct(F.lit(str(i)).alias(MODEL), score.alias(SCORE)) for i, score in tries.items()])
+        trial = cells.select(TRUTH, "_rows", F.inline(mixed)).where(F.col(SCORE).isNotNull())
+        sums = trial.groupBy(MODEL, SCORE).agg(*[n.alias(name) for name, n in classes])
         ordered = running_totals(sums, [MODEL], SCORE, ["pos", "neg"], range_cuts(trial, SCORE))
         wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2))
-        areas = ordered.groupBy(MODEL).agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("area")).where("area IS NOT NULL").collect()
-        if not areas:
-            break
-        top = min(areas, key=lambda r: (-round(r["area"], 12), int(r[MODEL])))
-        if top["area"] <= best + 1e-12:
-            break
-        best = top["area"]
-        picked[int(top[MODEL])] += 1
-    if not sum(picked):
-        return {models[0]: 1.0}
-    return {m: n / sum(picked) for m, n in zip(models, picked) if n}
+        found = ordered.groupBy(MODEL).agg(wins.alias("wins"), (F.sum("pos").cast("double") * F.sum("neg")).alias("ranked")).collect()
+        areas = {i: 0.5 for i in tries} | {int(r[MODEL]): (r["wins"] + (pairs - r["ranked"]) / 2) / pairs for r in found}
+        top = min(areas, key=lambda i: (-round(areas[i], 12), i))
+        picked[top] += 1
+        if areas[top] > best + 1e-12:
+            chosen, best = list(picked), areas[top]
+    return {m: n / sum(chosen) for m, n in zip(models, chosen) if n}
+
+
+def mean_score(counts: Sequence[tuple[str, int]]) -> Column:
+    """Mean of score columns, each taken so many times, over those that have a score; null where none has."""
+    part = gcd(*[n for _, n in counts])  # equal mixes have the very same means
+    scored = sum((F.when(F.col(c).isNotNull(), n // part).otherwise(0) for c, n in counts), F.lit(0))
+    return F.try_divide(sum((F.coalesce(c, F.lit(0.0)) * (n // part) for c, n in counts), F.lit(0.0)), scored)
 
 
 def predict_ensemble(

@@ -79,6 +79,60 @@ def test_greedy_weights(spark):
     assert set(L.ensemble_weights(df, ["a", "b", "c"], 1)) == {"a"} and len(L.ensemble_weights(df, ["a", "b", "c"], 2)) == 2
 
 
+PREDICTIONS = "row_index long, model_name string, target_true int, prediction_label int, risk_score double"
+
+
+def prediction_rows(spark, truths, **scores):
+    """Predictions of some models; a score that is None leaves the row out."""
+    rows = [(i, m, y, 0, s) for m, found in scores.items() for i, (y, s) in enumerate(zip(truths, found)) if s is not None]
+    return spark.createDataFrame(rows, PREDICTIONS)
+
+
+def area(truths, scores, counts):
+    """Share of won pairs by the mean of the scores that are there; a pair of a row without one is half won."""
+    means = []
+    for at in range(len(truths)):
+        there = [(n, s[at]) for n, s in zip(counts, scores) if n and s[at] is not None]
+        means.append(sum(n * s for n, s in there) / sum(n for n, _ in there) if there else None)
+    pairs = [(p, q) for p, y in zip(means, truths) if y for q, z in zip(means, truths) if not z]
+    return sum(0.5 if p is None or q is None or p == q else float(p > q) for p, q in pairs) / len(pairs)
+
+
+def test_greedy_weights_go_through_all_rounds(spark):
+    """Round two gains nothing - b as half of the mean ranks worse - but b as a third ranks all pairs."""
+    truths, a, b = [1, 1, 1, 0, 0, 0], [0.8, 0.5, 0.6, 0.4, 0.5, 0.4], [0.1, 0.7, 0.6, 0.7, 0.4, 0.5]
+    assert [round(9 * area(truths, [a, b], n), 1) for n in ([1, 0], [1, 1], [2, 1])] == [8.5, 7, 9]
+    df = prediction_rows(spark, truths, a=a, b=b)
+    assert L.ensemble_weights(df, ["a", "b"], 2, rounds=2) == {"a": 1.0}
+    assert L.ensemble_weights(df, ["a", "b"], 2, rounds=4) == pytest.approx({"a": 2 / 3, "b": 1 / 3})
+
+
+def test_greedy_weights_by_all_pairs(spark):
+    """Six rounds over three models, which did not score all rows, by all pairs of rows."""
+    rng = random.Random(7)
+    truths = [int(rng.random() < 0.5) for _ in range(40)]
+    scores = [[0.5 + 0.1 * y + rng.gauss(0, 0.12) if rng.random() < 0.8 else None for y in truths] for _ in range(3)]
+    picked, best, chosen = [0, 0, 0], -1.0, None
+    for _ in range(6):
+        areas = [round(area(truths, scores, [n + (i == j) for j, n in enumerate(picked)]), 9) for i in range(3)]
+        picked[areas.index(max(areas))] += 1
+        if max(areas) > best:
+            best, chosen = max(areas), {m: n / sum(picked) for m, n in zip("abc", picked) if n}
+    found = L.ensemble_weights(prediction_rows(spark, truths, **dict(zip("abc", scores))), ["a", "b", "c"], 3, rounds=6)
+    assert found == pytest.approx(chosen) and len(found) > 1
+
+
+def test_greedy_weights_count_all_rows(spark):
+    """Rows that b did not score, and both copies of a row, decide as well; one class alone decides nothing."""
+    df = prediction_rows(spark, [1, 0, 1, 0, 1, 0], a=[0.5, 0.1, 0.2, 0.8, 0.3, 0.7], b=[0.6, 0.4, None, None, None, None])
+    assert L.ensemble_weights(df, ["a", "b"], 2, rounds=1) == {"b": 1.0}
+    copies = {"a": [(0, 1, 0.6), (1, 0, 0.5), (2, 1, 0.4), (2, 1, 0.4)], "b": [(0, 1, 0.4), (1, 0, 0.5), (2, 1, 0.6), (2, 1, 0.6)]}
+    df = spark.createDataFrame([(i, m, y, 0, s) for m, rows in copies.items() for i, y, s in rows], PREDICTIONS)
+    assert L.ensemble_weights(df, ["a", "b"], 2, rounds=1) == {"b": 1.0}
+    alone = prediction_rows(spark, [1, 1], a=[0.1, 0.2], b=[0.3, 0.4])
+    assert L.ensemble_weights(alone, ["a", "b"], 2) == {"a": 1.0}
+
+
 def test_evaluate_and_significance(data):
     specs = [L.ModelSpec("lr", L.logistic_regression), L.ModelSpec("rf", L.random_forest(5))]
     out = evaluate(data, "k", "target_true", specs, folds=2)
